@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
+from quarrylight.sources.corpus import Corpus
+
+# One bucket per this many documents, within the given limits.
+DOCS_PER_BUCKET = 250_000
+MIN_BUCKETS, MAX_BUCKETS = 8, 4096
+
+
+def bucket_count(n_docs: int) -> int:
+    return max(MIN_BUCKETS, min(MAX_BUCKETS, n_docs // DOCS_PER_BUCKET))
+
 
-BUCKETS = 256
+def content(docs: DataFrame) -> DataFrame:
+    """(doc_id, content): the searchable text of each document."""
+    text = T.content_text(F.col("title"), F.col("summary"), F.col("raw_text"))
+    return docs.select(F.col("id").alias("doc_id"), text.alias("content"))
 
 
 def token_stream(docs: DataFrame) -> DataFrame:
@@ -39,26 +54,40 @@ def postings(docs: DataFrame) -> DataFrame:
     )
 
 
-def with_bucket(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def with_bucket(df: DataFrame, buckets: int) -> DataFrame:
     return df.withColumn("bucket", F.pmod(F.xxhash64("lexeme"), F.lit(buckets)).cast("int"))
 
 
-def write_index(docs: DataFrame, folder: str, buckets: int = BUCKETS, files_per_bucket: int = 1) -> None:
-    """Store (lexeme, doc_id, tf), one partition per lexeme bucket.
+def write_index(table: DataFrame, folder: str, files_per_bucket: int = 1) -> None:
+    """Store (lexeme, doc_id, tf, bucket), one folder per bucket.
 
-    A frequent lexeme may hold a large part of the rows, so rows are spread by
-    (bucket, document) and only sorted by lexeme inside each file.
+    A frequent lexeme may hold a large part of the rows: raise
+    ``files_per_bucket`` to spread each bucket over that many tasks by document.
     """
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(files_per_bucket))
-    table = with_bucket(term_frequencies(docs), buckets)
     (
-        table.repartition(buckets * files_per_bucket, "bucket", spread)
+        table.repartition("bucket", spread)
         .sortWithinPartitions("bucket", "lexeme", "doc_id")
         .write.mode("overwrite").partitionBy("bucket").parquet(folder)
     )
 
 
-def read_index(spark: SparkSession, folder: str, wanted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Stored postings of the ``wanted`` lexemes; other buckets are not read."""
-    keys = with_bucket(wanted.select("lexeme").distinct(), buckets)
-    return spark.read.parquet(folder).join(keys, ["bucket", "lexeme"], "left_semi").select("doc_id", "lexeme", "tf")
+def stored_index(c: Corpus) -> Callable[[DataFrame], DataFrame]:
+    """The corpus index: a function that joins wanted lexemes to their postings.
+
+    The bucket is a partition column, so the join prunes at run time and only
+    the buckets of wanted lexemes are read.
+    """
+    n_docs = c.documents.count()  # from file footers
+    buckets = bucket_count(n_docs)
+    spread = max(1, n_docs // 20_000_000)
+    table = c.keep(
+        "term_index",
+        lambda: with_bucket(term_frequencies(content(c.documents)), buckets),
+        lambda df, path: write_index(df, path, spread),
+    )
+
+    def lookup(wanted: DataFrame) -> DataFrame:
+        return table.join(with_bucket(wanted, buckets), ["bucket", "lexeme"])
+
+    return lookup

@@ -17,7 +17,7 @@ from quarrylight.functions import intent as I
 from quarrylight.functions import text as T
 from quarrylight.functions import urls as U
 from quarrylight.operators.groups import top_n
-from quarrylight.operators.index import term_frequencies
+from quarrylight.operators.index import stored_index
 from quarrylight.sources.corpus import Corpus
 
 FILTERS = ("days_per_week", "specialization", "experience_level", "progression_type", "split_type", "domain")
@@ -36,12 +36,6 @@ def term_weight(tf: Column) -> Column:
     return F.element_at(table, (F.least(tf, F.lit(_MAX_TF)) + 1).cast("int")) * 0.1 / _PI2_6
 
 
-def content(docs: DataFrame) -> DataFrame:
-    """(doc_id, content): the searchable text of each document."""
-    text = T.content_text(F.col("title"), F.col("summary"), F.col("raw_text"))
-    return docs.select(F.col("id").alias("doc_id"), text.alias("content"))
-
-
 def query_lexemes(requests: DataFrame) -> DataFrame:
     """(query_id, lexeme, n_lexemes) of the all-terms query."""
     lex = requests.select("query_id", T.lexemes(F.col("query")).alias("ls"))
@@ -106,16 +100,14 @@ def _group_masks(requests: DataFrame) -> DataFrame:
     return g.select("query_id", F.transform("long_groups", mask).alias("masks")).where(F.size("masks") > 0)
 
 
-def match_documents(requests: DataFrame, docs: DataFrame, index=None) -> DataFrame:
+def match_documents(requests: DataFrame, c: Corpus) -> DataFrame:
     """(query_id, leg, doc_id, text_rank) of every document a request matches.
 
-    One pass over the text (or the stored ``index``: a function from wanted
-    lexemes to postings) serves both legs and all requests. The exact leg needs
-    every lexeme, the expanded leg any complete group.
+    One pass over the wanted postings serves both legs and all requests. The
+    exact leg needs every lexeme, the expanded leg any complete group.
     """
     wanted = _wanted(requests)
-    tf = index(wanted) if index else term_frequencies(content(docs), wanted)
-    hits = tf.join(wanted, "lexeme").groupBy("query_id", "leg", "doc_id").agg(
+    hits = stored_index(c)(wanted).groupBy("query_id", "leg", "doc_id").agg(
         F.count("*").alias("hits"), F.max("n_lexemes").alias("n"), F.max("single").alias("single"),
         F.bit_or("bit").alias("bits"), F.sum(term_weight(F.col("tf"))).alias("weight"),
     )
@@ -237,7 +229,7 @@ def expanded_programs(requests: DataFrame, matches: DataFrame, s: Shelf, limit:
 
 
 def search_programs(
-    requests: DataFrame, c: Corpus, limit: int = 25, matches: DataFrame | None = None, index=None
+    requests: DataFrame, c: Corpus, limit: int = 25, matches: DataFrame | None = None
 ) -> DataFrame:
     """(query_id, rank, leg, program_id, doc_id, source_id, text_rank, confidence).
 
@@ -245,7 +237,7 @@ def search_programs(
     given. Only narrow columns travel; text is joined to the result if needed.
     """
     if matches is None:
-        matches = match_documents(requests, c.documents, index)
+        matches = match_documents(requests, c)
     s = shelf(c)
     keep = ["query_id", "program_id", "doc_id", "source_id", "text_rank", "confidence", "rank"]
     exact = exact_programs(requests, matches, s, limit).select(*keep)
@@ -270,11 +262,11 @@ def source_order() -> list[Column]:
 
 
 def search_sources(
-    requests: DataFrame, c: Corpus, limit: int = 25, matches: DataFrame | None = None, index=None
+    requests: DataFrame, c: Corpus, limit: int = 25, matches: DataFrame | None = None
 ) -> DataFrame:
     """(query_id, rank, source_id, text_rank, page_quality, latest_document_at)."""
     if matches is None:
-        matches = match_documents(requests, c.documents, index)
+        matches = match_documents(requests, c)
     docs = c.document_keys.select(F.col("id").alias("doc_id"), "source_id", "created_at")
     src = shelf(c).sources
     asked = requests.select("query_id", "domain")

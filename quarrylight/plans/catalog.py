@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from quarrylight.plans import (  # noqa: F401
+    catalog_normalize,
     catalog_search,
     catalog_views,
 )

@@ -17,14 +17,14 @@ from quarrylight.sources.corpus import Corpus
 
 @query("content_text", "SELECT doc_id, content FROM v_content")
 def content_text(c: Corpus):
-    return R.content(c.documents)
+    return IX.content(c.documents)
 
 
 @query("postings", """
 SELECT doc_id, lexeme, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ' ' ORDER BY pos) AS positions
 FROM v_tokens GROUP BY doc_id, lexeme""")
 def postings(c: Corpus):
-    return IX.postings(R.content(c.documents)).withColumn(
+    return IX.postings(IX.content(c.documents)).withColumn(
         "positions", F.array_join(F.col("positions").cast("array<string>"), " ")
     )
 
@@ -61,7 +61,7 @@ def query_intent(c: Corpus):
 SELECT query_id, 'exact' AS leg, doc_id, text_rank FROM v_exact_matches
 UNION ALL SELECT query_id, 'expanded', doc_id, text_rank FROM v_expanded_matches""")
 def text_rank(c: Corpus):
-    return R.match_documents(c.requests, c.documents)
+    return R.match_documents(c.requests, c)
 
 
 @query("source_search", f"""
@@ -75,7 +75,7 @@ def source_search(c: Corpus):
 SELECT query_id, program_id, structured_score FROM v_exact_programs JOIN v_requests r USING (query_id) WHERE r.query <> ''""")
 def program_filter(c: Corpus):
     """Every exact match that passes the hard filters, with its filter score."""
-    matches = R.match_documents(c.requests, c.documents).where(F.col("leg") == R.EXACT)
+    matches = R.match_documents(c.requests, c).where(F.col("leg") == R.EXACT)
     asked = c.requests.select("query_id", *R.FILTERS)
     rows = matches.join(R.shelf(c).programs, "doc_id").join(asked, "query_id").where(R._passes())
     return rows.select("query_id", "program_id", R.structured_score().alias("structured_score"))
@@ -88,7 +88,7 @@ _RANKED = ("query_id", "rank", "program_id", "doc_id", "source_id", "text_rank",
 SELECT {', '.join(_RANKED)}, structured_score, {S.iso('newest_crawl')} AS newest_crawl FROM v_exact_programs WHERE rank <= 25""")
 def program_search_exact(c: Corpus):
     s = R.shelf(c)
-    matches = R.match_documents(c.requests, c.documents)
+    matches = R.match_documents(c.requests, c)
     rows = R.exact_programs(c.requests, matches, s, 25)
     keep = [*_RANKED, "structured_score", "newest_crawl"]
     both = rows.select(*keep).unionByName(R.browse_programs(c.requests, s, 25).select(*keep))
@@ -97,7 +97,7 @@ def program_search_exact(c: Corpus):
 
 @query("program_search_fallback", f"SELECT {', '.join(_RANKED)}, intent_score FROM v_expanded_programs WHERE rank <= 50")
 def program_search_fallback(c: Corpus):
-    rows = R.expanded_programs(c.requests, R.match_documents(c.requests, c.documents), R.shelf(c), 50)
+    rows = R.expanded_programs(c.requests, R.match_documents(c.requests, c), R.shelf(c), 50)
     return rows.select(*_RANKED, "intent_score")
 
 

@@ -1,19 +1,22 @@
 """Corpus tables derived from the raw driver tables.
 
-Every table is a narrow map or a hash aggregate over ``pages``, ``documents``,
-``events``, ``labels``, ``benchmark`` and ``conversations``; nothing is
-collected and no row order of the input matters.
+Every table is a map, an equality join or a hash aggregate over ``pages``,
+``documents``, ``events``, ``labels``, ``benchmark`` and ``conversations``;
+nothing is collected and no row order of the input matters.
 """
 
 from __future__ import annotations
 
-from functools import cached_property
+import hashlib
+from functools import cached_property, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarrylight.functions import text as T
 from quarrylight.functions import urls as U
+from quarrylight.session import work_folder
 
 SLUGS = (
     "program-a", "template", "how-to-lift", "category", "tag",
@@ -56,6 +59,29 @@ ERROR_MESSAGES = (
 )
 ERROR_TYPES = ("ConnectionError", "ValueError", "TimeoutError", "RuntimeError", "HTTPError")
 
+# Payload forms; "#" stands for the document id and "@" for its text.
+PAYLOAD_OBJECT = (
+    '{"title":"Doc # Bench Guide","author":"Coach A","source_type":"  blog   post ","text":"@","summary":"About #.",'
+    '"raw_html":"<p>#</p>","programs":[{"name":"Block #","coach_name":"","days_per_week":#,"specialization":"Bench focus",'
+    '"experience_level":"expert","progression_type":"Wave loading","split_type":"push pull legs","summary":"S #","confidence":0.8},'
+    '{"title":"  ","coach":"Ann","days_per_week":null,"confidence":2}],'
+    '"claims":[{"claim_type":"volume","text":"10 sets","normalized_value":"10","confidence":"0.4","program_id":0},{"type":"  "}]}'
+)
+PAYLOAD_OBJECT_BARE = '{"title":"Doc # Squat","text":"@","programs":[],"claims":[]}'
+PAYLOAD_ALIASES = (
+    '{"page_title":"Page #","byline":"By #","type":"a source type that is much longer than the sixty-four characters kept for it",'
+    '"content":"@","description":"Described","programs":[{"program_name":"Alt #","coach":"Bo","focus":"General strength",'
+    '"experience":"Novice lifters","progression":"interpersonal","split":"Body-Part","description":"D","days_per_week":"12 or 3 days"}],'
+    '"claims":[{"type":"frequency","claim":"twice","normalized":"2","program_id":"alt #"}]}'
+)
+PAYLOAD_ALIASES_BARE = '{"headline":" Head # ","body":"@","excerpt":" ","claims":[{"type":"intensity","program_id":1.5}]}'
+PAYLOAD_ODD = (
+    '{"title":7,"headline":"  Odd #  ","text":"   ","markdown":"@","programs":[5,"x",{},{"confidence":0.9},'
+    '{"name":"A","days_per_week":true,"confidence":true},{"name":"B","days_per_week":4.0,"confidence":"nan"},'
+    '{"name":"C","days_per_week":"0.5","confidence":-1},{"name":"D","days_per_week":15,"confidence":"1.7"},'
+    '{"name":"E","confidence":[1]},{"name":"F #","days_per_week":"4 days","confidence":" 0.5 "}],"claims":"none"}'
+)
+
 
 def pick(index: Column, values) -> Column:
     """Element ``index`` (0-based) of a short constant list; None stays NULL."""
@@ -70,15 +96,56 @@ def plus_seconds(ts: Column, seconds: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(ts) + seconds.cast("long") * 1_000_000)
 
 
+_WRITTEN: dict[str, StructType] = {}
+
+
+def stored(build):
+    """A table that is written on first use and read back from then on.
+
+    Later jobs scan a Parquet table instead of repeating the derivation, and a
+    lost executor costs a re-read, not a re-computation.
+    """
+
+    @wraps(build)
+    def table(self: Corpus) -> DataFrame:
+        return self.keep(build.__name__.strip("_"), lambda: build(self))
+
+    return cached_property(table)
+
+
 class Corpus:
-    """The corpus tables of one data folder."""
+    """The corpus tables of one data folder.
+
+    Tables live in the shared work folder, one set per application and data
+    folder.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        key = hashlib.md5(folder.encode()).hexdigest()[:12]
+        app = spark.sparkContext.applicationId
+        self.home = f"{work_folder(spark)}/quarrylight/{app}/{key}"
+
+    def keep(self, name: str, build, write=None) -> DataFrame:
+        """Write ``build()`` once under ``name`` and return a scan of it."""
+        path = f"{self.home}/{name}"
+        if path not in _WRITTEN:
+            df = build()
+            if write:
+                write(df, path)
+            else:
+                df.write.mode("overwrite").parquet(path)
+            _WRITTEN[path] = df.schema
+        return self.spark.read.schema(_WRITTEN[path]).parquet(path)
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # A few files may be one split each; only such small inputs are spread.
+        width = self.spark.sparkContext.defaultParallelism
+        if name in ("documents", "pages", "events") and len(df.inputFiles()) < width:
+            return df.repartition(width)
+        return df
 
     # -- urls ---------------------------------------------------------------
     @cached_property
@@ -110,7 +177,7 @@ class Corpus:
         )
         return self.raw("pages").select("page_id", F.inline(rows))
 
-    @cached_property
+    @stored
     def page_urls(self) -> DataFrame:
         """(page_id, canonical_url, host, domain) of the main URL of each page."""
         main = self.candidates.where("pos = 0").select(
@@ -122,7 +189,7 @@ class Corpus:
             F.regexp_replace(host, r"^(?:www|m|blog)\.", "").alias("domain"),
         )
 
-    @cached_property
+    @stored
     def domains(self) -> DataFrame:
         ids = self.page_urls.groupBy("domain").agg(F.min("page_id").alias("id"))
         return ids.select(
@@ -130,13 +197,13 @@ class Corpus:
             F.when(F.col("id") % 3 == 0, "seeded").alias("notes"),
         )
 
-    @cached_property
+    @stored
     def page_sources(self) -> DataFrame:
         """(page_id, source_id, domain): the source each page belongs to."""
         firsts = self.page_urls.groupBy("canonical_url").agg(F.min("page_id").alias("source_id"))
         return self.page_urls.join(firsts, "canonical_url").select("page_id", "source_id", "domain")
 
-    @cached_property
+    @stored
     def sources(self) -> DataFrame:
         base = self.page_urls.groupBy("canonical_url", "domain").agg(F.min("page_id").alias("id"))
         latest = self.documents.groupBy("source_id").agg(
@@ -161,7 +228,7 @@ class Corpus:
         )
 
     # -- documents and their children ---------------------------------------
-    @cached_property
+    @stored
     def documents(self) -> DataFrame:
         doc = F.col("doc_id")
         body = F.col("text")
@@ -188,18 +255,12 @@ class Corpus:
             created.alias("created_at"),
         )
 
-    @cached_property
+    @property
     def document_keys(self) -> DataFrame:
-        """Documents without their text and anything derived from it."""
-        doc = F.col("doc_id")
-        created = plus_seconds(day("2024-01-01"), doc * 3600)
-        docs = self.raw("documents").select("doc_id", F.floor(doc / 4).alias("page_id"))
-        return docs.join(self.page_sources.select("page_id", "source_id"), "page_id").select(
-            doc.alias("id"), "source_id", F.when(doc % 13 != 0, doc).alias("crawl_job_id"),
-            created.alias("created_at"),
-        )
+        """Documents without their text."""
+        return self.documents.select("id", "source_id", "crawl_job_id", "created_at")
 
-    @cached_property
+    @stored
     def programs(self) -> DataFrame:
         doc, i = F.col("document_id"), F.col("i")
         k = doc + i
@@ -224,7 +285,7 @@ class Corpus:
             plus_seconds(F.col("doc_created"), i * 3600).alias("created_at"),
         )
 
-    @cached_property
+    @stored
     def claim_refs(self) -> DataFrame:
         """Extracted claims with their unresolved program reference."""
         base = self.documents.select(F.col("id").alias("document_id"), "title", "summary")
@@ -248,8 +309,49 @@ class Corpus:
             F.when(k % 8 != 0, (k % 101) / 100).alias("confidence"),
         )
 
+    @stored
+    def payloads(self) -> DataFrame:
+        """(document_id, source_id, url, output): raw extraction output as text.
+
+        The forms rotate: object, alternate keys, fenced block, list, plain
+        text and scalars, object with odd field types.
+        """
+        doc = F.col("document_id")
+        src = self.sources.select(F.col("id").alias("source_id"), "url")
+        docs = self.documents.select(F.col("id").alias("document_id"), "source_id", "raw_text").join(src, "source_id")
+        plain = F.regexp_replace("raw_text", "[^A-Za-z0-9 .]", " ")
+        body = F.when(doc % 11 == 0, "Short.").when(doc % 7 == 0, F.concat(F.lit("Summary: "), plain)).otherwise(plain)
+
+        def filled(template: str) -> Column:
+            """Put the document id for ``#`` and its text for ``@``."""
+            parts = []
+            for i, piece in enumerate(template.split("@")):
+                if i:
+                    parts.append(body)
+                for j, bit in enumerate(piece.split("#")):
+                    if j:
+                        parts.append(doc.cast("string"))
+                    parts.append(F.lit(bit))
+            return F.concat(*parts)
+
+        first = F.when(doc % 3 == 0, filled(PAYLOAD_OBJECT_BARE)).otherwise(filled(PAYLOAD_OBJECT))
+        wrapped = F.concat(F.lit('"'), F.replace(filled(PAYLOAD_OBJECT_BARE), F.lit('"'), F.lit('\\"')), F.lit('"'))
+        output = (
+            F.when(doc % 12 == 6, wrapped)
+            .when(doc % 6 == 0, first)
+            .when(doc % 12 == 1, filled(PAYLOAD_ALIASES))
+            .when(doc % 12 == 7, filled(PAYLOAD_ALIASES_BARE))
+            .when(doc % 6 == 2, F.concat(F.lit("Here it is\n```json\n"), filled(PAYLOAD_OBJECT), F.lit("\n```\nDone")))
+            .when(doc % 6 == 3, F.concat(F.lit("["), filled(PAYLOAD_OBJECT), F.lit("]")))
+            .when(doc % 30 == 4, "42").when(doc % 30 == 10, "true").when(doc % 30 == 16, "null")
+            .when(doc % 90 == 22, "1.5").when(doc % 90 == 52, F.lit(None).cast("string"))
+            .when(doc % 6 == 4, body)
+            .otherwise(filled(PAYLOAD_ODD))
+        )
+        return docs.select("document_id", "source_id", "url", output.alias("output"))
+
     # -- crawling -----------------------------------------------------------
-    @cached_property
+    @stored
     def crawl_jobs(self) -> DataFrame:
         ev, kind = F.col("event_id"), F.col("event_type")
         jobs = self.raw("events").select(
@@ -303,7 +405,7 @@ class Corpus:
             pick(q % 5, ("8", "3", "8", "25", "1")).cast("int").alias("max_evidence"),
         )
 
-    @cached_property
+    @stored
     def requests(self) -> DataFrame:
         """A batch of search requests taken from benchmark items and user turns.
 
