@@ -131,12 +131,25 @@ class Shelf:
 
 
 def shelf(c: Corpus) -> Shelf:
+    """Programs and sources as search needs them, stored with the corpus."""
+    return Shelf(c.keep("shelf_programs", lambda: _shelf_programs(c)), shelf_sources(c))
+
+
+def shelf_sources(c: Corpus) -> DataFrame:
+    return c.keep("shelf_sources", lambda: _shelf_sources(c))
+
+
+def _shelf_sources(c: Corpus) -> DataFrame:
     src = c.sources.select(
         F.col("id").alias("source_id"), "canonical_url", "domain_id",
         U.page_quality_score(F.col("canonical_url")).cast("long").alias("page_quality"),
     )
     dom = c.domains.select(F.col("id").alias("domain_id"), F.col("domain").alias("source_domain"))
-    src = src.join(dom, "domain_id").drop("domain_id")
+    return src.join(dom, "domain_id").drop("domain_id")
+
+
+def _shelf_programs(c: Corpus) -> DataFrame:
+    src = shelf_sources(c)
     jobs = c.crawl_jobs.select(F.col("id").alias("crawl_job_id"), "started_at")
     docs = c.document_keys.select(
         F.col("id").alias("doc_id"), "source_id", "crawl_job_id", F.col("created_at").alias("doc_created")
@@ -149,7 +162,7 @@ def shelf(c: Corpus) -> Shelf:
     programs = programs.join(docs, "doc_id").join(src, "source_id").withColumn(
         "newest_crawl", F.coalesce("started_at", "doc_created", "created_at")
     )
-    return Shelf(programs.drop("started_at", "doc_created", "created_at"), src)
+    return programs.drop("started_at", "doc_created", "created_at")
 
 
 def _passes(filters=FILTERS) -> Column:
@@ -237,7 +250,7 @@ def search_programs(
     given. Only narrow columns travel; text is joined to the result if needed.
     """
     if matches is None:
-        matches = match_documents(requests, c)
+        matches = c.stage(match_documents(requests, c), "matches")
     s = shelf(c)
     keep = ["query_id", "program_id", "doc_id", "source_id", "text_rank", "confidence", "rank"]
     exact = exact_programs(requests, matches, s, limit).select(*keep)
@@ -268,7 +281,7 @@ def search_sources(
     if matches is None:
         matches = match_documents(requests, c)
     docs = c.document_keys.select(F.col("id").alias("doc_id"), "source_id", "created_at")
-    src = shelf(c).sources
+    src = shelf_sources(c)
     asked = requests.select("query_id", "domain")
     hits = matches.where(F.col("leg") == EXACT).join(docs, "doc_id")
     ranked = hits.groupBy("query_id", "source_id").agg(

@@ -1,8 +1,10 @@
 """All registered queries."""
 
 from quarrylight.plans import (  # noqa: F401
+    catalog_answers,
     catalog_normalize,
     catalog_search,
+    catalog_urls,
     catalog_views,
 )
 from quarrylight.plans.registry import ORACLES, QUERIES  # noqa: F401

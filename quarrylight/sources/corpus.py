@@ -8,6 +8,7 @@ nothing is collected and no row order of the input matters.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from functools import cached_property, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -139,6 +140,16 @@ class Corpus:
             _WRITTEN[path] = df.schema
         return self.spark.read.schema(_WRITTEN[path]).parquet(path)
 
+    def stage(self, df: DataFrame, label: str) -> DataFrame:
+        """Write an intermediate result that several later steps read.
+
+        The steps start from a table instead of repeating the work, its real
+        size decides their joins, and a lost executor loses nothing.
+        """
+        path = f"{self.home}/stage/{label}-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def raw(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         # A few files may be one split each; only such small inputs are spread.
