@@ -2,7 +2,9 @@
 
 from quarrylight.plans import (  # noqa: F401
     catalog_answers,
+    catalog_learning,
     catalog_normalize,
+    catalog_ops,
     catalog_search,
     catalog_urls,
     catalog_views,

@@ -114,15 +114,16 @@ _pass = " AND ".join(f"(r.{f} IS NULL OR r.{f} = p.p_{f})" for f in _FILTERS) +
 )
 _score = " + ".join(f"(CASE WHEN r.{f} IS NOT NULL THEN 1 ELSE 0 END)" for f in (*_FILTERS, "domain"))
 
-view("v_exact_programs", f"""
+def _define_legs(prefix: str, condition: str, score: str) -> None:
+    """Both legs for one way of applying the filters of a request."""
+    view(f"{prefix}exact_programs", f"""
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY structured_score DESC, text_rank DESC, page_quality DESC,
   confidence DESC NULLS LAST, newest_crawl DESC NULLS LAST, program_id ASC) AS rank
-FROM (SELECT r.query_id, m.text_rank, {_score} AS structured_score, p.*
-  FROM v_requests r JOIN v_exact_matches m USING (query_id) JOIN v_shelf_programs p USING (doc_id) WHERE {_pass}
+FROM (SELECT r.query_id, m.text_rank, {score} AS structured_score, p.*
+  FROM v_requests r JOIN v_exact_matches m USING (query_id) JOIN v_shelf_programs p USING (doc_id) WHERE {condition}
   UNION ALL
-  SELECT r.query_id, 0.0::DOUBLE, {_score}, p.* FROM v_requests r JOIN v_shelf_programs p ON {_pass} WHERE r.query = '')""")
-
-view("v_expanded_programs", f"""
+  SELECT r.query_id, 0.0::DOUBLE, {score}, p.* FROM v_requests r JOIN v_shelf_programs p ON {condition} WHERE r.query = '')""")
+    view(f"{prefix}expanded_programs", f"""
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY intent_score DESC, text_rank DESC,
   confidence DESC NULLS LAST, program_id ASC) AS rank
 FROM (SELECT r.query_id, m.text_rank, p.*,
@@ -130,24 +131,28 @@ FROM (SELECT r.query_id, m.text_rank, p.*,
     + (CASE WHEN p.p_experience_level = i.intent_experience THEN 3 ELSE 0 END)
     + (CASE WHEN p.p_split_type = i.intent_split THEN 2 ELSE 0 END) AS intent_score
   FROM v_requests r JOIN v_intent i USING (query_id) JOIN v_expanded_matches m USING (query_id)
-  JOIN v_shelf_programs p USING (doc_id) WHERE {_pass})""")
+  JOIN v_shelf_programs p USING (doc_id) WHERE {condition})""")
+
+
+_define_legs("v_", _pass, _score)
+_define_legs("v_plain_", "true", "0")
 
 
-def program_search_sql(limit: int) -> str:
+def program_search_sql(limit: int, prefix: str = "v_") -> str:
     """A subquery with the filled program ranking of every request."""
     return f"""(
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY leg_no, rank) AS rank, leg, program_id, doc_id, source_id, text_rank, confidence
 FROM (
   SELECT query_id, rank, 'exact' AS leg, 0 AS leg_no, program_id, doc_id, source_id, text_rank, confidence
-  FROM v_exact_programs WHERE rank <= {limit}
+  FROM {prefix}exact_programs WHERE rank <= {limit}
   UNION ALL
   SELECT query_id, rank, 'expanded', 1, program_id, doc_id, source_id, text_rank, confidence
-  FROM v_expanded_programs e WHERE rank <= {max(2 * limit, 25)}
-    AND NOT EXISTS (SELECT 1 FROM v_exact_programs x WHERE x.query_id = e.query_id AND x.program_id = e.program_id AND x.rank <= {limit}))
+  FROM {prefix}expanded_programs e WHERE rank <= {max(2 * limit, 25)}
+    AND NOT EXISTS (SELECT 1 FROM {prefix}exact_programs x WHERE x.query_id = e.query_id AND x.program_id = e.program_id AND x.rank <= {limit}))
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY leg_no, rank) <= {limit})"""
 
 
-view("v_source_ranks", """
+_SOURCE_RANKS = """
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY text_rank DESC, page_quality DESC,
   latest_document_at DESC NULLS LAST, source_id ASC) AS rank
 FROM (SELECT r.query_id, s.source_id, m.text_rank, s.page_quality, m.latest_document_at
@@ -156,4 +161,6 @@ FROM (SELECT r.query_id, s.source_id, m.text_rank, s.page_quality, m.latest_docu
     UNION ALL SELECT r.query_id, d.source_id, 0.0::DOUBLE, max(d.created_at)
     FROM v_requests r, v_documents d WHERE r.query = '' GROUP BY 1, 2) m
   JOIN v_requests r USING (query_id) JOIN v_shelf_sources s USING (source_id)
-  WHERE r.domain IS NULL OR r.domain = s.source_domain)""")
+  WHERE {condition})"""
+view("v_source_ranks", _SOURCE_RANKS.format(condition="r.domain IS NULL OR r.domain = s.source_domain"))
+view("v_plain_source_ranks", _SOURCE_RANKS.format(condition="true"))

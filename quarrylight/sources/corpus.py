@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 
 from quarrylight.functions import text as T
 from quarrylight.functions import urls as U
+from quarrylight.functions.errors import error_code
 from quarrylight.session import work_folder
 
 SLUGS = (
@@ -392,6 +393,64 @@ class Corpus:
             F.when(failed, pick(ev % 5, ERROR_TYPES)).alias("error_type"),
         )
 
+    @cached_property
+    def policy_files(self) -> DataFrame:
+        """(body): policy documents, one JSON object per domain that has one."""
+        i = F.col("id")
+        rows = self.domains.where(i % 8 != 7)
+        rules = (
+            F.when(i % 6 == 1, '"admission_min_succeeded_sources": 2.0,')
+            .when(i % 6 == 2, F.concat(F.lit('"admission_max_recent_failure_rate": 0.2, "admission_recent_crawl_window": '), i % 4, F.lit(",")))
+            .when(i % 6 == 3, '"admission_min_avg_parse_confidence": 0.7, "stale_after_days": 9,')
+            .when(i % 6 == 4, '"admission_max_zero_program_rate": 0.3, "admission_min_succeeded_sources": null,')
+            .when(i % 6 == 5, '"admission_min_succeeded_sources": 1, "admission_max_recent_failure_rate": 0.9, '
+                  '"admission_min_avg_parse_confidence": 0.1, "admission_max_zero_program_rate": 0.99, "admission_recent_crawl_window": 5,')
+            .otherwise("")
+        )
+        limit = F.when(i % 3 == 0, F.concat(F.lit('"per_domain_limit": '), i % 4, F.lit(","))).otherwise("")
+        seeds = F.when(i % 5 == 0, F.lit("[]")).otherwise(
+            F.concat(F.lit('["https://'), F.col("domain"), F.lit('/start", 5, " https://'), F.col("domain"), F.lit('/more "]'))
+        )
+        body = F.concat(
+            F.lit('{" '), F.upper("domain"), F.lit(' ": {'), rules, limit, F.lit('"seed_urls": '), seeds, F.lit('}, "note": "text"}')
+        )
+        return rows.select(body.alias("body"))
+
+    @stored
+    def run_items(self) -> DataFrame:
+        """Items of crawl runs (100 crawl jobs to a run)."""
+        j = F.col("id")
+        docs = self.documents.select("crawl_job_id", F.col("id").alias("document_id"), "parse_confidence")
+        made = self.programs.groupBy("document_id").agg(F.count("*").alias("made"))
+        src = self.sources.select(F.col("id").alias("source_id"), "domain_id")
+        dom = self.domains.select(F.col("id").alias("domain_id"), "domain")
+        jobs = self.crawl_jobs.join(src.join(dom, "domain_id").drop("domain_id"), "source_id", "left")
+        jobs = jobs.join(docs, jobs.id == docs.crawl_job_id, "left").join(made, "document_id", "left")
+        gate = (F.col("job_type") == "discover") & (j % 3 == 0)
+        kind = (
+            F.when(gate, "domain_gate").when(F.col("job_type") == "discover", "discover")
+            .when(j % 2 == 0, "extract_pending").otherwise("refresh_empty")
+        )
+        status = (
+            F.when(gate | ((F.col("status") == "failed") & (j % 7 == 0)), "blocked")
+            .when(F.col("status").isin("failed", "succeeded"), F.col("status")).otherwise("skipped")
+        )
+        code = (
+            F.when(gate, F.when(j % 2 == 0, "blocked_active_crawl").otherwise("blocked_domain_paused"))
+            .when(status == "skipped", "dry_run")
+            .when(status.isin("failed", "blocked"), error_code(F.col("error_message"), F.col("error_type")))
+        )
+        good = status == "succeeded"
+        extract = F.col("job_type") == "extract"
+        host = F.regexp_extract("target_url", "^https?://([^/]*)", 1)
+        return jobs.select(
+            F.floor(j / 100).alias("run_id"), j.alias("item_id"), kind.alias("item_type"), F.when(extract, kind).alias("mode"),
+            F.when(extract, F.col("domain")).when(j % 4 != 0, host).alias("domain"), status.alias("status"), code.alias("error_code"),
+            F.when(good & extract, F.coalesce("made", F.lit(0))).alias("program_count"),
+            F.when(good & extract, F.col("parse_confidence")).alias("parse_confidence"),
+            "retry_count", F.col("cost").alias("cost_usd"), F.coalesce("started_at", "completed_at").alias("at"),
+        )
+
     # -- requests and labels ------------------------------------------------
     @cached_property
     def _request_base(self) -> DataFrame:
