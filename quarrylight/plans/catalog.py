@@ -5,8 +5,9 @@ from quarrylight.plans import (  # noqa: F401
     catalog_learning,
     catalog_normalize,
     catalog_ops,
+    catalog_records,
     catalog_search,
     catalog_urls,
     catalog_views,
 )
-from quarrylight.plans.registry import ORACLES, QUERIES  # noqa: F401
+from quarrylight.plans.registry import QUERIES, oracles  # noqa: F401

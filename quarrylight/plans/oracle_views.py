@@ -38,6 +38,39 @@ def with_views(sql: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+def clone_views(base: str, replacement: str, suffix: str, roots: list[str]) -> None:
+    """Copies of ``roots`` and of what they build on ``base``, over ``replacement``."""
+    memo: dict[str, bool] = {}
+
+    def depends(name: str) -> bool:
+        if name not in memo:
+            memo[name] = name == base or any(
+                depends(n) for n in VIEWS if n != name and re.search(rf"\b{n}\b", VIEWS[name])
+            )
+        return memo[name]
+
+    names = [n for n in VIEWS if n != base and depends(n)]
+
+    def swap(text: str) -> str:
+        for n in names:
+            text = re.sub(rf"\b{n}\b", n + suffix, text)
+        return re.sub(rf"\b{base}\b", replacement, text)
+
+    wanted: list[str] = []
+
+    def visit(name: str) -> None:
+        for n in names:
+            if n != name and n not in wanted and re.search(rf"\b{n}\b", VIEWS[name]):
+                visit(n)
+        if name not in wanted:
+            wanted.append(name)
+
+    for root in roots:
+        visit(root)
+    for n in wanted:
+        VIEWS[n + suffix] = swap(VIEWS[n])
+
+
 view("v_candidate_parts", r"""
 SELECT page_id,
   regexp_extract(url, '^https?://([^/?#]*)', 1) AS host,

@@ -10,7 +10,7 @@ from quarrylight.plans.oracle_views import with_views
 from quarrylight.sources.corpus import Corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -24,11 +24,16 @@ def query(name: str, sql: str | None = None):
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            _SQL[name] = sql
         return fn
 
     return register
 
 
+def oracles() -> dict[str, str]:
+    """The SQL twin of each query that has one, with the views it needs."""
+    return {name: with_views(sql) for name, sql in _SQL.items()}
+
+
 # The views must be known before any query registers.
 from quarrylight.plans import search_views  # noqa: E402,F401
