@@ -74,7 +74,7 @@ def domain_quality(c: Corpus, policies: DataFrame) -> DataFrame:
     return recent_failures(c, policies).join(per, "domain_id", "left").select(
         "domain_id", "domain", F.coalesce("succeeded", F.lit(0)).alias("succeeded_sources"), "recent_crawl_window",
         "recent_attempted_crawls", "recent_failed_crawls", "recent_failure_rate",
-        F.round("conf", 6).alias("avg_parse_confidence"), docs_n.alias("succeeded_with_documents"),
+        F.round("conf", 10).alias("avg_parse_confidence"), docs_n.alias("succeeded_with_documents"),
         zero.alias("zero_program_succeeded_sources"), F.round(F.try_divide(zero, docs_n), 6).alias("zero_program_rate"),
     )
 

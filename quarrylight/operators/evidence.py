@@ -154,7 +154,7 @@ def answers(requests: DataFrame, cards: DataFrame) -> DataFrame:
 
     per = used.groupBy("query_id").agg(
         F.count("*").alias("n"), F.slice(in_order("title"), 1, 5).alias("titles"),
-        F.slice(in_order("snippet"), 1, 3).alias("snippets"), F.round(F.avg("parse_confidence"), 6).alias("confidence"),
+        F.slice(in_order("snippet"), 1, 3).alias("snippets"), F.round(F.avg("parse_confidence"), 10).alias("confidence"),
     ).join(top, "query_id", "left")
     rows = requests.select("query_id", "query").join(per, "query_id", "left")
     lines = F.concat_ws(

@@ -48,9 +48,9 @@ def run_summary(items: DataFrame, threshold: float = V.FAILURE_RATE_THRESHOLD) -
         (done + failed + F.col("blocked_sources") + F.col("blocked_domain_gates") + F.col("skipped")).alias("processed"),
         "programs_created_total",
         F.round(F.coalesce(F.try_divide("programs_created_total", done), F.lit(0.0)), 6).alias("program_yield_rate"),
-        F.round("conf", 6).alias("avg_parse_confidence"), "empty_program_successes", F.round(rate, 6).alias("failure_rate"),
+        F.round("conf", 10).alias("avg_parse_confidence"), "empty_program_successes", F.round(rate, 6).alias("failure_rate"),
         "retry_events", "timeout_count", F.coalesce("top_error_codes", F.lit("")).alias("top_error_codes"),
-        F.round("cost", 6).alias("cost_usd_total"), F.round(F.try_divide("cost", done), 6).alias("avg_cost_per_success"),
+        F.round("cost", 6).alias("cost_usd_total"), F.round(F.try_divide("cost", done), 10).alias("avg_cost_per_success"),
         ((done + failed > 0) & (rate > threshold)).alias("should_fail"),
     )
 
@@ -74,7 +74,7 @@ def run_history(runs: DataFrame) -> DataFrame:
         F.count("*").alias("runs_analyzed"), F.max_by("run_id", F.struct("completed_at", "run_id")).alias("latest_run_id"),
         *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names],
         F.round(F.coalesce(F.sum("cost_usd_total"), F.lit(0.0)), 6).alias("cost_usd_total"),
-        F.round(F.coalesce(F.avg("failure_rate"), F.lit(0.0)), 6).alias("avg_failure_rate"),
+        F.round(F.coalesce(F.avg("failure_rate"), F.lit(0.0)), 10).alias("avg_failure_rate"),
         F.coalesce(F.max("failure_rate"), F.lit(0.0)).alias("max_failure_rate"),
     )
     parts = runs.where("top_error_codes <> ''").select(F.explode(F.split("top_error_codes", ",")).alias("part"))

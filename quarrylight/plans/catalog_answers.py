@@ -237,7 +237,7 @@ SELECT r.query_id, CASE WHEN u.n IS NULL THEN 'insufficient_evidence' ELSE 'ok'
     'Use evidence cards below for transparent source-level verification.') END AS answer
 FROM v_requests r
 LEFT JOIN (SELECT c.query_id, count(*) AS n, coalesce(list(title ORDER BY rank) FILTER (WHERE title <> ''), []) AS titles,
-    coalesce(list(snippet ORDER BY rank) FILTER (WHERE snippet <> ''), []) AS snippets, round(avg(parse_confidence), 6) AS confidence
+    coalesce(list(snippet ORDER BY rank) FILTER (WHERE snippet <> ''), []) AS snippets, round(avg(parse_confidence), 10) AS confidence
   FROM v_cards c JOIN v_requests q USING (query_id) WHERE c.rank <= q.max_evidence GROUP BY 1) u USING (query_id)
 LEFT JOIN (SELECT query_id, string_agg(dom, ', ' ORDER BY n DESC, first_rank) AS top_domains FROM (
     SELECT c.query_id, {S.netloc('c.canonical_url')} AS dom, count(*) AS n, min(c.rank) AS first_rank

@@ -300,8 +300,8 @@ def baseline_queries(c: Corpus):
 
 
 @query("baseline_eval", """
-SELECT count(*) AS queries, round(avg(ndcg), 6) AS ndcg, round(avg(reciprocal_rank), 6) AS reciprocal_rank, round(avg(recall), 6) AS recall,
-  round(avg(precision), 6) AS precision FROM v_baseline""")
+SELECT count(*) AS queries, round(avg(ndcg), 10) AS ndcg, round(avg(reciprocal_rank), 10) AS reciprocal_rank, round(avg(recall), 10) AS recall,
+  round(avg(precision), 10) AS precision FROM v_baseline""")
 def baseline_eval(c: Corpus):
     return E.means(baseline_metrics(c))
 

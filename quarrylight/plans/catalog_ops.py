@@ -66,7 +66,7 @@ LEFT JOIN (SELECT domain_id, count(*) FILTER (WHERE status IN ('succeeded', 'fai
   WHERE r <= w GROUP BY 1) x ON x.domain_id = d.id""")
 view("v_quality", """
 SELECT r.domain_id, r.domain, coalesce(q.succeeded, 0) AS succeeded_sources, r.recent_crawl_window, r.recent_attempted_crawls, r.recent_failed_crawls,
-  r.recent_failure_rate, round(q.conf, 6) AS avg_parse_confidence, coalesce(q.with_docs, 0) AS succeeded_with_documents,
+  r.recent_failure_rate, round(q.conf, 10) AS avg_parse_confidence, coalesce(q.with_docs, 0) AS succeeded_with_documents,
   coalesce(q.zero, 0) AS zero_program_succeeded_sources, round(CASE WHEN q.with_docs > 0 THEN q.zero / q.with_docs::DOUBLE END, 6) AS zero_program_rate
 FROM v_recent r LEFT JOIN (SELECT s.domain_id, count(*) AS succeeded, avg(d.parse_confidence) AS conf, count(s.latest_document_id) AS with_docs,
     count(*) FILTER (WHERE s.latest_document_id IS NOT NULL AND s.latest_document_id NOT IN (SELECT document_id FROM v_programs)) AS zero
@@ -227,10 +227,10 @@ _src = "item_type IN ('extract_pending', 'refresh_empty')"
 view("v_run_summary", f"""
 SELECT a.run_id, started_at, completed_at, succeeded, failed, skipped, gates AS blocked_domain_gates, blocked_sources + gates AS blocked,
   succeeded + failed + blocked_sources + gates + skipped AS processed, programs_created_total,
-  round(CASE WHEN succeeded > 0 THEN programs_created_total / succeeded::DOUBLE ELSE 0 END, 6) AS program_yield_rate, round(conf, 6) AS avg_parse_confidence,
+  round(CASE WHEN succeeded > 0 THEN programs_created_total / succeeded::DOUBLE ELSE 0 END, 6) AS program_yield_rate, round(conf, 10) AS avg_parse_confidence,
   empty_program_successes, round(CASE WHEN succeeded + failed > 0 THEN failed / (succeeded + failed)::DOUBLE ELSE 0 END, 6) AS failure_rate,
   retry_events, timeout_count, coalesce(e.top_error_codes, '') AS top_error_codes, round(cost, 6) AS cost_usd_total,
-  round(CASE WHEN succeeded > 0 THEN cost / succeeded END, 6) AS avg_cost_per_success,
+  round(CASE WHEN succeeded > 0 THEN cost / succeeded END, 10) AS avg_cost_per_success,
   succeeded + failed > 0 AND failed / (succeeded + failed)::DOUBLE > {V.FAILURE_RATE_THRESHOLD} AS should_fail
 FROM (SELECT run_id, count(*) FILTER (WHERE {_src} AND status = 'succeeded') AS succeeded, count(*) FILTER (WHERE {_src} AND status = 'failed') AS failed,
     count(*) FILTER (WHERE {_src} AND status = 'blocked') AS blocked_sources, count(*) FILTER (WHERE {_src} AND status = 'skipped') AS skipped,
@@ -274,7 +274,7 @@ _sums = ", ".join(
 
 @query("run_history", f"""
 SELECT count(*) AS runs_analyzed, arg_max(run_id, struct_pack(a := completed_at, b := run_id)) AS latest_run_id, {_sums},
-  round(coalesce(sum(cost_usd_total), 0), 6) AS cost_usd_total, round(coalesce(avg(failure_rate), 0), 6) AS avg_failure_rate,
+  round(coalesce(sum(cost_usd_total), 0), 6) AS cost_usd_total, round(coalesce(avg(failure_rate), 0), 10) AS avg_failure_rate,
   coalesce(max(failure_rate), 0) AS max_failure_rate, coalesce((SELECT string_agg(code || ':' || n, ',' ORDER BY n DESC, code) FROM (
     SELECT split_part(part, ':', 1) AS code, CAST(sum(CAST(split_part(part, ':', 2) AS BIGINT)) AS BIGINT) AS n
     FROM (SELECT unnest(string_split(top_error_codes, ',')) AS part FROM v_run_summary WHERE top_error_codes <> '') GROUP BY 1 ORDER BY n DESC, code LIMIT 5)), '') AS top_error_codes
