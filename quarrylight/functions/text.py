@@ -4,21 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions import fixed_values as V
 
-# Unicode white space: built-in trim() would only remove blanks.
+# White space characters, beyond the plain blank of trim().
+WHITE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 _WS = r"(?U)\s+"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+$", "")
+    return F.rtrim(c, F.lit(WHITE))
 
 
 def collapse(c: Column) -> Column:
@@ -57,13 +61,11 @@ def clamp_unit(c: Column) -> Column:
 
 
 def first_sentence(c: Column, limit: int = V.SENTENCE_LIMIT) -> Column:
-    body = strip(c)
-    cut = F.regexp_extract(body, r"(?sU)^(.*?[.!?])\s", 1)
-    sentence = F.when(cut != "", cut).otherwise(body)
-    shortened = F.when(
-        F.length(sentence) > limit, F.concat(rstrip(F.substring(sentence, 1, limit)), F.lit("..."))
-    ).otherwise(sentence)
-    return F.when(body != "", shortened)
+    """Text up to the first full stop, question or exclamation mark that is
+    followed by more text; reads no further than that."""
+    cut = F.nullif(F.regexp_extract(c, r"(?sU)^\s*(.*?[.!?])\s+\S", 1), F.lit(""))
+    sentence = F.coalesce(cut, F.nullif(strip(c), F.lit("")))
+    return F.when(F.length(sentence) > limit, F.concat(rstrip(F.substring(sentence, 1, limit)), F.lit("..."))).otherwise(sentence)
 
 
 def is_meta_text(c: Column) -> Column:
@@ -151,21 +153,26 @@ def lexemes(c: Column) -> Column:
     return F.array_distinct(F.transform(kept, stem))
 
 
-def snippet(text: Column, query: Column, size: int = V.SNIPPET_CHARS, lead: int = V.SNIPPET_LEAD) -> Column:
-    """A window of the text around the earliest query term, or its head."""
-    flat = collapse(text)
-    low = F.lower(flat)
-    terms = F.filter(tokens(query), lambda t: F.length(t) > 2)
-    hits = F.filter(F.transform(terms, lambda t: F.position(t, low)), lambda i: i > 0)
-    first = F.array_min(hits)
+def with_snippet(
+    df: DataFrame, text: str, query: str, name: str = "snippet", size: int = V.SNIPPET_CHARS, lead: int = V.SNIPPET_LEAD
+) -> DataFrame:
+    """Add a window of the text around its earliest query term, or its head.
+
+    Built in steps so that the text is cleaned once per row, not once per term.
+    """
+    terms = F.filter(tokens(F.col(query)), lambda t: F.length(t) > 2)
+    hits = F.filter(F.transform(terms, lambda t: F.position(t, F.col("_low"))), lambda i: i > 0)
+    rows = df.withColumn("_flat", collapse(F.col(text))).withColumn("_low", F.lower("_flat"))
+    rows = rows.withColumn("_first", F.array_min(hits))
+    flat, first = F.col("_flat"), F.col("_first")
     start = F.greatest(F.lit(0), first - 1 - F.lit(lead))
     end = F.least(F.length(flat), start + F.lit(size))
-    dots = F.lit("...")
-    none = F.lit("")
+    dots, none = F.lit("..."), F.lit("")
     around = F.concat(
         F.when(start > 0, dots).otherwise(none),
         F.trim(F.substr(flat, start + 1, end - start)),
         F.when(end < F.length(flat), dots).otherwise(none),
     )
     head = F.concat(F.substring(flat, 1, size), F.when(F.length(flat) > size, dots).otherwise(none))
-    return F.when(flat != "", F.when(first.isNull(), head).otherwise(around))
+    out = F.when(flat != "", F.when(first.isNull(), head).otherwise(around))
+    return rows.withColumn(name, out).drop("_flat", "_low", "_first")

@@ -89,11 +89,12 @@ def evidence_cards(requests: DataFrame, c: Corpus, lists: tuple[DataFrame, DataF
     names = c.programs.select(F.col("id").alias("program_id"), F.col("name").alias("program_name"))
     docs = c.documents.select(F.col("id").alias("document_id"), "raw_text", "published_at", "parse_confidence")
     rows = kept.join(src, "source_id").join(names, "program_id", "left").join(docs, "document_id", "left")
+    rows = T.with_snippet(rows, "raw_text", "query")
     is_program = F.col("reason") == "program_match"
     return rows.select(
         "query_id", "rank", "source_id", "document_id", "reason", "canonical_url",
         F.when(is_program, F.col("program_name")).otherwise(F.col("source_title")).alias("title"),
-        T.snippet(F.col("raw_text"), F.col("query")).alias("snippet"),
+        "snippet",
         F.when(is_program, F.col("confidence")).otherwise(F.col("parse_confidence")).alias("parse_confidence"),
         "last_crawled_at",
         F.when(is_program, U.domain_of_url(F.col("canonical_url"))).otherwise(F.col("source_domain")).alias("domain"),

@@ -67,10 +67,10 @@ def candidate_pool(queries: DataFrame, existing: DataFrame, retrieved: DataFrame
     return rows.withColumn("candidate_no", F.row_number().over(w).cast("long")).drop("part", "no")
 
 
-def teacher_score(query: Column, text: Column) -> Column:
-    """Share of query terms that occur in the candidate text."""
+def teacher_score(query: Column, words: Column) -> Column:
+    """Share of query terms that occur among the words of a candidate."""
     terms = F.array_distinct(T.tokens(query))
-    return F.round(F.size(F.array_intersect(terms, T.tokens(text))) / F.greatest(F.size(terms), F.lit(1)), 6)
+    return F.round(F.size(F.array_intersect(terms, words)) / F.greatest(F.size(terms), F.lit(1)), 6)
 
 
 def bootstrap_labels(scored: DataFrame) -> DataFrame:

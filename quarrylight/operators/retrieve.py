@@ -257,14 +257,11 @@ def search_programs(
     browse = browse_programs(requests, s, limit).select(*keep)
     wider = expanded_programs(requests, matches, s, max(2 * limit, 25)).select(*keep)
     # At most limit and max(2 * limit, 25) rows per request meet here.
-    both = (
+    fill = wider.join(exact.select("query_id", "program_id"), ["query_id", "program_id"], "left_anti")
+    rows = (
         exact.unionByName(browse).withColumn("leg", F.lit(EXACT)).withColumn("leg_no", F.lit(0))
-        .unionByName(wider.withColumn("leg", F.lit(EXPANDED)).withColumn("leg_no", F.lit(1)))
-    )
-    once = both.groupBy("query_id", "program_id").agg(
-        F.min(F.struct("leg_no", "rank", "leg", "doc_id", "source_id", "text_rank", "confidence")).alias("best")
-    )
-    rows = once.select("query_id", "program_id", "best.*").withColumnRenamed("rank", "leg_rank")
+        .unionByName(fill.withColumn("leg", F.lit(EXPANDED)).withColumn("leg_no", F.lit(1)))
+    ).withColumnRenamed("rank", "leg_rank")
     return top_n(rows, ["query_id"], [F.asc("leg_no"), F.asc("leg_rank")], limit).drop("leg_no", "leg_rank")
 
 

@@ -27,7 +27,7 @@ def snippets(c: Corpus):
     d = F.col("doc_id")
     probe = F.when(d % 3 == 0, F.regexp_extract("text", r"(\S+)\s*$", 1)).when(d % 3 == 1, "a of zz").otherwise("qqqq xyzzy")
     rows = c.raw("documents").select("doc_id", "text", probe.alias("probe"))
-    return rows.select("doc_id", T.snippet(F.col("text"), F.col("probe")).alias("snippet"))
+    return T.with_snippet(rows, "text", "probe").select("doc_id", "snippet")
 
 
 _program_fields = [
@@ -276,11 +276,15 @@ FROM (SELECT p.query_id, p.rank, p.program_id, p.text_rank, p.confidence, len(li
 
 
 def rerank_candidates(c: Corpus):
-    """Program candidates to depth 50 with the query and the program text."""
+    """Program candidates to depth 50 with the query and the words of their text.
+
+    Words are taken once per program, however many requests it is a candidate of.
+    """
     asked = c.requests.where(T.strip(F.col("query")) != "")
     found = R.search_programs(asked, c, V.RERANK_DEPTH)
     rows = c.stage(found, "candidates").join(asked.select("query_id", "query"), "query_id")
-    return rows.join(program_texts(c), "program_id")
+    words = program_texts(c).select("program_id", F.array_distinct(T.tokens(F.col("text"))).alias("words"))
+    return rows.join(words, "program_id")
 
 
 @query("rerank", """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrylight.functions import fixed_values as V
+from quarrylight.functions import text as T
 from quarrylight.operators import evaluate as E
 from quarrylight.operators import labels as L
 from quarrylight.operators import quality as Q
@@ -140,7 +141,7 @@ LEFT JOIN v_shelf_programs a ON a.program_id = p.program_id LEFT JOIN v_shelf_so
 
 @query("candidate_pools", "SELECT * FROM v_pools")
 def candidate_pools(c: Corpus):
-    return pools(c)
+    return _pools(c)
 
 
 # -- labels ------------------------------------------------------------------
@@ -170,12 +171,23 @@ def pool_texts(c: Corpus):
     return rows.withColumn("text", F.coalesce("text_a", "text_b")).drop("text_a", "text_b")
 
 
+def pool_words(c: Corpus, part=None):
+    """Pool rows with the distinct words of their text, cut once per item."""
+    def words(df):
+        text = part(F.col("text")) if part else F.col("text")
+        return df.select(df.columns[0], F.array_distinct(T.tokens(text)).alias(f"w_{df.columns[0]}"))
+
+    rows = pools(c).join(c.requests.select("query_id", "query"), "query_id")
+    rows = rows.join(words(program_texts(c)), "program_id", "left").join(words(evidence_texts(c)), "source_id", "left")
+    return rows.withColumn("words", F.coalesce("w_program_id", "w_source_id")).drop("w_program_id", "w_source_id")
+
+
 def bootstrap(c: Corpus):
     return c.keep("bootstrap", lambda: _bootstrap(c))
 
 
 def _bootstrap(c: Corpus):
-    scored = pool_texts(c).withColumn("score", L.teacher_score(F.col("query"), F.col("text")))
+    scored = pool_words(c).withColumn("score", L.teacher_score(F.col("query"), F.col("words")))
     keep = ("query_id", "program_id", "source_id", "baseline_rank", "candidate_no", "score")
     return L.bootstrap_labels(scored.select(*keep))
 
@@ -194,7 +206,7 @@ def labels(c: Corpus):
 
 @query("bootstrap_labels", "SELECT * FROM v_bootstrap")
 def bootstrap_labels(c: Corpus):
-    return bootstrap(c)
+    return _bootstrap(c)
 
 
 @query("human_overrides", "SELECT * FROM v_labels")

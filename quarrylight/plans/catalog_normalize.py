@@ -99,7 +99,7 @@ def program_url_flag(c: Corpus):
 SELECT document_id, source_id, payload_type, title, author, source_type, summary, raw_text, n_programs, n_claims,
   parse_confidence, warnings FROM v_normalized""")
 def normalize_documents(c: Corpus):
-    return normalized(c).select(
+    return N.normalize(c.payloads).select(
         "document_id", "source_id", "payload_type", "title", "author", "source_type", "summary", "raw_text",
         F.size("programs").cast("long").alias("n_programs"), F.size("claims").cast("long").alias("n_claims"),
         "parse_confidence", F.array_join("warnings", ",").alias("warnings"),
@@ -124,12 +124,12 @@ def infer_programs(c: Corpus):
 
 @query("parse_confidence", "SELECT document_id, parse_confidence FROM v_normalized")
 def parse_confidence(c: Corpus):
-    return normalized(c).select("document_id", "parse_confidence")
+    return N.normalize(c.payloads).select("document_id", "parse_confidence")
 
 
 @query("validation_errors", "SELECT document_id, validation_errors FROM v_normalized")
 def validation_errors(c: Corpus):
-    return normalized(c).select("document_id", F.array_join("validation_errors", ",").alias("validation_errors"))
+    return N.normalize(c.payloads).select("document_id", F.array_join("validation_errors", ",").alias("validation_errors"))
 
 
 @query("extraction_diagnostics", f"""

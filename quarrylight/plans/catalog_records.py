@@ -343,8 +343,7 @@ def learned_rerank_eval(c: Corpus):
     shelf = R.shelf(c)
     more = shelf.programs.select("program_id", "page_quality", F.col("confidence"))
     rows = CL.labels(c).join(CL.train_split_of(c), "query_id").join(more, "program_id", "left")
-    words = CL.pool_texts(c).select(
-        "query_id", "candidate_no", L.teacher_score(F.col("query"), F.substring_index("text", "source content: ", 1)).alias("field_overlap")
-    )
+    fields = CL.pool_words(c, lambda text: F.substring_index(text, "source content: ", 1))
+    words = fields.select("query_id", "candidate_no", L.teacher_score(F.col("query"), F.col("words")).alias("field_overlap"))
     rows = rows.join(words, ["query_id", "candidate_no"])
     return LR.fit_and_evaluate(c.stage(rows, "features"))

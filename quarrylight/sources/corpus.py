@@ -484,6 +484,7 @@ class Corpus:
         q = F.col("query_id")
         home = self.page_urls.select(F.col("page_id").alias("home"), F.col("domain").alias("home_domain"))
         base = self._request_base
+        base = base.repartition(self.spark.sparkContext.defaultParallelism, "query_id")
         r = base.withColumn("home", F.when(q % 4 == 1, q % 50))
         return r.join(home, "home", "left").select(
             *[F.col("home_domain").alias("domain") if c == "domain" else c for c in base.columns]
