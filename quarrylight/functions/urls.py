@@ -40,11 +40,11 @@ def canonicalize_url(url: Column) -> Column:
     """
     u = _with_scheme(strip(url))
     u = F.regexp_replace(u, r"(?s)[?#].*$", "")
-    u = F.regexp_replace(u, r"^(.*?//[^/]*/(?:.*/)?[^/;]*);[^/]*$", "$1")
-    u = F.regexp_replace(u, r"^(.*?//[^/]*)$", "$1/")
-    u = F.regexp_replace(u, r"^(.*?//[^/]*/.*)/$", "$1")
+    u = F.regexp_replace(u, r"^([^/]*//[^/]*/(?:.*/)?[^/;]*);[^/]*$", "$1")
+    u = F.regexp_replace(u, r"^([^/]*//[^/]*)$", "$1/")
+    u = F.regexp_replace(u, r"^([^/]*//[^/]*/.*)/$", "$1")
     return F.concat(
-        F.lower(F.regexp_extract(u, r"^(.*?//[^/]*)", 1)), F.regexp_extract(u, r"^.*?//[^/]*(/.*)$", 1)
+        F.lower(F.regexp_extract(u, r"^([^/]*//[^/]*)", 1)), F.regexp_extract(u, r"^[^/]*//[^/]*(/.*)$", 1)
     )
 
 
