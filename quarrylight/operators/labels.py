@@ -35,10 +35,10 @@ def random_negatives(queries: DataFrame, known: DataFrame, items: DataFrame, ite
     items by equality: queries and items are never multiplied.
     """
     ring = hashed_position(items.select(item), seeded(seed, F.col(item)), "place")
-    total = ring.agg(F.count("*").alias("total"))
+    total = items.agg(F.count("*")).scalar()
     counts = known.groupBy("query_id").agg(F.countDistinct(item).alias("n_known"))
     start = F.conv(F.substring(F.md5(seeded(seed, F.col("query_id")).cast("binary")), 1, 8), 16, 10).cast("long")
-    asked = queries.select("query_id").join(counts, "query_id", "left").join(F.broadcast(total))  # one row
+    asked = queries.select("query_id").join(counts, "query_id", "left").withColumn("total", total)
     steps = F.least(F.lit(n) + F.coalesce("n_known", F.lit(0)), F.col("total"))
     walk = asked.where("total > 0").select(
         "query_id", "total", start.alias("start"), F.explode(F.sequence(F.lit(0).cast("long"), steps - 1)).alias("step")
@@ -97,30 +97,31 @@ def unmatched_judgments(labels: DataFrame, human: DataFrame) -> DataFrame:
 def query_splits(queries: DataFrame, seed: int = 42) -> DataFrame:
     """(query_id, split): 70/15/15 by hashed order, each part non-empty if possible."""
     placed = hashed_position(queries.select("query_id").distinct(), seeded(seed, F.col("query_id")))
+    total = queries.agg(F.countDistinct("query_id")).scalar()
+    rows = placed.withColumn("n", total)
     n = F.col("n")
     train = F.bround(n * F.lit(0.70)).cast("long")
     validation = train + F.bround(n * F.lit(0.15)).cast("long")
     t = F.when(n >= 3, F.least(F.greatest(train, F.lit(1)), n - 2)).when(n == 2, 1).otherwise(train)
     v = F.when(n >= 3, F.least(F.greatest(validation, t + 1), n - 1)).when(n == 2, 1).otherwise(validation)
-    total = placed.agg(F.count("*").alias("n"))
     split = F.when(F.col("position") < t, "train").when(F.col("position") < v, "validation").otherwise("test")
-    return placed.join(F.broadcast(total)).select("query_id", split.alias("split"))  # one row
+    return rows.select("query_id", split.alias("split"))
 
 
 def train_splits(queries: DataFrame, authoritative: DataFrame, seed: int = 42) -> DataFrame:
     """Splits where authoritative(query_id) queries always train."""
     placed = hashed_position(queries.select("query_id").distinct(), seeded(seed, F.col("query_id")))
-    total = placed.agg(F.count("*").alias("n"))
+    total = queries.agg(F.countDistinct("query_id")).scalar()
     n = F.col("n")
     train = F.greatest(F.lit(1), F.bround(n * F.lit(0.70)).cast("long"))
     end = F.least(F.greatest(train + 1, train + F.bround(n * F.lit(0.15)).cast("long")), n - 1)
     own = authoritative.select("query_id", F.lit(True).alias("own")).distinct()
-    rows = placed.join(own, "query_id", "left").join(F.broadcast(total))  # one row
+    rows = placed.join(own, "query_id", "left").withColumn("n", total)
     rows = rows.select("query_id", (F.coalesce("own", F.lit(False)) | (F.col("position") < train)).alias("trains"), (end - train).alias("want"))
     rest = hashed_position(rows.where("NOT trains").select("query_id", "want"), seeded(seed, F.col("query_id")))
-    left = rest.agg(F.count("*").alias("left"))
+    left = rows.where("NOT trains").agg(F.count("*")).scalar()
     size = F.when(F.col("left") >= 2, F.least(F.col("left") - 1, F.greatest(F.lit(1), F.col("want")))).otherwise(0)
-    held = rest.join(F.broadcast(left)).select(
+    held = rest.withColumn("left", left).select(
         "query_id", F.when(F.col("position") < size, "validation").otherwise("test").alias("split")
     )
     return rows.where("trains").select("query_id", F.lit("train").alias("split")).unionByName(held)

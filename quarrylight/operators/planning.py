@@ -122,7 +122,7 @@ def dry_run_items(
     caps = _caps(free.select("domain_id", "domain", "pos"), policies, per_domain, budget)
     plan = spend_budget(plan_candidates(c, caps), "pos", budget)
     # The budget ends with the domain of its last unit, if it is used up.
-    last = plan.agg(F.when(F.count("*") >= budget, F.max("pos")).alias("last_pos"))
+    last = plan.agg(F.when(F.count("*") >= budget, F.max("pos")).alias("last_pos")).scalar()
 
     text = "string"
     none = F.lit(None)
@@ -133,7 +133,7 @@ def dry_run_items(
         return df.select(*[v.alias(n) for n, v in zip(cols, values)])
 
     gate, blocked = F.lit("domain_gate"), F.lit("blocked")
-    reached = run.join(F.broadcast(last), F.col("last_pos").isNull() | (F.col("pos") <= F.col("last_pos")), "left_semi")
+    reached = run.withColumn("last_pos", last).where("last_pos IS NULL OR pos <= last_pos").drop("last_pos")
     refused = items(asked.where("reason IS NOT NULL"), gate, blocked, F.concat(F.lit("blocked_"), "reason"), blocked)
     poor = items(reached.where("admission_block_reason IS NOT NULL"), gate, blocked, F.concat(F.lit("blocked_"), "admission_block_reason"), blocked)
     busy = items(

@@ -202,8 +202,9 @@ def browse_programs(requests: DataFrame, s: Shelf, limit: int) -> DataFrame:
     """Requests without text: filters only, no text rank.
 
     Programs meet requests by equality on the values of the active filters.
-    Each program is looked up once per filter combination that occurs, and each
-    distinct filter set is answered once, however many requests share it.
+    Each program is looked up once per filter combination that occurs (64 at
+    most), and each distinct filter set is answered once, however many requests
+    share it.
     """
     blank = requests.where("query = ''")
     bits = [F.when(F.col(f).isNotNull(), 1 << i).otherwise(0) for i, f in enumerate(FILTERS)]
@@ -217,7 +218,8 @@ def browse_programs(requests: DataFrame, s: Shelf, limit: int) -> DataFrame:
         active = F.col("mask").bitwiseAND(F.lit(1 << i)) != 0
         return F.when(active, F.coalesce(F.col(have).cast("string"), F.lit("\x00"))).otherwise("")
 
-    masks = F.explode(F.sequence(F.lit(0), F.lit((1 << len(FILTERS)) - 1)))
+    used = [r.mask for r in sets.select("mask").distinct().collect()]  # at most 64 numbers
+    masks = F.explode(F.array(*[F.lit(m) for m in used]).cast("array<int>"))
     offered = s.programs.withColumn("mask", masks).withColumn(
         "filter_key", F.concat_ws("\x1f", *[value(i, f) for i, f in enumerate(FILTERS)])
     )

@@ -21,6 +21,8 @@ def build_session(app: str = "quarrylight", master: str | None = None, **conf: s
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Few narrow rows may still carry much text work: keep them on all cores.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32k",
         "spark.ui.enabled": "false",
     }
     for key, value in {**defaults, **conf}.items():
