@@ -6,12 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
+def top_n(
+    df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank",
+    spread: list[str] | None = None, salts: int = 8,
+) -> DataFrame:
     """First ``n`` rows of each group.
 
     With a literal bound the planner keeps only ``n`` rows per group and input
     partition before it shuffles, so a hot group sends few rows to its task.
+    Where a join on the keys comes just before, that join has already brought
+    the group together: ``spread`` columns then make a first cut in hashed
+    slices, which lets adaptive execution split the hot side of the join.
     """
+    if spread:
+        cut = F.pmod(F.xxhash64(*spread), F.lit(salts))
+        df = top_n(df.withColumn("_slice", cut), [*keys, "_slice"], order, n, "_cut").drop("_slice", "_cut")
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w).cast("long")).where(F.col(rank) <= n)
 

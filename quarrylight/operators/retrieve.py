@@ -195,7 +195,7 @@ def exact_programs(requests: DataFrame, matches: DataFrame, s: Shelf, limit: int
     found = matches.where(F.col("leg") == EXACT).join(s.programs, "doc_id")
     rows = found.join(requests.select("query_id", *FILTERS), "query_id").where(_passes())
     rows = rows.withColumn("structured_score", structured_score())
-    return top_n(rows, ["query_id"], exact_order(), limit)
+    return top_n(rows, ["query_id"], exact_order(), limit, spread=["program_id"])
 
 
 def browse_programs(requests: DataFrame, s: Shelf, limit: int) -> DataFrame:
@@ -240,7 +240,7 @@ def expanded_programs(requests: DataFrame, matches: DataFrame, s: Shelf, limit:
         + F.when(F.col("p_experience_level") == F.col("intent_experience"), 3).otherwise(0)
         + F.when(F.col("p_split_type") == F.col("intent_split"), 2).otherwise(0)
     )
-    return top_n(rows.withColumn("intent_score", score.cast("long")), ["query_id"], expanded_order(), limit)
+    return top_n(rows.withColumn("intent_score", score.cast("long")), ["query_id"], expanded_order(), limit, spread=["program_id"])
 
 
 def search_programs(
@@ -289,7 +289,7 @@ def search_sources(
     rows = ranked.join(src, "source_id").join(asked, "query_id").where(
         "domain IS NULL OR domain = source_domain"
     ).select("query_id", "source_id", "text_rank", "page_quality", "latest_document_at")
-    by_text = top_n(rows, ["query_id"], source_order(), limit)
+    by_text = top_n(rows, ["query_id"], source_order(), limit, spread=["source_id"])
 
     # Requests without text see every source that has a document, at rank 0.
     # Each distinct domain filter (or none) is answered once.
