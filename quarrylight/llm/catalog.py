@@ -7,7 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylight.llm import common
+from quarrylight.llm.language_id import identify
 from quarrylight.llm.near_dedup import near_duplicates
+from quarrylight.llm.packing import pack
+from quarrylight.llm.url_filter import judge_urls
+
+URL_ENTRIES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def tokenizer(name: str) -> str:
+    """The path of a public tokenizer file of this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every ``pages`` url."""
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_ENTRIES)
+
+
+OP1_SQL = """
+WITH parts AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+rules(verdict, host, path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+fits AS (
+  SELECT p.page_id, p.host, p.path, r.host || r.path AS rule, r.verdict, length(r.host) AS h, length(r.path) AS l
+  FROM parts p LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY h DESC NULLS LAST, l DESC NULLS LAST) = 1
+"""
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +47,21 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir), shingle_words=2, percent=80)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by rank-order profiles."""
+    return identify(common.documents(spark, sf_dir))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4,096 tokens along the curve."""
+    return pack(common.documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op8_language_id": op8_language_id,
+    "op9_packing": op9_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_url_filters": OP1_SQL}

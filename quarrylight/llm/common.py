@@ -104,9 +104,9 @@ class Scratch:
         bounded_batches(spark)
         self.folder = f"{work_folder(spark).rstrip('/')}/quarrylight-llm/{label}-{uuid.uuid4().hex[:12]}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = f"{self.folder}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
