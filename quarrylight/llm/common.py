@@ -47,15 +47,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _sequence(codes: np.ndarray, length: int) -> np.ndarray:
+    if length == 1:
+        return codes
+    n, half = len(codes) - length + 1, length // 2
+    part = _sequence(codes, half)
+    total = mixed(part[:n] * MIX_A + part[half : half + n])
+    return mixed(total * MIX_A + codes[length - 1 :]) if length % 2 else total
+
+
 def sequence_codes(codes: np.ndarray, length: int, odd: int = 0) -> np.ndarray:
     """A code for each run of ``length`` consecutive words; ``odd`` picks one of many independent codings."""
-    n = len(codes) - length + 1
-    if n <= 0:
+    if len(codes) < length:
         return np.zeros(0, np.uint64)
-    total = np.full(n, odd * 2 + 1, np.uint64)
-    for i in range(length):
-        total = mixed(total * MIX_A + codes[i : i + n])
-    return total
+    return mixed(_sequence(codes, length) + np.uint64(odd * int(MIX_C) % 2**64))
 
 
 def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
