@@ -201,11 +201,12 @@ def near_duplicates(
         .where(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)")
     )
     likely = scratch.save(sized.mapInArrow(partial(_bounded, percent=percent), "u long, v long"), "likely")
-    wanted = likely.select(F.col("u").alias("id")).union(likely.select(F.col("v").alias("id"))).distinct()
+    # The texts of all candidates move once, for both searches.
+    wanted = candidates.select(F.col("u").alias("id")).union(candidates.select(F.col("v").alias("id"))).distinct()
     bodies = scratch.save(source.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "bodies")
     starred = likely.join(bodies.toDF("u", "text_u"), "u").join(bodies.toDF("v", "text_v"), "v").select("u", "v", "text_u", "text_v")
     links = scratch.save(starred.mapInArrow(partial(_confirmed, size=shingle_words, percent=percent), "u long, v long"), "stars")
-    scratch.drop("likely", "bodies")
+    scratch.drop("likely")
     joined = components(links, scratch, "first")
 
     # Families: what shared bands connect at all. Those that still hold several components are searched within.
@@ -224,7 +225,6 @@ def near_duplicates(
         "split",
     )
     inside = placed.join(split, "family")
-    bodies = source.join(inside.select("id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     rows = scratch.save(inside.join(bodies, "id"), "inside")
     held = rows.select("family", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.lit(False).alias("asks"), "id", "component", "text")
     asked = rows.where("component != main").select(
@@ -236,7 +236,7 @@ def near_duplicates(
         "across",
     )
     final = components(joined.toDF("u", "v").union(more), scratch, "last")
-    scratch.drop("shared", "candidates", "stars", "placed", "split", "inside")
+    scratch.drop("shared", "bodies", "candidates", "stars", "placed", "split", "inside")
 
     member = (
         classes.join(final.withColumnRenamed("node", "class"), "class", "left")
