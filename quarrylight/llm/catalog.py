@@ -10,6 +10,7 @@ from quarrylight.llm import common
 from quarrylight.llm.language_id import identify
 from quarrylight.llm.near_dedup import near_duplicates
 from quarrylight.llm.packing import pack
+from quarrylight.llm.quality import judge_quality
 from quarrylight.llm.substring_dedup import judge_repeats
 from quarrylight.llm.url_filter import judge_urls
 
@@ -48,6 +49,11 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir), shingle_words=2, percent=80)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    return judge_quality(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of every document that a repeated window of 20 words covers."""
     return judge_repeats(common.documents(spark, sf_dir), window=20)
@@ -66,6 +72,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_quality_classifier": op4_quality_classifier,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
