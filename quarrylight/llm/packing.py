@@ -21,30 +21,88 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm import common
-from quarrylight.llm.common import CACHE_ENTRIES, Scratch
+from quarrylight.llm.common import Scratch
 
 DIMENSIONS, BITS, HASHED, SEED = 4, 10, 1024, 77
 #: Low bits of the sort key that come from the document's id: equal documents spread over a key range.
 SPREAD_BITS = 63 - DIMENSIONS * BITS
 
 
+#: Words whose ids a task remembers; a full table is emptied.
+HELD_WORDS = 1_000_000
+#: Words that are encoded as one text.
+TOGETHER = 512
+#: Marks that the tokenizer parts from a word before them.
+_TAIL = b".,;:!?"
+
+
 class _WordIds(dict):
-    """Word -> its token ids as little-endian bytes. No token crosses white space, so words can be taken alone."""
+    """Word -> its token ids as little-endian bytes. No token crosses white space, so words can be taken alone.
+
+    New words are encoded many at a time as one text; the ends are found again
+    by the vocabulary's word-end mark. Where that doesn't give one end a word,
+    each is encoded by itself.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.kind = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _spell(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self._encode([" ".join(words)])[0], self.kind)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words) or (len(ends) and ends[-1] != len(ids)):
+            return [self._packed(x) for x in self._encode(words)]
+        packed, size, starts = ids.tobytes(), ids.itemsize, [0, *(ends[:-1] * ids.itemsize).tolist()]
+        return [packed[a:b] for a, b in zip(starts, (ends * size).tolist(), strict=True)]
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHE_ENTRIES:
+        if len(self) + len(words) > HELD_WORDS:
             self.clear()
-            new = list(words)
-        coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.update((w, np.array(x.ids, self.kind).tobytes()) for w, x in zip(new, coded, strict=True))
+        words = list(words)
+        stems = [w.rstrip(_TAIL).lower() for w in words]
+        letters = {s for s in set(stems) if s.isalpha() or s.decode("utf-8", "replace").isalpha()}
+        plain = sorted(s for s in letters if s not in self)
+        spelled = {}
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at : at + TOGETHER]
+            spelled.update(zip(some, self._spell([s.decode() for s in some]), strict=True))
+        self.update(spelled)
+        tails: dict[bytes, bytes] = {b"": b""}
+        odd = []
+        for word, stem in zip(words, stems, strict=True):
+            if stem not in letters:
+                odd.append(word)
+                continue
+            ids, tail = self[stem], word[len(stem) :]
+            if tail not in tails:
+                tails[tail] = self._packed(self._encode([tail.decode()])[0])
+            self[word] = ids + tails[tail]
+        whole = self._encode([w.decode("utf-8", "replace") for w in odd])
+        self.update((w, self._packed(x)) for w, x in zip(odd, whole, strict=True))
+
+    def texts(self, found: list[list[bytes]]) -> list[bytes]:
+        """The ids of each list of words."""
+        out = [list(map(self.get, x)) for x in found]
+        lacking = [i for i, x in enumerate(out) if None in x]
+        new = {w for i in lacking for w, ids in zip(found[i], out[i], strict=True) if ids is None}
+        if new:
+            self.learn(new)
+            for i in lacking:
+                out[i] = [x if x is not None else self[w] for w, x in zip(found[i], out[i], strict=True)]
+        return [b"".join(x) for x in out]
 
 
 @lru_cache(1)
@@ -99,8 +157,7 @@ def _tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Ite
     for batch in batches:
         for part in common.slices(batch, "text"):
             found = [common.words(x) for x in common.texts(part)]
-            table.learn(set().union(*found))
-            ids = [b"".join(map(table.__getitem__, x)) + end for x in found]
+            ids = [x + end for x in table.texts(found)]
             points = np.array([vectors[np.frombuffer(x, table.kind)].sum(axis=0, dtype=np.float64) / np.sqrt(len(x)) for x in ids])
             cells = ((1 << BITS) / (1 + np.exp(-np.clip(points, -30, 30)))).astype(np.int64)
             place = hilbert_keys(np.minimum(cells, (1 << BITS) - 1), BITS)
