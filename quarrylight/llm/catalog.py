@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarrylight.llm import common
 from quarrylight.llm.language_id import identify
 from quarrylight.llm.near_dedup import near_duplicates
+from quarrylight.llm.neighbours import nearest_neighbours
 from quarrylight.llm.packing import pack
 from quarrylight.llm.quality import judge_quality
 from quarrylight.llm.substring_dedup import judge_repeats
@@ -69,6 +71,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(common.documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of each of the ``embeddings`` whose id is divisible by 20."""
+    return nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
@@ -76,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 SQL: dict[str, str] = {"op1_url_filters": OP1_SQL}
