@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm import common
 from quarrylight.llm.language_id import identify
+from quarrylight.llm.media import media_columns
 from quarrylight.llm.near_dedup import near_duplicates
 from quarrylight.llm.neighbours import nearest_neighbours
 from quarrylight.llm.packing import pack
@@ -46,6 +47,12 @@ QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY h DESC NULLS LAST, l DE
 """
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's payload, stored in tar shards, read back and described."""
+    columns = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+    return media_columns(common.documents(spark, sf_dir)).select(*columns)
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of ``documents`` over two-word shingles at similarity 0.8."""
     return near_duplicates(common.documents(spark, sf_dir), shingle_words=2, percent=80)
@@ -78,6 +85,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
+    "op2_media_columns": op2_media_columns,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op7_substring_dedup": op7_substring_dedup,
