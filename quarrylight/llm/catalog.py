@@ -13,6 +13,7 @@ from quarrylight.llm.media import media_columns
 from quarrylight.llm.near_dedup import near_duplicates
 from quarrylight.llm.neighbours import nearest_neighbours
 from quarrylight.llm.packing import pack
+from quarrylight.llm.pieces import encode_documents
 from quarrylight.llm.quality import judge_quality
 from quarrylight.llm.substring_dedup import judge_repeats
 from quarrylight.llm.url_filter import judge_urls
@@ -63,6 +64,16 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded into pieces and decoded again: counts and digests of both."""
+    rows = encode_documents(common.documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select(
+        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.crc32(ids.cast("binary")).alias("ids_crc32"),
+        F.length("decoded").cast("long").alias("n_chars"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of every document that a repeated window of 20 words covers."""
     return judge_repeats(common.documents(spark, sf_dir), window=20)
@@ -88,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": op2_media_columns,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_quality_classifier": op4_quality_classifier,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
