@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm import common
 from quarrylight.llm.language_id import identify
+from quarrylight.llm.language_model import score_documents
 from quarrylight.llm.media import media_columns
 from quarrylight.llm.near_dedup import near_duplicates
 from quarrylight.llm.neighbours import nearest_neighbours
@@ -64,6 +65,11 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log probability of every document by the mixing model and by the unigram base."""
+    return score_documents(common.documents(spark, sf_dir))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded into pieces and decoded again: counts and digests of both."""
     rows = encode_documents(common.documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": op2_media_columns,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_language_id": op8_language_id,
