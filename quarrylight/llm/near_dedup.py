@@ -247,3 +247,16 @@ def near_duplicates(
     return out.select(
         F.col("id").alias("doc_id"), "n_shingles", mine.alias("component_id"), F.coalesce(mine == F.col("id"), F.lit(True)).alias("kept")
     )
+
+
+def one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, without the near duplicates of documents of smaller id.
+
+    Of rows that repeat an id one stays; rows without an id all stay.
+    """
+    judged = near_duplicates(docs, id_column=id_column, text_column=text_column, shingle_words=shingle_words, percent=percent)
+    kept = judged.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
+    # One struct beside the rows, so no column name can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_column).cast("long").alias("id"))
+    named = rows.join(kept, rows.id == kept.kept_id, "left_semi").dropDuplicates(["id"])
+    return named.union(rows.where("id IS NULL")).select("row.*")
