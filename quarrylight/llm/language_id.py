@@ -37,14 +37,16 @@ class Grams:
     """
 
     def __init__(self, texts: list[bytes | None]):
-        lowered = [x.decode("utf-8", "replace").lower() + " " if x else " " for x in texts]
-        points = np.frombuffer(" ".join(lowered).join("  ").encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+        lowered = [f" {x.decode('utf-8', 'replace').lower()} " if x else " " for x in texts]
+        points = np.frombuffer("".join(lowered).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
         alphabet, letters = np.unique(points, return_inverse=True)
         spoken = np.array([chr(x).isalpha() for x in alphabet])
         alphabet = np.where(spoken, alphabet, BLANK)
         blank = ~spoken[letters]
+        ends = np.cumsum(np.array([len(x) for x in lowered], np.int64))
+        # Runs of blanks are one blank, but every text has its own at the start.
         kept = ~(blank & np.concatenate(([False], blank[:-1])))
-        ends = np.cumsum(np.array([len(x) + 1 for x in lowered], np.int64))
+        kept[ends[:-1]] = True
         self.bounds = np.concatenate(([0], np.cumsum(kept)[ends - 1])) if len(lowered) else np.zeros(1, np.int64)
         # Blanks are one letter of the alphabet from here on.
         distinct, same = np.unique(alphabet, return_inverse=True)

@@ -35,7 +35,7 @@ BANDS, BAND_PERMUTATIONS, SEED = 40, 3, 20240229
 #: Shingles hashed at once; a longer document is taken in runs of so many.
 RUN = 8192
 #: Shingles in a block of a family's index: what one task holds at a time.
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 250_000
 #: Cells of the sketch that bounds the intersection of two sets from above.
 CELLS = 64
 
@@ -203,7 +203,9 @@ def near_duplicates(
     likely = scratch.save(sized.mapInArrow(partial(_bounded, percent=percent), "u long, v long"), "likely")
     # The texts of all candidates move once, for both searches.
     wanted = candidates.select(F.col("u").alias("id")).union(candidates.select(F.col("v").alias("id"))).distinct()
-    bodies = scratch.save(source.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "bodies")
+    # Candidates grow with the corpus, so both sides are shuffled at every size.
+    found = source.join(wanted.hint("merge"), "id", "left_semi")
+    bodies = scratch.save(found.groupBy("id").agg(F.min("text").alias("text")), "bodies")
     starred = likely.join(bodies.toDF("u", "text_u"), "u").join(bodies.toDF("v", "text_v"), "v").select("u", "v", "text_u", "text_v")
     links = scratch.save(starred.mapInArrow(partial(_confirmed, size=shingle_words, percent=percent), "u long, v long"), "stars")
     scratch.drop("likely")

@@ -24,16 +24,17 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm.common import Scratch
 
-SETS, SEED = 1, 4242
+#: Projections at least: as many orthogonal sets as that takes.
+PROJECTIONS, SEED = 64, 4242
 #: Half widths of the windows in standard deviations of a projected random unit vector.
 RADII = (0.5, 1.0, 1.5, 2.0)
 VERIFY_SHARE, BLOCK_ROWS = 0.1, 16_384
 
 
-def directions(dimensions: int, sets: int = SETS) -> np.ndarray:
-    """Columns are projection directions: ``sets`` random orthogonal bases, scaled to unit variance."""
+def directions(dimensions: int, least: int = PROJECTIONS) -> np.ndarray:
+    """Columns are projection directions: random orthogonal bases, scaled to unit variance, ``least`` directions at least."""
     draw = np.random.default_rng(SEED)
-    bases = [np.linalg.qr(draw.standard_normal((dimensions, dimensions)))[0] for _ in range(sets)]
+    bases = [np.linalg.qr(draw.standard_normal((dimensions, dimensions)))[0] for _ in range(-(-least // dimensions))]
     return np.concatenate(bases, axis=1) * np.sqrt(dimensions)
 
 
