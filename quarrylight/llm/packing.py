@@ -28,8 +28,8 @@ DIMENSIONS, BITS, HASHED, SEED = 4, 10, 1024, 77
 SPREAD_BITS = 63 - DIMENSIONS * BITS
 
 
-#: Words whose ids a task remembers; a full table is emptied.
-HELD_WORDS = 1_000_000
+#: Words whose ids a task remembers for good; frequent ones come early. A quarter as many more are held for a while.
+HELD_WORDS = 800_000
 #: Words that are encoded as one text.
 TOGETHER = 512
 #: Marks that the tokenizer parts from a word before them.
@@ -48,7 +48,7 @@ class _WordIds(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.more = Tokenizer.from_file(path), {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.kind = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -69,39 +69,43 @@ class _WordIds(dict):
         return [packed[a:b] for a, b in zip(starts, (ends * size).tolist(), strict=True)]
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > HELD_WORDS:
-            self.clear()
+        """Adds the ids of the words, and of their stems, while there is room; then to ``more``, which starts anew when it is full."""
         words = list(words)
         stems = [w.rstrip(_TAIL).lower() for w in words]
         letters = {s for s in set(stems) if s.isalpha() or s.decode("utf-8", "replace").isalpha()}
-        plain = sorted(s for s in letters if s not in self)
-        spelled = {}
+        new = {s: ids for s in letters if (ids := self.get(s, self.more.get(s))) is not None}
+        plain = sorted(letters - new.keys())
         for at in range(0, len(plain), TOGETHER):
             some = plain[at : at + TOGETHER]
-            spelled.update(zip(some, self._spell([s.decode() for s in some]), strict=True))
-        self.update(spelled)
+            new.update(zip(some, self._spell([s.decode() for s in some]), strict=True))
         tails: dict[bytes, bytes] = {b"": b""}
         odd = []
         for word, stem in zip(words, stems, strict=True):
             if stem not in letters:
                 odd.append(word)
                 continue
-            ids, tail = self[stem], word[len(stem) :]
+            tail = word[len(stem) :]
             if tail not in tails:
                 tails[tail] = self._packed(self._encode([tail.decode()])[0])
-            self[word] = ids + tails[tail]
+            new[word] = new[stem] + tails[tail]
         whole = self._encode([w.decode("utf-8", "replace") for w in odd])
-        self.update((w, self._packed(x)) for w, x in zip(odd, whole, strict=True))
+        new.update((w, self._packed(x)) for w, x in zip(odd, whole, strict=True))
+        if len(self) + len(new) <= HELD_WORDS:
+            self.update(new)
+        else:
+            if len(self.more) + len(new) > HELD_WORDS // 4:
+                self.more.clear()
+            self.more.update(new)
 
     def texts(self, found: list[list[bytes]]) -> list[bytes]:
         """The ids of each list of words."""
         out = [list(map(self.get, x)) for x in found]
         lacking = [i for i, x in enumerate(out) if None in x]
         new = {w for i in lacking for w, ids in zip(found[i], out[i], strict=True) if ids is None}
-        if new:
+        if not self.more.keys() >= new:
             self.learn(new)
-            for i in lacking:
-                out[i] = [x if x is not None else self[w] for w, x in zip(found[i], out[i], strict=True)]
+        for i in lacking:
+            out[i] = [x if x is not None else self[w] if w in self else self.more[w] for w, x in zip(found[i], out[i], strict=True)]
         return [b"".join(x) for x in out]
 
 
@@ -158,7 +162,9 @@ def _tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Ite
         for part in common.slices(batch, "text"):
             found = [common.words(x) for x in common.texts(part)]
             ids = [x + end for x in table.texts(found)]
-            points = np.array([vectors[np.frombuffer(x, table.kind)].sum(axis=0, dtype=np.float64) / np.sqrt(len(x)) for x in ids])
+            sizes = np.array([len(x) for x in ids]) // int(table.kind[-1])
+            each = vectors[np.frombuffer(b"".join(ids), table.kind)]
+            points = np.add.reduceat(each, np.cumsum(sizes) - sizes, axis=0).astype(np.float64) / np.sqrt(sizes)[:, None]
             cells = ((1 << BITS) / (1 + np.exp(-np.clip(points, -30, 30)))).astype(np.int64)
             place = hilbert_keys(np.minimum(cells, (1 << BITS) - 1), BITS)
             rows = np.array(part.column("id").fill_null(-1).to_pylist(), np.int64).view(np.uint64)
@@ -166,7 +172,7 @@ def _tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Ite
             yield pa.record_batch(
                 [
                     part.column("id"), pa.array((place << SPREAD_BITS) | spread.astype(np.int64)),
-                    pa.array([len(x) // int(table.kind[-1]) for x in ids], pa.int64()), pa.array(ids, pa.binary()),
+                    pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()),
                 ],
                 names=["id", "place", "tokens", "ids"],
             )
