@@ -5,8 +5,9 @@ Requests are rows ``(key, at, request_id)`` with ``at`` in seconds.
 
 from __future__ import annotations
 
-from collections import deque
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,14 +18,33 @@ from quarrylight.operators.groups import top_n
 DECISION = "key string, at double, request_id long, accepted boolean, retry_after long, late boolean"
 
 
-def _decide(at: float, open_: deque, window: int, most: int) -> tuple[bool, int | None]:
-    """Admit one request against the accepted ones still inside the window."""
-    while open_ and open_[0] < at - window:
-        open_.popleft()
-    if len(open_) < most:
-        open_.append(at)
-        return True, None
-    return False, int(max(1.0, window - (at - open_[0])))
+def admitted(at: np.ndarray, recent: np.ndarray, window: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(accepted, seconds to wait, the last ``most`` accepted times) of requests in time order.
+
+    ``recent`` has the accepted times before them, oldest first. The n-th
+    accepted request is the first one after its predecessor that lies more than
+    the window after the accepted one ``most`` places back. So the accepted ones
+    are reached by jumps, each a sorted search; requests in between are refused
+    until the window after the oldest of the last ``most`` has passed.
+    """
+    places, times, place = [], list(recent[-most:]), 0
+    while place < len(at):
+        if len(times) >= most:
+            place = max(place, int(np.searchsorted(at, times[-most] + window, side="right")))
+            if place >= len(at):
+                break
+        places.append(place)
+        times.append(float(at[place]))
+        place += 1
+    accepted = np.zeros(len(at), bool)
+    accepted[places] = True
+    # For a refused request the full window's oldest entry is the ``most``-th last accepted one before it.
+    known = np.array(times, float)
+    oldest = np.cumsum(accepted) + (len(times) - len(places)) - most
+    wait = np.zeros(len(at))
+    refused = ~accepted
+    wait[refused] = np.maximum(1.0, window - (at[refused] - known[oldest[refused]]))
+    return accepted, np.floor(wait).astype(np.int64), known[-most:]
 
 
 def sessions(requests: DataFrame, window: int, slice_seconds: int) -> DataFrame:
@@ -53,30 +73,33 @@ def sessions(requests: DataFrame, window: int, slice_seconds: int) -> DataFrame:
     )
 
 
+def _decisions(frame: pd.DataFrame, recent: np.ndarray, window: int, most: int) -> tuple[pd.DataFrame, np.ndarray]:
+    accepted, wait, recent = admitted(frame["at"].to_numpy(float), recent, window, most)
+    out = pd.DataFrame({"key": frame["key"].to_numpy(), "at": frame["at"].to_numpy(), "request_id": frame["request_id"].to_numpy(), "accepted": accepted})
+    out["retry_after"] = pd.array(wait, dtype="Int64")
+    out.loc[accepted, "retry_after"] = pd.NA
+    return out, recent
+
+
 def rate_limit(requests: DataFrame, window: int, most: int, slice_seconds: int | None = None) -> DataFrame:
     """Decision per request. Only accepted requests count against the window.
 
-    Sessions are spread over tasks and sorted inside them; each task streams
-    its rows in Arrow batches and remembers at most ``most`` times.
+    Sessions are spread over tasks and sorted inside them; a task takes its rows
+    in Arrow batches, holds at most ``most`` times between them, and its work on
+    a session is one search for each accepted request.
     """
     window, most = max(1, int(window)), max(1, int(most))
     parts = sessions(requests, window, slice_seconds or 64 * window)
     placed = parts.repartition("key", "session").sortWithinPartitions("key", "session", "at", "request_id")
 
-    def decide(frames):
-        current, open_ = None, deque()
+    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, recent = None, np.zeros(0)
         for frame in frames:
-            accepted, retry = [], []
-            for key, session, at in zip(frame["key"], frame["session"], frame["at"]):
-                if (key, session) != current:
-                    current, open_ = (key, session), deque()
-                ok, wait = _decide(at, open_, window, most)
-                accepted.append(ok)
-                retry.append(wait)
-            yield pd.DataFrame({
-                "key": frame["key"], "at": frame["at"], "request_id": frame["request_id"],
-                "accepted": accepted, "retry_after": pd.array(retry, dtype="Int64"), "late": False,
-            })
+            for run, rows in frame.groupby(["key", "session"], sort=False, dropna=False):
+                if run != current:
+                    current, recent = run, np.zeros(0)
+                out, recent = _decisions(rows, recent, window, most)
+                yield out.assign(late=False)
 
     return placed.mapInPandas(decide, DECISION)
 
@@ -85,31 +108,39 @@ def rate_limit_stream(requests: DataFrame, window: int, most: int) -> DataFrame:
     """The same decisions on a stream; state holds at most ``most`` times per key.
 
     Rows of a micro-batch are taken in time order. A row older than one already
-    decided for its key is let through the same rule but marked ``late``.
+    decided for its key is judged by the state of now and marked ``late``.
     """
     window, most = max(1, int(window)), max(1, int(most))
 
     def decide(key, frames, state: GroupState):
         times, newest = state.get if state.exists else ([], float("-inf"))
-        open_ = deque(times)
         rows = pd.concat(list(frames)).sort_values(["at", "request_id"], kind="stable")
-        out = []
-        for at, request_id in zip(rows["at"], rows["request_id"]):
-            late = at < newest
-            newest = max(newest, at)
-            ok, wait = _decide(at, open_, window, most)
-            out.append((key[0], at, request_id, ok, wait, late))
-        state.update((list(open_), newest))
-        names = ["key", "at", "request_id", "accepted", "retry_after", "late"]
-        frame = pd.DataFrame(out, columns=names)
-        frame["retry_after"] = frame["retry_after"].astype("Int64")
-        yield frame
+        out, recent = _decisions(rows, np.array(times, float), window, most)
+        state.update((recent.tolist(), max(newest, float(rows["at"].max()))))
+        yield out.assign(late=out["at"] < newest)
 
     return requests.groupBy("key").applyInPandasWithState(
         decide, DECISION, "times array<double>, newest double", "append", GroupStateTimeout.NoTimeout
     )
 
 
+def two_key_limit(requests: DataFrame, window: int, ip_most: int, user_most: int) -> DataFrame:
+    """(request_id, ip, user, accepted, limited_by, retry_after): the address is judged first, then the user.
+
+    Only requests that the address lets through are counted for the user.
+    """
+    by_ip = rate_limit(requests.select(F.col("ip").alias("key"), "at", "request_id"), window, ip_most)
+    passed = requests.join(by_ip.where("accepted").select("request_id"), "request_id")
+    by_user = rate_limit(passed.select(F.col("user").alias("key"), "at", "request_id"), window, user_most)
+    ip = by_ip.select("request_id", F.col("accepted").alias("ip_ok"), F.col("retry_after").alias("ip_wait"))
+    user = by_user.select("request_id", F.col("accepted").alias("user_ok"), F.col("retry_after").alias("user_wait"))
+    rows = requests.join(ip, "request_id").join(user, "request_id", "left")
+    return rows.select(
+        "request_id", "ip", "user", (F.col("ip_ok") & F.coalesce("user_ok", F.lit(False))).alias("accepted"),
+        F.when(~F.col("ip_ok"), "ip").when(~F.col("user_ok"), "user").alias("limited_by"), F.coalesce("ip_wait", "user_wait").alias("retry_after"),
+    )
+
+
 def quota_usage(requests: DataFrame, limit: int) -> DataFrame:
     """Lifetime quota per key: one count, however many requests a key makes."""
     limit = max(0, int(limit))
