@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from quarrylight.functions import fixed_values as V
 from quarrylight.functions import payload as P
@@ -34,18 +39,58 @@ def _children(v: Column) -> Column:
     )
 
 
-def found_urls(output: Column, depth: int = 8) -> Column:
+#: Levels that are taken apart by built-in expressions; what lies deeper is walked with a stack.
+_FLAT_LEVELS = 4
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _deep_urls(outputs: pa.Array) -> pa.Array:
+    """URLs of JSON outputs nested to any depth, in reading order; null for null."""
+    found_url = re.compile(_URL)
+
+    def parsed(text: str):
+        # A value too deep for the parser is read as text.
+        try:
+            return json.loads(text) if text.strip()[:1] in ("{", "[") else None
+        except (ValueError, RecursionError):
+            return None
+
+    def urls(text: str) -> list[str]:
+        found, rest = [], [text]
+        while rest:
+            value = rest.pop()
+            if isinstance(value, list):
+                rest.extend(reversed(value))
+            elif isinstance(value, dict):
+                rest.extend(value[k] for k in reversed(V.URL_LIST_KEYS) if k in value)
+            elif isinstance(value, str):
+                inner = parsed(value)
+                if inner is None:
+                    found += found_url.findall(value)
+                else:
+                    rest.append(inner)
+        return found
+
+    return pa.array([None if x is None else urls(x) for x in outputs.to_pylist()], pa.list_(pa.string()))
+
+
+def found_urls(output: Column) -> Column:
     """All URLs of an output in reading order: list, object (urls,
-    candidate_urls, links), JSON text or plain text, nested up to ``depth``."""
+    candidate_urls, links), JSON text or plain text, nested to any depth."""
     top = F.when(_looks_like_json(output), F.try_parse_json(T.strip(output)))
     nodes = F.array(top)
-    for _ in range(depth):
+    for _ in range(_FLAT_LEVELS):
         nodes = F.flatten(F.transform(nodes, lambda n: F.transform(_children(n), _unwrap)))
     texts = F.filter(nodes, lambda n: P.kind(n) == "STRING")
     nested = F.flatten(
         F.transform(texts, lambda n: F.regexp_extract_all(F.try_variant_get(n, "$", "string"), F.lit(_URL), F.lit(1)))
     )
-    return F.when(top.isNull(), F.regexp_extract_all(output, F.lit(_URL), F.lit(1))).otherwise(nested)
+    deeper = F.exists(nodes, lambda n: P.kind(n).isin("ARRAY", "OBJECT"))
+    deep = _deep_urls(F.when(top.isNotNull() & deeper, output))
+    return (
+        F.when(top.isNull(), F.regexp_extract_all(output, F.lit(_URL), F.lit(1)))
+        .when(deep.isNotNull(), deep).otherwise(nested)
+    )
 
 
 def extract_candidates(outputs: DataFrame, key: str) -> DataFrame:

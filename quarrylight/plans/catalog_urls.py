@@ -51,7 +51,7 @@ def url_domain_match(c: Corpus):
 
 view("v_outputs", """
 SELECT page_id, CASE page_id % 4
-  WHEN 0 THEN '["' || a || '", "' || b || '", "' || a || '/", ["' || b || '#x", 7]]'
+  WHEN 0 THEN '["' || a || '", "' || b || '", "' || a || '/", ["' || b || '#x", 7]' || CASE WHEN page_id % 8 = 4 THEN ', ' || repeat('[', 12) || '"' || a || '/far"' || repeat(']', 12) ELSE '' END || ']'
   WHEN 1 THEN '{"note":"https://not.example/listed","links":["' || b || '"],"urls":["' || a || '","mailto:x@y"],"candidate_urls":"see ' || a || '?q=1 and ' || b || '/more"}'
   WHEN 2 THEN 'See ' || a || ' and <' || b || '> also ' || a || '?x=1 ' || html
   ELSE '{"candidate_urls": {"links": ["{\\"urls\\": [\\"' || b || '/deep\\"]}", "text ' || a || ', end"]}}' END AS output
@@ -64,8 +64,9 @@ def outputs(c: Corpus):
     p = F.col("page_id")
     a = F.concat(F.lit("https://"), host, F.lit("/a"), p)
     b = F.concat(F.lit("http://"), host, F.lit("/b"))
+    deep = F.when(p % 8 == 4, F.concat(F.lit(", " + "[" * 12 + '"'), a, F.lit('/far"' + "]" * 12))).otherwise("")
     output = (
-        F.when(p % 4 == 0, F.concat(F.lit('["'), a, F.lit('", "'), b, F.lit('", "'), a, F.lit('/", ["'), b, F.lit('#x", 7]]')))
+        F.when(p % 4 == 0, F.concat(F.lit('["'), a, F.lit('", "'), b, F.lit('", "'), a, F.lit('/", ["'), b, F.lit('#x", 7]'), deep, F.lit("]")))
         .when(p % 4 == 1, F.concat(
             F.lit('{"note":"https://not.example/listed","links":["'), b, F.lit('"],"urls":["'), a,
             F.lit('","mailto:x@y"],"candidate_urls":"see '), a, F.lit("?q=1 and "), b, F.lit('/more"}')))
@@ -84,7 +85,8 @@ _json_text = f"regexp_extract_all(json_extract_string(v, '%s'), '{_re}')"
 WITH o AS (SELECT page_id, output, CASE WHEN page_id % 4 <> 2 THEN CAST(output AS JSON) END AS v FROM v_outputs),
 u AS (SELECT page_id, CASE page_id % 4
     WHEN 2 THEN regexp_extract_all(output, '{_re}')
-    WHEN 0 THEN list_concat(list_filter(json_extract_string(v, '$[*]'), lambda x: NOT starts_with(x, '[')), json_extract_string(v, '$[3][*]'))
+    WHEN 0 THEN list_concat(list_concat(list_filter(json_extract_string(v, '$[*]'), lambda x: NOT starts_with(x, '[')), json_extract_string(v, '$[3][*]')),
+      CASE WHEN page_id % 8 = 4 THEN [json_extract_string(v, '$[4]{"[0]" * 12}')] END)
     WHEN 1 THEN list_concat(json_extract_string(v, '$.urls[*]'), {_json_text % '$.candidate_urls'}, json_extract_string(v, '$.links[*]'))
     ELSE list_concat(regexp_extract_all(json_extract_string(v, '$.candidate_urls.links[0]'), '{_re.replace("<>", "<>")}'),
       {_json_text % '$.candidate_urls.links[1]'}) END AS us FROM o),
