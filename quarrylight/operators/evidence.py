@@ -39,8 +39,10 @@ def ranked_lists(requests: DataFrame, c: Corpus) -> tuple[DataFrame, DataFrame]:
     """Ranked programs and sources of each request, cut to its own limits."""
     matches = c.stage(R.match_documents(requests, c), "matches")
     limits = requests.select("query_id", "max_sources", "max_programs")
-    programs = R.search_programs(requests, c, MAX_PROGRAMS, matches).join(limits, "query_id").where("rank <= max_programs")
-    sources = R.search_sources(requests, c, MAX_SOURCES, matches).join(limits, "query_id").where("rank <= max_sources")
+    # Two numbers of the batch, so no request is clipped; ``validate_requests`` rejects those that ask for too much.
+    most = limits.agg(F.max("max_sources").alias("sources"), F.max("max_programs").alias("programs")).first()
+    programs = R.search_programs(requests, c, most["programs"] or 1, matches).join(limits, "query_id").where("rank <= max_programs")
+    sources = R.search_sources(requests, c, most["sources"] or 1, matches).join(limits, "query_id").where("rank <= max_sources")
     return c.stage(programs, "programs"), c.stage(sources, "sources")
 
 

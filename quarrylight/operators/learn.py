@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions import fixed_values as V
 from quarrylight.operators import evaluate as E
 
-FEATURES = ("inverse_rank", "field_overlap", "page_quality", "confidence")
+FEATURES = ("inverse_rank", "text_overlap", "page_quality", "confidence")
 HUMAN_WEIGHT = 5.0
 
 

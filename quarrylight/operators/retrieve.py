@@ -31,6 +31,14 @@ for _j in range(1, _MAX_TF + 1):
 _PI2_6 = 1.64493406685
 
 
+def as_asked(requests: DataFrame) -> DataFrame:
+    """Requests as the operators read them: no text is empty text, and an empty filter of these four is no filter."""
+    blank = ("specialization", "experience_level", "progression_type", "split_type")
+    return requests.withColumns({
+        "query": F.coalesce("query", F.lit("")), **{f: F.nullif(F.col(f), F.lit("")) for f in blank if f in requests.columns},
+    })
+
+
 def term_weight(tf: Column) -> Column:
     table = F.array(*[F.lit(x) for x in _H2])
     return F.element_at(table, (F.least(tf, F.lit(_MAX_TF)) + 1).cast("int")) * 0.1 / _PI2_6
@@ -106,6 +114,7 @@ def match_documents(requests: DataFrame, c: Corpus) -> DataFrame:
     One pass over the wanted postings serves both legs and all requests. The
     exact leg needs every lexeme, the expanded leg any complete group.
     """
+    requests = as_asked(requests)
     wanted = _wanted(requests)
     hits = stored_index(c)(wanted).groupBy("query_id", "leg", "doc_id").agg(
         F.count("*").alias("hits"), F.max("n_lexemes").alias("n"), F.max("single").alias("single"),
@@ -225,7 +234,7 @@ def browse_programs(requests: DataFrame, s: Shelf, limit: int) -> DataFrame:
     )
     rows = offered.join(sets, ["mask", "filter_key"])
     rows = rows.withColumn("structured_score", structured_score()).withColumn("text_rank", F.lit(0.0))
-    best = top_n(rows, ["mask", "filter_key"], exact_order(), limit)
+    best = top_n(rows, ["mask", "filter_key"], exact_order(), limit, spread=["program_id"])
     return best.join(blank.select("query_id", "mask", "filter_key"), ["mask", "filter_key"])
 
 
@@ -251,6 +260,7 @@ def search_programs(
     Exact rows come first; expanded rows fill up to ``limit`` where text was
     given. Only narrow columns travel; text is joined to the result if needed.
     """
+    requests = as_asked(requests)
     if matches is None:
         matches = c.stage(match_documents(requests, c), "matches")
     s = shelf(c)
@@ -277,6 +287,7 @@ def search_sources(
     requests: DataFrame, c: Corpus, limit: int = 25, matches: DataFrame | None = None
 ) -> DataFrame:
     """(query_id, rank, source_id, text_rank, page_quality, latest_document_at)."""
+    requests = as_asked(requests)
     if matches is None:
         matches = match_documents(requests, c)
     docs = c.document_keys.select(F.col("id").alias("doc_id"), "source_id", "created_at")
@@ -298,5 +309,5 @@ def search_sources(
     known = src.join(newest, "source_id").withColumn("text_rank", F.lit(0.0))
     offered = known.withColumn("scope", F.explode(F.array("source_domain", F.lit("*"))))
     offered = offered.join(blank.select("scope").distinct(), "scope")
-    best = top_n(offered, ["scope"], source_order(), limit).join(blank, "scope")
+    best = top_n(offered, ["scope"], source_order(), limit, spread=["source_id"]).join(blank, "scope")
     return by_text.unionByName(best.select(*by_text.columns))

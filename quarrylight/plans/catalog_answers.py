@@ -48,17 +48,27 @@ SELECT s.id AS source_id, {S.lines(_evidence_fields)} AS text
 FROM v_sources s LEFT JOIN v_documents d ON d.id = s.latest_document_id""")
 
 
-def program_texts(c: Corpus):
-    """(program_id, text) of every program."""
+def program_texts(c: Corpus, wanted=None):
+    """(program_id, text) of every program, or of those in wanted(program_id): then only their documents' texts are read on."""
     docs = c.documents.select(F.col("id").alias("document_id"), "source_id", "raw_text")
+    programs = c.programs
+    if wanted is not None:
+        programs = programs.join(wanted.select(F.col("program_id").alias("id")).distinct(), "id", "left_semi")
+        docs = docs.join(programs.select("document_id").distinct(), "document_id", "left_semi")
     src = c.sources.select(F.col("id").alias("source_id"), F.col("title").alias("source_title"), "canonical_url")
-    rows = c.programs.join(docs, "document_id").join(src, "source_id")
+    rows = programs.join(docs, "document_id").join(src, "source_id")
     return rows.select(F.col("id").alias("program_id"), T.program_text({k: F.col(k) for k in rows.columns}).alias("text"))
 
 
-def evidence_texts(c: Corpus):
+def evidence_texts(c: Corpus, wanted=None):
+    """(source_id, text) of every source, or of those in wanted(source_id)."""
+    sources = c.sources
+    if wanted is not None:
+        sources = sources.join(wanted.select(F.col("source_id").alias("id")).distinct(), "id", "left_semi")
     docs = c.documents.select(F.col("id").alias("latest_document_id"), "raw_text")
-    rows = c.sources.withColumnRenamed("title", "source_title").join(docs, "latest_document_id", "left")
+    if wanted is not None:
+        docs = docs.join(sources.select("latest_document_id").distinct(), "latest_document_id", "left_semi")
+    rows = sources.withColumnRenamed("title", "source_title").join(docs, "latest_document_id", "left")
     return rows.select(F.col("id").alias("source_id"), T.evidence_text({k: F.col(k) for k in rows.columns}).alias("text"))
 
 
@@ -275,15 +285,17 @@ FROM (SELECT p.query_id, p.rank, p.program_id, p.text_rank, p.confidence, len(li
   WHERE {S.strip('r.query')} <> '') x""")
 
 
-def rerank_candidates(c: Corpus):
-    """Program candidates to depth 50 with the query and the words of their text.
+def rerank_candidates(c: Corpus, limit: int = 25):
+    """Program candidates to the depth, ``limit`` at least, with the query and the words of their text.
 
-    Words are taken once per program, however many requests it is a candidate of.
+    Words are taken once per program, however many requests it is a candidate
+    of, and only of programs that are one.
     """
     asked = c.requests.where(T.strip(F.col("query")) != "")
-    found = R.search_programs(asked, c, V.RERANK_DEPTH)
-    rows = c.stage(found, "candidates").join(asked.select("query_id", "query"), "query_id")
-    words = program_texts(c).select("program_id", F.array_distinct(T.tokens(F.col("text"))).alias("words"))
+    found = R.search_programs(asked, c, max(limit, V.RERANK_DEPTH))
+    found = c.stage(found, "candidates")
+    rows = found.join(asked.select("query_id", "query"), "query_id")
+    words = program_texts(c, found).select("program_id", F.array_distinct(T.tokens(F.col("text"))).alias("words"))
     return rows.join(words, "program_id")
 
 

@@ -165,8 +165,8 @@ FROM v_bootstrap b LEFT JOIN v_human h ON h.query_id = b.query_id AND h.program_
 
 def pool_texts(c: Corpus):
     rows = pools(c).join(c.requests.select("query_id", "query"), "query_id")
-    a = program_texts(c).withColumnRenamed("text", "text_a")
-    b = evidence_texts(c).withColumnRenamed("text", "text_b")
+    a = program_texts(c, pools(c)).withColumnRenamed("text", "text_a")
+    b = evidence_texts(c, pools(c)).withColumnRenamed("text", "text_b")
     rows = rows.join(a, "program_id", "left").join(b, "source_id", "left")
     return rows.withColumn("text", F.coalesce("text_a", "text_b")).drop("text_a", "text_b")
 
@@ -178,7 +178,7 @@ def pool_words(c: Corpus, part=None):
         return df.select(df.columns[0], F.array_distinct(T.tokens(text)).alias(f"w_{df.columns[0]}"))
 
     rows = pools(c).join(c.requests.select("query_id", "query"), "query_id")
-    rows = rows.join(words(program_texts(c)), "program_id", "left").join(words(evidence_texts(c)), "source_id", "left")
+    rows = rows.join(words(program_texts(c, pools(c))), "program_id", "left").join(words(evidence_texts(c, pools(c))), "source_id", "left")
     return rows.withColumn("words", F.coalesce("w_program_id", "w_source_id")).drop("w_program_id", "w_source_id")
 
 

@@ -161,7 +161,7 @@ SELECT query_id * 10 + at_no AS query_id, query, mode, top_k, expected, domain,
 clone_views("v_requests", "v_suite_requests", "_s", ["v_exact_programs", "v_expanded_programs", "v_source_ranks"])
 
 
-@query("search_eval", f"""
+_SEARCH_EVAL = f"""
 WITH o AS (SELECT p.query_id, p.rank, s.canonical_url FROM {program_search_sql(30).replace('v_exact_programs', 'v_exact_programs_s').replace('v_expanded_programs', 'v_expanded_programs_s')} p
     JOIN v_suite_requests t USING (query_id) JOIN v_sources s ON s.id = p.source_id WHERE t.mode = 'programs' AND p.rank <= t.top_k
   UNION ALL SELECT r.query_id, r.rank, s.canonical_url FROM v_source_ranks_s r JOIN v_suite_requests t USING (query_id) JOIN v_sources s ON s.id = r.source_id
@@ -169,7 +169,10 @@ WITH o AS (SELECT p.query_id, p.rank, s.canonical_url FROM {program_search_sql(3
 x AS (SELECT t.query_id AS test_id, t.mode, t.expected, list_filter(t.expected, lambda u: NOT list_contains(coalesce(l.urls, []), u)) AS missing, coalesce(l.urls, []) AS observed
   FROM v_suite_requests t LEFT JOIN (SELECT query_id, list(canonical_url ORDER BY rank) AS urls FROM o GROUP BY 1) l USING (query_id))
 SELECT test_id, mode, len(observed) AS n_observed, array_to_string(observed, ' ') AS observed, array_to_string(missing, ' ') AS missing,
-  len(missing) = 0 AND mode IN ('programs', 'sources') AS passed FROM x""")
+  len(missing) = 0 AND mode IN ('programs', 'sources') AS passed FROM x"""
+
+
+@query("search_eval", _SEARCH_EVAL)
 def search_eval(c: Corpus):
     return evaluate_suite(c).select(
         "test_id", "mode", F.size("observed").cast("long").alias("n_observed"), F.array_join("observed", " ").alias("observed"),
@@ -198,11 +201,11 @@ def evaluate_suite(c: Corpus):
     return E.check_must_include(suite, seen.withColumnRenamed("query_id", "test_id"))
 
 
-@query("search_eval_totals", """
-SELECT count(*) AS queries_total, count(*) FILTER (WHERE mode IN ('programs', 'sources')) AS valid_modes FROM v_suite_requests""")
+@query("search_eval_totals", f"""
+SELECT count(*) AS queries_total, count(*) FILTER (WHERE mode IN ('programs', 'sources')) AS valid_modes, count(*) FILTER (WHERE passed) AS queries_passed,
+  round(coalesce(count(*) FILTER (WHERE passed) / nullif(count(*), 0)::DOUBLE, 0), 10) AS pass_rate FROM ({_SEARCH_EVAL})""")
 def search_eval_totals(c: Corpus):
-    suite = SU.load_suite(suite_files(c), "query_id")
-    return suite.agg(F.count("*").alias("queries_total"), F.count_if(F.col("mode").isin("programs", "sources")).alias("valid_modes"))
+    return E.suite_totals(evaluate_suite(c))
 
 
 @query("human_judgments_load", """
@@ -343,7 +346,7 @@ def learned_rerank_eval(c: Corpus):
     shelf = R.shelf(c)
     more = shelf.programs.select("program_id", "page_quality", F.col("confidence"))
     rows = CL.labels(c).join(CL.train_split_of(c), "query_id").join(more, "program_id", "left")
-    fields = CL.pool_words(c, lambda text: F.substring_index(text, "source content: ", 1))
-    words = fields.select("query_id", "candidate_no", L.teacher_score(F.col("query"), F.col("words")).alias("field_overlap"))
+    fields = CL.pool_words(c)
+    words = fields.select("query_id", "candidate_no", L.teacher_score(F.col("query"), F.col("words")).alias("text_overlap"))
     rows = rows.join(words, ["query_id", "candidate_no"])
     return LR.fit_and_evaluate(c.stage(rows, "features"))

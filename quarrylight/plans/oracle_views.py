@@ -118,7 +118,7 @@ FROM (
       || regexp_replace(regexp_extract(d.text, '^\s*(\S+(?:\s+\S+){{0,5}})', 1), '\s+', ' ', 'g') AS title,
     CASE WHEN d.doc_id % 4 <> 3 THEN {S.first_sentence('d.text')} END AS summary,
     TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(d.doc_id AS INTEGER)) AS created_at
-  FROM documents d JOIN v_page_sources s ON s.page_id = d.doc_id // 4)""")
+  FROM documents d JOIN v_page_sources s ON s.page_id = (d.doc_id // 4) % (SELECT count(*) FROM pages))""")
 
 view("v_sources", f"""
 SELECT b.id, b.canonical_url AS url, b.canonical_url, d.id AS domain_id,
@@ -172,11 +172,11 @@ FROM (SELECT e.event_id AS id, e.event_type, e.value, s.source_id, s.domain, s.c
     CASE WHEN e.event_type = 'error' THEN 'failed' WHEN e.event_type = 'view' AND e.event_id % 50 = 0 THEN 'running'
       WHEN e.event_type = 'signup' AND e.event_id % 40 = 0 THEN 'pending' ELSE 'succeeded' END AS status,
     CASE WHEN e.event_id % 97 <> 0 THEN e.ts END AS started_at
-  FROM events e JOIN v_page_sources s ON s.page_id = e.event_id // 40)""")
+  FROM events e JOIN v_page_sources s ON s.page_id = (e.event_id // 40) % (SELECT count(*) FROM pages))""")
 
 view("v_requests", rf"""
 SELECT q AS query_id, CASE WHEN q % 29 = 0 THEN '' ELSE
-    trim(array_to_string(list_slice(regexp_extract_all(lower(text), '[a-z0-9]{{6,}}'), 1, 3), ' ') || ' ' || {S.pick('q % 19', C.HINTS)}) END AS query,
+    trim(array_to_string(list_transform(list_slice(list_sort(list_transform(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{6,}}')), lambda w: {{'l': -length(w), 'w': w}})), 1, 3), lambda x: x.w), ' ') || ' ' || {S.pick('q % 19', C.HINTS)}) END AS query,
   CASE WHEN q % 12 = 8 THEN 2 + q % 5 END AS days_per_week,
   CASE WHEN q % 24 = 10 THEN 'strength' END AS specialization,
   CASE WHEN q % 24 = 14 THEN 'beginner' END AS experience_level,
@@ -186,7 +186,7 @@ SELECT q AS query_id, CASE WHEN q % 29 = 0 THEN '' ELSE
   CAST({S.pick('q % 3', ('20', '5', '25'))} AS BIGINT) AS max_programs,
   CAST({S.pick('q % 5', ('8', '3', '8', '25', '1'))} AS BIGINT) AS max_evidence
 FROM (SELECT item_id AS q, text FROM benchmark
-  UNION ALL SELECT 1000000 + conv_id * 1000 + turn, text FROM conversations WHERE role = 'user') r
+  UNION ALL SELECT {C.TURN_IDS} + conv_id * {C.TURNS} + turn, text FROM conversations WHERE role = 'user') r
 LEFT JOIN v_page_urls u ON r.q % 4 = 1 AND u.page_id = r.q % 50""")
 
 view("v_grades", """

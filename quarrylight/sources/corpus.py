@@ -98,6 +98,9 @@ def plus_seconds(ts: Column, seconds: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(ts) + seconds.cast("long") * 1_000_000)
 
 
+#: Request ids of conversation turns: above all item ids, room for so many turns each.
+TURN_IDS, TURNS = 1 << 52, 1 << 24
+
 _WRITTEN: dict[str, StructType] = {}
 
 
@@ -152,12 +155,16 @@ class Corpus:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def raw(self, name: str) -> DataFrame:
+        """A raw table. Its splits are the tasks, unless ``quarrylight.input.partitions`` asks for a number:
+        for tables in one file of one row group, as in tests, which would be one task."""
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        # A few files may be one split each; only such small inputs are spread.
-        width = self.spark.sparkContext.defaultParallelism
-        if name in ("documents", "pages", "events") and len(df.inputFiles()) < width:
-            return df.repartition(width)
-        return df
+        width = self.spark.conf.get("quarrylight.input.partitions", None)
+        return df.repartition(int(width)) if width else df
+
+    @cached_property
+    def page_count(self) -> int:
+        """One number: the pages that documents and events are dealt to in turn."""
+        return max(1, self.raw("pages").count())
 
     # -- urls ---------------------------------------------------------------
     @cached_property
@@ -257,7 +264,7 @@ class Corpus:
             + F.when((doc % 3 > 0) | (doc % 4 == 0), 0.05).otherwise(0.0)
         )
         created = plus_seconds(day("2024-01-01"), doc * 3600)
-        docs = self.raw("documents").withColumn("page_id", F.floor(doc / 4))
+        docs = self.raw("documents").withColumn("page_id", F.pmod(F.floor(doc / 4), F.lit(self.page_count)))
         return docs.join(self.page_sources.select("page_id", "source_id"), "page_id").select(
             doc.alias("id"), "source_id",
             F.when(doc % 13 != 0, doc).alias("crawl_job_id"),
@@ -368,7 +375,7 @@ class Corpus:
         ev, kind = F.col("event_id"), F.col("event_type")
         jobs = self.raw("events").select(
             "event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"),
-            F.floor(ev / 40).alias("page_id"),
+            F.pmod(F.floor(ev / 40), F.lit(self.page_count)).alias("page_id"),
         )
         urls = self.page_sources.join(self.page_urls.select("page_id", "canonical_url"), "page_id")
         discover = kind == "signup"
@@ -456,11 +463,13 @@ class Corpus:
     def _request_base(self) -> DataFrame:
         bench = self.raw("benchmark").select(F.col("item_id").alias("query_id"), "text")
         turns = self.raw("conversations").where("role = 'user'").select(
-            (1_000_000 + F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text"
+            (TURN_IDS + F.col("conv_id") * TURNS + F.col("turn")).alias("query_id"), "text"
         )
         q = F.col("query_id")
         found = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]{6,})"), F.lit(1))
-        base = F.concat_ws(" ", F.slice(found, 1, 3))
+        # The three longest words of the whole text, ties in their own order.
+        longest = F.slice(F.array_sort(F.transform(F.array_distinct(found), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1, 3)
+        base = F.concat_ws(" ", F.transform(longest, lambda x: x["w"]))
         query = F.when(q % 29 == 0, "").otherwise(F.trim(F.concat(base, F.lit(" "), pick(q % 19, HINTS))))
         return bench.unionByName(turns).select(
             "query_id", query.alias("query"),
