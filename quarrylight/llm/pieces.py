@@ -3,9 +3,10 @@
 An Aho-Corasick automaton over the pieces reads a word once. Each match that
 ends at a position, found along the output links, relaxes the best score of a
 segmentation up to there (Viterbi). A character that no piece covers costs a
-fixed penalty and becomes its UTF-8 bytes' pieces. No piece has the blank mark
-after another character, so words that start with blank marks are segmented by
-themselves, and a word's segmentation is remembered.
+fixed penalty and becomes its UTF-8 bytes' pieces. Between two characters that
+stand side by side in no piece every segmentation has a cut. So texts are cut
+there first, always before the blank mark after another character, and what
+lies between is segmented by itself and remembered.
 
 The vocabulary file gives pieces and scores; the segmentation is the one of
 highest total score. Of equal scores the one whose last piece is longest wins,
@@ -53,6 +54,11 @@ class Pieces:
             self.automaton.add_word(name, (len(name), number, score))
         self.automaton.make_automaton()
         self.surface = [b"" if model.is_control(i) or model.is_unknown(i) else bytes([self._byte(i)]) if model.is_byte(i) else self.names[i].replace(MARK, " ").encode() for i in range(size)]
+        self.pairs = {name[i : i + 2] for name in scores for i in range(len(name) - 1)}
+        # Surfaces side by side, for decoding many ids at once.
+        self.lengths = np.array([len(x) for x in self.surface], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.body = np.frombuffer(b"".join(self.surface), np.uint8)
         self.words: dict[str, bytes] = {}
 
     def _byte(self, number: int) -> int:
@@ -85,23 +91,44 @@ class Pieces:
             end -= length
         return [x for piece in reversed(out) for x in piece]
 
+    def _parts(self, word: str) -> list[str]:
+        """The word cut wherever no piece goes on."""
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)] if cuts else [word]
+
+    def _learned(self, word: str, parts: list[str]) -> bytes:
+        """The ids of a word, remembered, from those of its parts."""
+        if len(self.words) >= CACHE_ENTRIES:
+            self.words.clear()
+        if len(parts) == 1:
+            ids = np.array(self.segment(word), np.int32).tobytes()
+        else:
+            ids = b"".join([found if (found := self.words.get(part)) is not None else self._learned(part, [part]) for part in parts])
+        self.words[word] = ids
+        return ids
+
     def encode(self, text: str) -> np.ndarray:
         """Piece ids of a text: a blank is put before it, and every blank is the mark. Empty texts have none."""
         if not text:
             return np.zeros(0, np.int32)
-        packed = []
-        for word in _WORDS.findall(MARK + text.replace(" ", MARK)):
-            found = self.words.get(word)
-            if found is None:
-                if len(self.words) >= CACHE_ENTRIES:
-                    self.words.clear()
-                found = self.words[word] = np.array(self.segment(word), np.int32).tobytes()
-            packed.append(found)
-        return np.frombuffer(b"".join(packed), np.int32)
-
-    def decode(self, ids: list[int]) -> str:
+        marked = MARK + text.replace(" ", MARK)
+        # Single blanks part words by themselves; runs of marks stay with the word after them.
+        found = [MARK + x for x in text.split(" ")] if "  " not in text and MARK not in text and text[-1] != " " and text[0] != " " else _WORDS.findall(marked)
+        ids = list(map(self.words.get, found))
+        if None in ids:
+            ids = [x if x is not None else self.words.get(w) or self._learned(w, self._parts(w)) for w, x in zip(found, ids, strict=True)]
+        return np.frombuffer(b"".join(ids), np.int32)
+
+    def surfaces(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all ids, and where those of each end."""
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        places = np.repeat(self.starts[ids] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.body[places].tobytes(), ends
+
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of piece ids, without the blank that ``encode`` puts before it."""
-        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
+        text = self.surfaces(np.asarray(ids, np.int64))[0].decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -129,7 +156,9 @@ def decoded(ids: Column, path: str) -> Column:
     def text(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = _pieces(path)
         for column in columns:
-            yield pa.array([None if x is None else pieces.decode(x) for x in column.to_pylist()], pa.string())
+            flat, valid = column.flatten().to_numpy(), column.is_valid().to_pylist()
+            ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy()).tolist()
+            yield pa.array([pieces.decode(flat[a:b]) if there else None for a, b, there in zip([0, *ends], ends, valid, strict=False)], pa.string())
 
     return text(ids)
 
