@@ -77,13 +77,16 @@ def select_evidence(programs: DataFrame, sources: DataFrame, c: Corpus) -> DataF
     return cards.withColumnRenamed("rank", "part_rank")
 
 
+def cut_evidence(picked: DataFrame, asked: DataFrame) -> DataFrame:
+    """Selected evidence in its order, cut to ``max_sources`` of each request."""
+    w = Window.partitionBy("query_id").orderBy("part", "part_rank")
+    return picked.withColumn("rank", F.row_number().over(w).cast("long")).join(asked, "query_id").where("rank <= max_sources")
+
+
 def evidence_cards(requests: DataFrame, c: Corpus, lists: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Complete cards: selection, then texts and dates joined to what was kept."""
     programs, sources = lists or ranked_lists(requests, c)
-    picked = select_evidence(programs, sources, c)
-    w = Window.partitionBy("query_id").orderBy("part", "part_rank")
-    asked = requests.select("query_id", "query", "max_sources")
-    kept = picked.withColumn("rank", F.row_number().over(w).cast("long")).join(asked, "query_id").where("rank <= max_sources")
+    kept = cut_evidence(select_evidence(programs, sources, c), requests.select("query_id", "query", "max_sources"))
 
     src = c.sources.select(
         F.col("id").alias("source_id"), "canonical_url", F.col("title").alias("source_title"), "last_crawled_at", "domain_id"

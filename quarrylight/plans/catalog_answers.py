@@ -12,7 +12,7 @@ from quarrylight.operators import rerank as RR
 from quarrylight.operators import retrieve as R
 from quarrylight.plans import sqltext as S
 from quarrylight.plans.catalog_views import iso
-from quarrylight.plans.oracle_views import view
+from quarrylight.plans.oracle_views import VIEWS, view
 from quarrylight.plans.registry import query
 from quarrylight.plans.search_views import program_search_sql
 from quarrylight.sources.corpus import Corpus
@@ -279,11 +279,27 @@ def evidence_display(c: Corpus):
 # -- reranking ---------------------------------------------------------------
 view("v_scored", f"""
 SELECT x.*, round(CASE WHEN nt = 0 THEN 0 ELSE hits / nt::DOUBLE END + 0.4::DOUBLE * text_rank + 0.1::DOUBLE * coalesce(confidence, 0), 6) AS score
-FROM (SELECT p.query_id, p.rank, p.program_id, p.text_rank, p.confidence, len(list_distinct({S.tokens('r.query')})) AS nt,
+FROM (SELECT p.query_id, p.rank, p.program_id, p.doc_id, p.source_id, p.text_rank, p.confidence, r.max_sources, r.max_programs, len(list_distinct({S.tokens('r.query')})) AS nt,
     len(list_intersect(list_distinct({S.tokens('r.query')}), {S.tokens('t.text')})) AS hits
   FROM {program_search_sql(50)} p JOIN v_requests r USING (query_id) JOIN v_program_text t USING (program_id)
   WHERE {S.strip('r.query')} <> '') x""")
 
+view("v_scored_sources", f"""
+SELECT x.*, round(CASE WHEN nt = 0 THEN 0 ELSE hits / nt::DOUBLE END + 0.4::DOUBLE * text_rank, 6) AS score
+FROM (SELECT p.query_id, p.rank, p.source_id, p.text_rank, r.max_sources, len(list_distinct({S.tokens('r.query')})) AS nt,
+    len(list_intersect(list_distinct({S.tokens('r.query')}), {S.tokens('t.text')})) AS hits
+  FROM v_source_ranks p JOIN v_requests r USING (query_id) JOIN v_evidence_text t USING (source_id)
+  WHERE p.rank <= 50 AND {S.strip('r.query')} <> '') x""")
+
+
+def source_candidates(c: Corpus, limit: int = 25):
+    """Source candidates to the depth, ``limit`` at least, with the query and the words of their latest document."""
+    asked = c.requests.where(T.strip(F.col("query")) != "")
+    found = c.stage(R.search_sources(asked, c, max(limit, V.RERANK_DEPTH)), "source-candidates")
+    words = evidence_texts(c, found).select("source_id", F.array_distinct(T.tokens(F.col("text"))).alias("words"))
+    rows = found.join(asked.select("query_id", "query"), "query_id").join(words, "source_id")
+    return rows.withColumn("confidence", F.lit(None).cast("double"))
+
 
 def rerank_candidates(c: Corpus, limit: int = 25):
     """Program candidates to the depth, ``limit`` at least, with the query and the words of their text.
@@ -307,11 +323,44 @@ def rerank(c: Corpus):
     return out.select("query_id", "program_id", F.col("base_rank"), "score", "rank", "mode")
 
 
-def flaky_scorer(candidates):
-    """The coverage scorer, failing on some rows."""
-    scored = RR.coverage_scorer(candidates)
-    bad = (F.col("query_id") % 7 == 2) & (F.col("program_id") % 5 == 1)
-    return scored.withColumn("failure", F.when(bad, "inference_error")).withColumn("score", F.when(~bad, F.col("score")))
+@query("rerank_sources", """
+SELECT query_id, source_id, rank AS base_rank, score, new_rank AS rank, 'reranked' AS mode
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS new_rank FROM v_scored_sources) WHERE new_rank <= 25""")
+def rerank_sources(c: Corpus):
+    out = RR.rerank(source_candidates(c), RR.coverage_scorer, 25)
+    return out.select("query_id", "source_id", "base_rank", "score", "rank", "mode")
+
+
+# Evidence that is selected from the new order of both lists.
+view("v_reranked_programs", """
+SELECT * REPLACE (new_rank AS rank) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS new_rank FROM v_scored) WHERE new_rank <= max_programs""")
+view("v_reranked_sources", """
+SELECT * REPLACE (new_rank AS rank) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS new_rank FROM v_scored_sources) WHERE new_rank <= max_sources""")
+view("v_program_evidence_r", VIEWS["v_program_evidence"].replace("v_ranked_programs", "v_reranked_programs"))
+view("v_evidence_r", VIEWS["v_evidence"].replace("v_program_evidence", "v_program_evidence_r").replace("v_ranked_sources", "v_reranked_sources"))
+
+
+@query("evidence_reranked", "SELECT query_id, rank, source_id, document_id, reason, program_id FROM v_evidence_r")
+def evidence_reranked(c: Corpus):
+    """Evidence of requests with text, selected after both lists were reranked to depth."""
+    limits = c.requests.select("query_id", "max_sources", "max_programs")
+    most = limits.agg(F.max("max_sources").alias("sources"), F.max("max_programs").alias("programs")).first()
+    programs = RR.rerank(rerank_candidates(c, most["programs"]), RR.coverage_scorer, most["programs"])
+    sources = RR.rerank(source_candidates(c, most["sources"]), RR.coverage_scorer, most["sources"])
+    programs = programs.join(limits, "query_id").where("rank <= max_programs")
+    sources = sources.join(limits, "query_id").where("rank <= max_sources")
+    kept = EV.cut_evidence(EV.select_evidence(programs, sources, c), limits)
+    return kept.select("query_id", "rank", "source_id", "document_id", "reason", "program_id")
+
+
+def flaky_scorer(item: str = "program_id", remainder: int = 1):
+    """The coverage scorer, failing on some items of some requests."""
+    def score(candidates):
+        scored = RR.coverage_scorer(candidates)
+        bad = (F.col("query_id") % 7 == 2) & (F.col(item) % 5 == remainder)
+        return scored.withColumn("failure", F.when(bad, "inference_error")).withColumn("score", F.when(~bad, F.col("score")))
+
+    return score
 
 
 @query("rerank_fail_open", """
@@ -321,23 +370,19 @@ u AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN fail
 SELECT query_id, program_id, new_rank AS rank, CASE WHEN failed THEN 'baseline_fallback' ELSE 'reranked' END AS mode,
   CASE WHEN failed THEN 'inference_error' END AS fallback_reason FROM u WHERE new_rank <= 25""")
 def rerank_fail_open(c: Corpus):
-    out = RR.rerank(rerank_candidates(c), flaky_scorer, 25)
+    out = RR.rerank(rerank_candidates(c), flaky_scorer(), 25)
     return out.select("query_id", "program_id", "rank", "mode", "fallback_reason")
 
 
 @query("retrieval_modes", """
 WITH p AS (SELECT query_id, CASE WHEN bool_or(query_id % 7 = 2 AND program_id % 5 = 1) THEN 'baseline_fallback' ELSE 'reranked' END AS mode FROM v_scored GROUP BY 1),
-s AS (SELECT DISTINCT query_id, CASE WHEN query_id % 14 = 2 THEN 'baseline_fallback' ELSE 'reranked' END AS mode FROM v_scored)
-SELECT query_id, CASE WHEN p.mode = s.mode THEN p.mode ELSE 'mixed_fallback' END AS retrieval_mode,
-  CASE WHEN p.mode = 'baseline_fallback' OR s.mode = 'baseline_fallback' THEN 'inference_error' END AS fallback_reason
-FROM p JOIN s USING (query_id)""")
+s AS (SELECT query_id, CASE WHEN bool_or(query_id % 7 = 2 AND source_id % 5 = 2) THEN 'baseline_fallback' ELSE 'reranked' END AS mode FROM v_scored_sources GROUP BY 1),
+b AS (SELECT * FROM p UNION ALL SELECT * FROM s)
+SELECT query_id, CASE WHEN min(mode) = max(mode) THEN min(mode) ELSE 'mixed_fallback' END AS retrieval_mode,
+  CASE WHEN bool_or(mode = 'baseline_fallback') THEN 'inference_error' END AS fallback_reason FROM b GROUP BY 1""")
 def retrieval_modes(c: Corpus):
-    """Mode of both lists together; here the source list fails on its own rule."""
-    cand = rerank_candidates(c)
+    """Mode of both lists together, each scored by a scorer that fails on some of its items."""
     keep = ("query_id", "mode", "fallback_reason")
-    programs = RR.rerank(cand, flaky_scorer, 25).select(*keep)
-    bad = F.col("query_id") % 14 == 2
-    sources = cand.select("query_id").distinct().select(
-        "query_id", F.when(bad, "baseline_fallback").otherwise("reranked").alias("mode"), F.when(bad, "inference_error").alias("fallback_reason")
-    )
+    programs = RR.rerank(rerank_candidates(c), flaky_scorer(), 25).select(*keep)
+    sources = RR.rerank(source_candidates(c), flaky_scorer("source_id", 2), 25).select(*keep)
     return RR.combined_mode(sources, programs)

@@ -281,6 +281,30 @@ def rate_limit_stream(c: Corpus):
     return c.spark.read.schema(LI.DECISION).parquet(sink).select("key", "request_id", "accepted", "retry_after")
 
 
+def _limited(source: str, key: str, most: int) -> str:
+    """SQL for (request_id, accepted, retry_after) of the requests of ``source``, limited by ``key``."""
+    return f"""(WITH g AS (SELECT {key} AS k, list_reduce(list([at_s] ORDER BY at_s, request_id), lambda acc, x:
+    CASE WHEN len(list_filter(acc, lambda t: t >= x[1] - {WINDOW})) < {most} THEN list_concat(acc, x) ELSE acc END) AS ok FROM {source} GROUP BY 1),
+r AS (SELECT a.*, list_contains(g.ok, a.at_s) AS accepted, list_min(list_filter(g.ok, lambda t: t >= a.at_s - {WINDOW} AND t < a.at_s)) AS oldest FROM {source} a JOIN g ON g.k = a.{key})
+SELECT request_id, accepted, CASE WHEN NOT accepted THEN CAST(floor(greatest(1.0, {WINDOW} - (at_s - oldest))) AS BIGINT) END AS retry_after FROM r)"""
+
+
+IP_MOST = 5
+view("v_api_two", "SELECT request_id, at_s, CAST(CAST(key AS BIGINT) % 40 AS VARCHAR) AS ip, key AS usr FROM v_api")
+view("v_api_ip", f"SELECT * FROM {_limited('v_api_two', 'ip', IP_MOST)}")
+view("v_api_passed", "SELECT t.* FROM v_api_two t JOIN v_api_ip i USING (request_id) WHERE i.accepted")
+
+
+@query("rate_limit_two_keys", f"""
+SELECT t.request_id, t.ip, t.usr AS user, i.accepted AND coalesce(u.accepted, false) AS accepted,
+  CASE WHEN NOT i.accepted THEN 'ip' WHEN NOT u.accepted THEN 'user' END AS limited_by, coalesce(i.retry_after, u.retry_after) AS retry_after
+FROM v_api_two t JOIN v_api_ip i USING (request_id) LEFT JOIN {_limited('v_api_passed', 'usr', MOST)} u USING (request_id)""".replace("AS user,", 'AS "user",'))
+def rate_limit_two_keys(c: Corpus):
+    rows = api_requests(c)
+    rows = rows.select("request_id", "at", (F.col("key").cast("long") % 40).cast("string").alias("ip"), F.col("key").alias("user"))
+    return LI.two_key_limit(rows, WINDOW, IP_MOST, MOST)
+
+
 @query("quota_usage", f"""
 SELECT key, {V.ASK_LIFETIME_LIMIT} AS "limit", least(count(*), {V.ASK_LIFETIME_LIMIT}) AS used, {V.ASK_LIFETIME_LIMIT} - least(count(*), {V.ASK_LIFETIME_LIMIT}) AS remaining,
   count(*) < {V.ASK_LIFETIME_LIMIT} AS can_ask, count(*) - least(count(*), {V.ASK_LIFETIME_LIMIT}) AS rejected FROM v_api GROUP BY key""")
