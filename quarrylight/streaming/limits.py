@@ -27,10 +27,10 @@ def admitted(at: np.ndarray, recent: np.ndarray, window: int, most: int) -> tupl
     are reached by jumps, each a sorted search; requests in between are refused
     until the window after the oldest of the last ``most`` has passed.
     """
-    places, times, place = [], list(recent[-most:]), 0
+    places, times, place, left = [], list(recent[-most:]), 0, at - window
     while place < len(at):
         if len(times) >= most:
-            place = max(place, int(np.searchsorted(at, times[-most] + window, side="right")))
+            place = max(place, int(np.searchsorted(left, times[-most], side="right")))
             if place >= len(at):
                 break
         places.append(place)
