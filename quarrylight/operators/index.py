@@ -10,13 +10,9 @@ from pyspark.sql import functions as F
 from quarrylight.functions import text as T
 from quarrylight.sources.corpus import Corpus
 
-# One bucket per this many documents, within the given limits.
-DOCS_PER_BUCKET = 250_000
-MIN_BUCKETS, MAX_BUCKETS = 8, 4096
-
-
-def bucket_count(n_docs: int) -> int:
-    return max(MIN_BUCKETS, min(MAX_BUCKETS, n_docs // DOCS_PER_BUCKET))
+#: The layout, unless the session sets ``quarrylight.index.buckets`` and ``quarrylight.index.files``:
+#: buckets of lexemes, and files of each bucket by document. Set both by the bytes of postings a task should read.
+BUCKETS, FILES_PER_BUCKET = 64, 1
 
 
 def content(docs: DataFrame) -> DataFrame:
@@ -78,11 +74,10 @@ def stored_index(c: Corpus) -> Callable[[DataFrame], DataFrame]:
     The bucket is a partition column, so the join prunes at run time and only
     the buckets of wanted lexemes are read.
     """
-    n_docs = c.documents.count()  # from file footers
-    buckets = bucket_count(n_docs)
-    spread = max(1, n_docs // 20_000_000)
+    buckets = int(c.spark.conf.get("quarrylight.index.buckets", str(BUCKETS)))
+    spread = int(c.spark.conf.get("quarrylight.index.files", str(FILES_PER_BUCKET)))
     table = c.keep(
-        "term_index",
+        f"term_index-{buckets}-{spread}",
         lambda: with_bucket(term_frequencies(content(c.documents)), buckets),
         lambda df, path: write_index(df, path, spread),
     )

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from functools import cached_property, wraps
+from functools import cache, cached_property, wraps
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,6 +102,17 @@ def plus_seconds(ts: Column, seconds: Column) -> Column:
 #: Request ids of conversation turns: above all item ids, room for so many turns each.
 TURN_IDS, TURNS = 1 << 52, 1 << 24
 
+@cache
+def _code_version() -> str:
+    """A digest of this library's source: other code may derive other tables."""
+    package = Path(__file__).parents[1]
+    digest = hashlib.md5()
+    for file in sorted(package.rglob("*.py")):
+        if "llm" not in file.relative_to(package).parts:
+            digest.update(file.read_bytes())
+    return digest.hexdigest()[:12]
+
+
 _WRITTEN: dict[str, StructType] = {}
 
 
@@ -121,27 +133,50 @@ def stored(build):
 class Corpus:
     """The corpus tables of one data folder.
 
-    Tables live in the shared work folder, one set per application and data
-    folder.
+    Tables live in the shared work folder, one set for each state of the input
+    files and of this library's code, so a later session finds what an earlier
+    one has written, and changed input gets new tables.
     """
 
+    TABLES = ("pages", "documents", "events", "labels", "benchmark", "conversations")
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
-        key = hashlib.md5(folder.encode()).hexdigest()[:12]
-        app = spark.sparkContext.applicationId
-        self.home = f"{work_folder(spark)}/quarrylight/{app}/{key}"
+        self.home = f"{work_folder(spark)}/quarrylight/{_code_version()}/{self._input_state()}"
+
+    def _path(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _files(self, path: str):
+        return self._path(path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _input_state(self) -> str:
+        """A digest of the folder's address and of name, length and time of its tables' files."""
+        state = hashlib.md5(self.folder.encode())
+        for table in self.TABLES:
+            path = f"{self.folder}/{table}.parquet"
+            store = self._files(path)
+            if store.exists(self._path(path)):
+                for f in store.listStatus(self._path(path)):
+                    state.update(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()};".encode())
+        return state.hexdigest()[:16]
 
     def keep(self, name: str, build, write=None) -> DataFrame:
         """Write ``build()`` once under ``name`` and return a scan of it."""
         path = f"{self.home}/{name}"
         if path not in _WRITTEN:
-            df = build()
-            if write:
-                write(df, path)
-            else:
-                df.write.mode("overwrite").parquet(path)
-            _WRITTEN[path] = df.schema
+            store = self._files(path)
+            if not store.exists(self._path(f"{path}/_SUCCESS")):
+                # Written aside and then renamed: a table is there as a whole or not at all.
+                aside, df = f"{path}-{uuid.uuid4().hex[:12]}", build()
+                if write:
+                    write(df, aside)
+                else:
+                    df.write.parquet(aside)
+                if not store.rename(self._path(aside), self._path(path)):
+                    store.delete(self._path(aside), True)
+            _WRITTEN[path] = self.spark.read.parquet(path).schema
         return self.spark.read.schema(_WRITTEN[path]).parquet(path)
 
     def stage(self, df: DataFrame, label: str) -> DataFrame:

@@ -82,3 +82,20 @@ def test_address_before_user(spark):
         own = [r for r in passed if r[2] == u]
         by_user |= dict(zip([r[0] for r in own], plain_limit([r[3] for r in own], 10, 1), strict=True))
     assert found == {r[0]: (by_user.get(r[0], False), "ip" if not by_ip[r[1]][r[0]] else None if by_user[r[0]] else "user") for r in rows}
+
+
+def test_tables_are_found_again_and_renewed(spark, tmp_path):
+    """Another start reads what is there; other input files get other tables."""
+    from quarrylight.sources import corpus as C
+
+    folder = str(tmp_path / "in")
+    pages = spark.createDataFrame([(i, f"https://a{i}.example/x", "") for i in range(5)], "page_id long, url string, html string")
+    pages.write.parquet(f"{folder}/pages.parquet")
+    first = C.Corpus(spark, folder)
+    assert first.page_urls.count() == 5
+    C._WRITTEN.clear()
+    again, built = C.Corpus(spark, folder), []
+    assert again.home == first.home and again.keep("page_urls", lambda: built.append(1)).count() == 5 and not built
+    pages.withColumn("page_id", F.col("page_id") + 100).write.mode("append").parquet(f"{folder}/pages.parquet")
+    changed = C.Corpus(spark, folder)
+    assert changed.home != first.home and changed.page_urls.count() == 10

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict, deque
+from collections import defaultdict
 
 from pyspark.sql import functions as F
 
@@ -74,16 +74,14 @@ def test_random_negatives(spark):
 
 
 def brute_force(requests, window, most):
-    out, open_ = {}, defaultdict(deque)
+    """Every request against all accepted ones of its key."""
+    out, accepted = {}, defaultdict(list)
     for key, at, rid in sorted(requests, key=lambda r: (r[0], r[1], r[2])):
-        q = open_[key]
-        while q and q[0] < at - window:
-            q.popleft()
-        if len(q) < most:
-            q.append(at)
-            out[rid] = (True, None)
-        else:
-            out[rid] = (False, int(max(1.0, window - (at - q[0]))))
+        inside = [t for t in accepted[key] if at - t <= window]
+        full = len(inside) >= most
+        out[rid] = (not full, int(max(1.0, window - (at - min(inside)))) if full else None)
+        if not full:
+            accepted[key].append(at)
     return out
 
 
