@@ -238,7 +238,7 @@ def near_duplicates(
         "across",
     )
     final = components(joined.toDF("u", "v").union(more), scratch, "last")
-    scratch.drop("shared", "bodies", "candidates", "stars", "placed", "split", "inside")
+    scratch.drop("shared", "bodies", "candidates", "stars", "placed", "split", "inside", "sketches")
 
     member = (
         classes.join(final.withColumnRenamed("node", "class"), "class", "left")
