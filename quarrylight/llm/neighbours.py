@@ -1,17 +1,22 @@
 """Nearest neighbours by collision counting on sorted projections.
 
-Vectors are put on a sphere (inner products then order as distances do) and
+The vectors of a block are split into length classes: in each, no vector is
+``CLASS_RATIO`` times as long as another. A class is lifted on the sphere of
+its own longest vector (inner products then order as distances do) and
 projected on single directions, orthogonal in sets of as many as there are
-dimensions. The vectors of a block are sorted by each projection. A query's
-windows, centred on its own projections, widen from radius to radius (virtual
-rehashing: nothing is hashed anew), and a vector counts a collision for every
-window it lies in. A query verifies all vectors that reach its collision
-threshold: the highest one that lets ``verify_share`` of the block and the
-wanted number through. Verified vectors are ranked by their exact inner
-products in double precision.
-
-Every vector is in one block and every query visits every block; blocks are a
-fixed number of vectors, so a task holds one block whatever the table's size.
+dimensions. Its vectors are sorted by each projection. A query's windows,
+centred on its own projections, widen from radius to radius (virtual
+rehashing: nothing is hashed anew); radii are multiples of the spread of the
+class along the projection. A vector counts a collision for every window it
+lies in. A query verifies all vectors that reach its collision threshold: the
+highest one that lets ``verify_share`` of the class and the wanted number
+through. Small classes are verified whole. Verified vectors are ranked by their
+exact inner products in double precision.
+
+Every vector is in one block and every query visits every block, and in it the
+classes from the longest down, but for those whose longest vector times the
+query's length falls short of the last score it has found. Blocks are a fixed
+number of vectors, so a task holds one block whatever the table's size.
 """
 
 from collections.abc import Iterator
@@ -26,9 +31,11 @@ from quarrylight.llm.common import Scratch
 
 #: Projections at least: as many orthogonal sets as that takes.
 PROJECTIONS, SEED = 64, 4242
-#: Half widths of the windows in standard deviations of a projected random unit vector.
+#: Half widths of the windows in standard deviations of a class along the projection.
 RADII = (0.5, 1.0, 1.5, 2.0)
 VERIFY_SHARE, BLOCK_ROWS = 0.1, 16_384
+#: Longest to shortest vector of a length class at most; a class of so few rows is verified whole.
+CLASS_RATIO, WHOLE_ROWS = 1.2, 2048
 
 
 def directions(dimensions: int, least: int = PROJECTIONS) -> np.ndarray:
@@ -38,45 +45,86 @@ def directions(dimensions: int, least: int = PROJECTIONS) -> np.ndarray:
     return np.concatenate(bases, axis=1) * np.sqrt(dimensions)
 
 
-class Block:
-    """The vectors of a block, sorted by each projection."""
+def lengths(vectors: np.ndarray) -> np.ndarray:
+    """Lengths of vectors, also where squares leave the range of doubles."""
+    scale = np.abs(vectors).max(axis=1, keepdims=True)
+    return scale[:, 0] * np.sqrt(((vectors / scale) ** 2).sum(axis=1))
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float, radii: tuple[float, ...], verify_share: float):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors, self.radii, self.share = ids[order], vectors[order], radii, verify_share
-        norms = (self.vectors**2).sum(axis=1)
-        rest = np.sqrt(np.maximum(longest**2 - norms, 0))
+
+class LengthClass:
+    """Vectors of about one length, sorted by each projection; ``rows`` are their places in the block."""
+
+    def __init__(self, rows: np.ndarray, vectors: np.ndarray, norms: np.ndarray, radii: tuple[float, ...], verify_share: float):
+        self.rows, self.radii, self.share, self.longest = rows, radii, verify_share, float(norms.max())
+        self.whole = len(rows) <= WHOLE_ROWS
+        if self.whole:
+            return
+        rest = np.sqrt(np.maximum(1 - (norms / self.longest) ** 2, 0))
         self.directions = directions(vectors.shape[1] + 1)
-        projected = np.column_stack((self.vectors, rest)) / longest @ self.directions
+        projected = np.column_stack((vectors / self.longest, rest)) @ self.directions
+        self.spread = projected.std(axis=0)
         self.orders = np.argsort(projected, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(projected.T, self.orders, axis=1)
 
-    def collisions(self, queries: np.ndarray) -> Iterator[np.ndarray]:
-        """For each query the collisions of every vector, over all projections and radii."""
-        length = np.sqrt((queries**2).sum(axis=1, keepdims=True))
-        centre = np.column_stack((queries / length, np.zeros(len(queries)))) @ self.directions
+    def collisions(self, units: np.ndarray) -> Iterator[np.ndarray]:
+        """For each query, given at length one, the collisions of every vector, over all projections and radii."""
+        centre = np.column_stack((units, np.zeros(len(units)))) @ self.directions
         widths = np.array((*(-r for r in self.radii[::-1]), *self.radii))
-        edges = np.stack([np.searchsorted(own, centre[:, j, None] + widths) for j, own in enumerate(self.sorted)])
+        edges = np.stack([np.searchsorted(own, centre[:, j, None] + widths * self.spread[j]) for j, own in enumerate(self.sorted)])
         # A ring between two radii lies in all wider windows.
         gains = [*range(1, len(self.radii) + 1), *range(len(self.radii) - 1, 0, -1)]
-        for q in range(len(queries)):
-            counts = np.zeros(len(self.ids), np.int32)
+        for q in range(len(units)):
+            counts = np.zeros(len(self.rows), np.int32)
             for order, cut in zip(self.orders, edges[:, q].tolist(), strict=True):
                 for low, high, gain in zip(cut, cut[1:], gains, strict=False):
                     if low < high:
                         counts[order[low:high]] += gain
             yield counts
 
+    def candidates(self, units: np.ndarray, k: int) -> Iterator[np.ndarray]:
+        """For each query the rows to verify."""
+        enough = k + 1 + int(np.ceil(self.share * len(self.rows)))
+        if self.whole or enough >= len(self.rows):
+            for _ in units:
+                yield self.rows
+            return
+        for counts in self.collisions(units):
+            yield self.rows[counts >= np.partition(counts, -enough)[-enough]]
+
+
+class Block:
+    """The vectors of a block in length classes, the longest first."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, radii: tuple[float, ...], verify_share: float):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.vectors = ids[order], vectors[order]
+        norms = lengths(self.vectors)
+        self.classes = []
+        left = np.argsort(-norms, kind="stable")
+        while len(left):
+            # Each class starts at the longest vector left, so lengths that are equal but for rounding are one class.
+            rows = left[: np.searchsorted(-norms[left], -norms[left[0]] / CLASS_RATIO, side="right")]
+            left = left[len(rows) :]
+            rows = np.sort(rows)
+            self.classes.append(LengthClass(rows, self.vectors[rows], norms[rows], radii, verify_share))
+
     def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query, ids, scores) of the k nearest of the verified vectors, other than the query's own row."""
-        enough = min(len(self.ids), k + 1 + int(np.ceil(self.share * len(self.ids))))
-        for query, vector, counts in zip(query_ids, queries, self.collisions(queries), strict=True):
-            threshold = np.partition(counts, -enough)[-enough]
-            found = np.flatnonzero(counts >= threshold)
-            found = found[self.ids[found] != query]
-            scores = (self.vectors[found] * vector).sum(axis=1)
-            best = np.lexsort((self.ids[found], -scores))[:k]
-            yield query, self.ids[found][best], scores[best]
+        length = lengths(queries)
+        units = queries / length[:, None]
+        best, scores = [np.zeros(0, np.int64)] * len(queries), [np.zeros(0)] * len(queries)
+        for part in self.classes:
+            # No vector of the class scores more than the product of the lengths; a little more for rounding.
+            bound = part.longest * length * (1 + 1e-9)
+            asking = np.array([q for q in range(len(queries)) if len(best[q]) < k or bound[q] >= scores[q][-1]], np.int64)
+            for q, found in zip(asking, part.candidates(units[asking], k), strict=True):
+                found = found[self.ids[found] != query_ids[q]]
+                rows = np.concatenate((best[q], found))
+                values = np.concatenate((scores[q], (self.vectors[found] * queries[q]).sum(axis=1)))
+                chosen = np.lexsort((self.ids[rows], -values))[:k]
+                best[q], scores[q] = rows[chosen], values[chosen]
+        for query, rows, values in zip(query_ids, best, scores, strict=True):
+            yield query, self.ids[rows], values
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -84,7 +132,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _searched(batches: Iterator[pa.RecordBatch], k: int, longest: float, radii: tuple[float, ...], verify_share: float) -> Iterator[pa.RecordBatch]:
+def _searched(batches: Iterator[pa.RecordBatch], k: int, radii: tuple[float, ...], verify_share: float) -> Iterator[pa.RecordBatch]:
     """Sorted by block, the block's vectors (``asks`` false) before its queries."""
     at, block, ids, vectors = None, None, [], []
     for batch in batches:
@@ -103,7 +151,7 @@ def _searched(batches: Iterator[pa.RecordBatch], k: int, longest: float, radii:
                 continue
             if not ids:
                 continue
-            block = block or Block(np.concatenate(ids), np.concatenate(vectors), longest, radii, verify_share)
+            block = block or Block(np.concatenate(ids), np.concatenate(vectors), radii, verify_share)
             found = list(block.nearest(rows[low:high], matrix[low:high], k))
             yield pa.record_batch(
                 [
@@ -137,8 +185,7 @@ def nearest_neighbours(
         .dropDuplicates(["vec_id"])
     )
     rows = scratch.save(rows, "vectors")
-    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x))
-    shape = rows.agg(F.count("*").alias("n"), F.max(length).alias("longest"), F.min(F.size("vector")).alias("low"), F.max(F.size("vector")).alias("high")).first()
+    shape = rows.agg(F.count("*").alias("n"), F.min(F.size("vector")).alias("low"), F.max(F.size("vector")).alias("high")).first()
     if shape["n"] and shape["low"] != shape["high"]:
         raise ValueError(f"vectors of {shape['low']} and of {shape['high']} numbers")
     blocks = max(1, -(-shape["n"] // block_rows))
@@ -146,7 +193,7 @@ def nearest_neighbours(
     asked = rows.where("asks").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(True).alias("asks"), "vec_id", "vector")
     found = scratch.save(
         held.union(asked).repartition(blocks, "block").sortWithinPartitions("block", "asks")
-        .mapInArrow(partial(_searched, k=k, longest=shape["longest"] or 1.0, radii=radii, verify_share=verify_share), "query_id long, vec_id long, score double"),
+        .mapInArrow(partial(_searched, k=k, radii=radii, verify_share=verify_share), "query_id long, vec_id long, score double"),
         "found",
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

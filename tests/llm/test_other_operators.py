@@ -130,6 +130,34 @@ def test_neighbours(spark):
         nearest_neighbours(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>"), F.lit(True))
 
 
+@pytest.mark.parametrize("lengths", ["outlier", "log-normal", "extreme"])
+def test_neighbours_of_uneven_lengths(spark, lengths):
+    """Recall at the registered parameters where one vector is far longer than the others, or all lengths differ."""
+    draw = np.random.default_rng(11)
+    centres = draw.standard_normal((100, 64))
+    vectors = centres[draw.integers(0, 100, 6000)] + 0.7 * draw.standard_normal((6000, 64))
+    vectors /= np.sqrt((vectors**2).sum(axis=1, keepdims=True))
+    if lengths == "outlier":
+        vectors[7] *= 30
+    elif lengths == "log-normal":
+        vectors *= np.exp(draw.standard_normal((6000, 1)))
+    else:
+        vectors[7] *= 1e200
+        vectors[8] *= 1e-200
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(vectors)], "vec_id long, embedding array<double>")
+    by = {}
+    for r in nearest_neighbours(table, F.col("vec_id") % 100 == 0).collect():
+        by.setdefault(r["query_id"], []).append(r)
+    assert sorted(by) == list(range(0, 6000, 100))
+    hits = 0
+    for q, own in by.items():
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        hits += len(set(np.argsort(-scores)[:20].tolist()) & {r["vec_id"] for r in own})
+        assert all(r["score"] == pytest.approx(float(scores[r["vec_id"]])) for r in own)
+    assert hits / (20 * len(by)) > 0.98
+
+
 # -- language ID
 
 
