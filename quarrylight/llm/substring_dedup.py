@@ -60,10 +60,11 @@ def suffix_codes(codes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray
     return parts[0] << np.uint64(32) | parts[1], parts[2] << np.uint64(32) | parts[3]
 
 
-def _runs(positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last of each run of consecutive positions."""
-    breaks = np.flatnonzero(np.diff(positions) != 1)
-    return positions[np.concatenate(([0], breaks + 1))], positions[np.concatenate((breaks, [len(positions) - 1]))]
+def _runs(rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last) of each run of consecutive starts in one row."""
+    breaks = np.flatnonzero((rows[1:] != rows[:-1]) | (starts[1:] != starts[:-1] + 1))
+    low, high = np.concatenate(([0], breaks + 1)), np.concatenate((breaks, [len(rows) - 1]))
+    return rows[low], starts[low], starts[high]
 
 
 def _later(*keys: np.ndarray) -> np.ndarray:
@@ -154,10 +155,9 @@ def _suffixes(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> It
         leaf = ~later
         out = [head[leaf].view(np.int64)], [tail[leaf].view(np.int64)], [row[leaf]], [start[leaf]], [np.full(leaf.sum(), -1, np.int64)]
         if later.any():
-            spread = row[later] * (1 << 32) + start[later]
-            low, high = _runs(spread)
-            own = low >> 32
-            for column, value in zip(out, (common.mixed(low.view(np.uint64)).view(np.int64), np.zeros(len(low), np.int64), own, low & 0xFFFFFFFF, high & 0xFFFFFFFF), strict=True):
+            own, low, high = _runs(row[later], start[later])
+            spread = common.mixed(common.mixed(own.view(np.uint64)) + low.view(np.uint64)).view(np.int64)
+            for column, value in zip(out, (spread, np.zeros(len(low), np.int64), own, low, high), strict=True):
                 column.append(value)
         yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], names=["head", "tail", "id", "first", "last"])
 

@@ -139,6 +139,17 @@ def test_repeats_over_slices(spark, monkeypatch, slice_bytes):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found} == {i: x[:3] for i, x in plain_repeats(rows, 20).items()}
 
 
+def test_repeats_of_wide_ids(spark):
+    """Ids beyond 2^31 either way, as hashed ones are; some are equal in their low 32 bits."""
+    passage = cases.sentence(90, 45)
+    ids = [-(1 << 63), -(1 << 40) - 9, -(1 << 31) - 1, 4, (1 << 31) + 4, (1 << 32) + 4, (1 << 40) + 4, (1 << 41) + 9, (1 << 63) - 1]
+    rows = [(i, f"{cases.sentence(60 + k, 5 + 3 * k)} {passage} {cases.sentence(80 + k, 30)}") for k, i in enumerate(ids)]
+    docs = cases.documents(spark, rows, partitions=1)
+    wanted = plain_repeats(rows, 20)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in judge_repeats(docs, window=20).collect()} == {i: x[:3] for i, x in wanted.items()}
+    assert sum(x[1] for x in wanted.values()) == 45 * (len(ids) - 1)
+
+
 def test_remove_repeats(spark):
     rows = cases.texts()
     docs = cases.documents(spark, rows)
