@@ -327,8 +327,8 @@ def stream_discovery(c: Corpus):
     rows.write.parquet(source)
     stream = c.spark.readStream.schema(rows.schema).parquet(source)
     known = c.sources.where("id % 2 = 0").select("canonical_url")
-    FE.run_to_end(FE.discovered(stream, known), fresh_path(c, "checkpoint"), step=FE.append_new(lambda: known, sink))
-    return c.spark.read.schema("canonical_url string").parquet(sink)
+    FE.run_to_end(FE.discovered(stream), fresh_path(c, "checkpoint"), step=FE.append_new(lambda: known, sink))
+    return c.spark.read.schema("canonical_url string").parquet(sink).select("canonical_url")
 
 
 _HEALTH_SQL = """

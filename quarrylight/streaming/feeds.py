@@ -8,23 +8,34 @@ from pyspark.sql import functions as F
 from quarrylight.functions import urls as U
 
 
-def discovered(candidates: DataFrame, known: DataFrame, delay: str = "1 day") -> DataFrame:
-    """New allowed URLs of a stream candidates(raw_url, seen_at).
+def discovered(candidates: DataFrame) -> DataFrame:
+    """Allowed URLs of a stream candidates(raw_url, seen_at), however late they come.
 
-    Repeats inside the watermark are dropped by state; URLs already stored are
-    left out by :func:`append_new` per micro-batch.
+    Repeats and URLs already stored are left out by :func:`append_new` per micro-batch.
     """
     urls = candidates.withColumn("canonical_url", U.safe_canonicalize_url(F.col("raw_url")))
     good = urls.where(F.col("canonical_url").isNotNull() & U.is_allowed_candidate(F.col("canonical_url")))
-    return good.withWatermark("seen_at", delay).dropDuplicatesWithinWatermark(["canonical_url"]).select("canonical_url", "seen_at")
+    return good.select("canonical_url", "seen_at")
 
 
-def append_new(known_path_reader, sink: str):
-    """A foreachBatch step: anti join against the stored sources, then append."""
+def append_new(known_path_reader, sink: str, feed: str = "discovery"):
+    """A foreachBatch step: anti join against the known sources and the sink, then write the epoch's own folder.
 
-    def step(batch: DataFrame, _epoch: int) -> None:
-        fresh = batch.dropDuplicates(["canonical_url"]).join(known_path_reader(), "canonical_url", "left_anti")
-        fresh.write.mode("append").parquet(sink)
+    A replayed epoch overwrites what it wrote before. Epochs are those of one
+    checkpoint, so feeds that share a sink, or start again with a new
+    checkpoint, each need a ``feed`` name of their own.
+    """
+    stored = "canonical_url string, seen_at timestamp, feed string, epoch long"
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.groupBy("canonical_url").agg(F.min("seen_at").alias("seen_at")).join(known_path_reader(), "canonical_url", "left_anti")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sink)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            # Of its own feed only earlier epochs count: a replay must find again what it found first.
+            seen = spark.read.schema(stored).parquet(sink).where((F.col("feed") != feed) | (F.col("epoch") < epoch))
+            fresh = fresh.join(seen.select("canonical_url"), "canonical_url", "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{sink}/feed={feed}/epoch={epoch}")
 
     return step
 
