@@ -1,13 +1,12 @@
-"""Repeated word windows, by prefix-partitioned suffix trees.
-
-Every word position starts a suffix. The trees are cut off below a window's
-length, as only nodes at that depth matter: suffixes that share a node there
-start with the same window, and the first leaf of the node is its earliest
-place. A suffix is spelled in four codes of a quarter window each. Suffixes are
-dealt out by a two-code prefix and sorted; a sorted run of leaves with the
-lengths of their common prefixes is the tree, read in one pass. Where many
-suffixes share a prefix the pass goes down to longer ones, to the full depth,
-and holds no more than the last leaf, whatever the size of a group.
+"""Repeated word windows, by sorted window codes.
+
+Every word position starts a suffix. Suffixes that share a window's length of
+words would share a node of that depth in a suffix tree; as no other node
+matters here, no tree is made. A suffix is cut off at a window's length and
+spelled in four codes of a quarter window each. Suffixes are dealt out by the
+first two codes and sorted by all four, then place: a suffix with the codes of
+the one before repeats an earlier window. The pass holds no more than the last
+suffix, whatever the size of a group.
 
 Not every suffix is dealt out. Each window has an anchor, its lowest-coded run
 of ``ANCHOR_WORDS`` words; equal windows have equal anchors. Only windows whose
