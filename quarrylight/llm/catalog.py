@@ -78,7 +78,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = encode_documents(common.documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return rows.select(
-        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.crc32(ids.cast("binary")).alias("ids_crc32"),
+        "doc_id", F.coalesce(F.array_size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.crc32(ids.cast("binary")).alias("ids_crc32"),
         F.length("decoded").cast("long").alias("n_chars"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 

@@ -24,7 +24,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.llm import common
@@ -32,6 +32,8 @@ from quarrylight.llm.common import Scratch, WordCodes, mixed, sequence_codes
 from quarrylight.llm.components import components
 
 BANDS, BAND_PERMUTATIONS, SEED = 40, 3, 20240229
+#: Classes that can't be named by an id of their own have numbers from here on.
+BEYOND = 1 << 62
 #: Shingles hashed at once; a longer document is taken in runs of so many.
 RUN = 8192
 #: Shingles in a block of a family's index: what one task holds at a time.
@@ -87,8 +89,8 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int, bands: int, each:
                 signatures.append(bands_of(found, a, b, bands).view(np.int64) if len(found) else None)
                 cells.append(cells_of(found) if len(found) else None)
             yield pa.record_batch(
-                [part.column("id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.list_(pa.int64())), pa.array(cells, pa.binary())],
-                names=["id", "n_shingles", "set_key", "bands", "cells"],
+                [part.column("id"), part.column("part"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.list_(pa.int64())), pa.array(cells, pa.binary())],
+                names=["id", "part", "n_shingles", "set_key", "bands", "cells"],
             )
 
 
@@ -164,8 +166,9 @@ def near_duplicates(
     Two documents are linked if ``100 * |intersection| >= percent * |union|``
     of their shingle sets; ``component_id`` is the smallest id reachable and
     ``kept`` marks its own document. A text that is null or has no words has an
-    empty set and no links. Rows that repeat an id are one document in its
-    links and are each returned. A row without an id takes no part in links:
+    empty set and no links. Rows that repeat an id are each returned with the
+    size of their own set, and are one document in links, whatever their texts
+    (ids are below 2^62 where one comes with several texts). A row without an id takes no part in links:
     ``component_id`` is null and ``kept`` is true. Other columns are ignored.
 
     At similarity 0.8 a band agrees with probability of about 0.26, so with 40
@@ -173,22 +176,29 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "near-dedup")
-    source = docs.select(F.col(id_column).cast("long").alias("id"), common.text_column(text_column).alias("text"))
+    text = common.text_column(text_column)
+    source = docs.select(F.col(id_column).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("part"))
     signed = scratch.save(
         source.mapInArrow(
             partial(_signatures, size=shingle_words, bands=bands, each=band_permutations),
-            "id long, n_shingles long, set_key binary, bands array<long>, cells binary",
+            "id long, part long, n_shingles long, set_key binary, bands array<long>, cells binary",
         ),
         "signatures",
     )
     named = signed.where("id IS NOT NULL AND set_key IS NOT NULL")
-    classes = scratch.save(named.groupBy("set_key").agg(F.min("id").alias("class"), F.min("n_shingles").alias("n")), "classes")
+    owned = scratch.save(named.groupBy("set_key").agg(F.min("id").alias("owner"), F.min("n_shingles").alias("n")), "owned")
+    # An id that comes with several texts may own several classes: all but one get a number above all ids.
+    again = owned.groupBy("owner").agg(F.min("set_key").alias("own_key"), F.count("*").alias("classes")).where("classes > 1").select("owner", "own_key")
+    beyond = F.lit(BEYOND).bitwiseOR(F.xxhash64("set_key").bitwiseAND(F.lit(BEYOND - 1)))
+    classes = scratch.save(
+        owned.join(again, "owner", "left").select("set_key", "owner", "n", F.when(F.col("own_key") != F.col("set_key"), beyond).otherwise(F.col("owner")).alias("class")), "classes"
+    )
     first = (
-        named.select("id", "set_key", "bands", "cells")
-        .join(classes.select(F.col("class").alias("id"), "set_key", "n"), ["id", "set_key"])
-        .dropDuplicates(["id", "set_key"])
+        named.select(F.col("id").alias("owner"), "part", "set_key", "bands", "cells")
+        .join(classes, ["owner", "set_key"])
+        .dropDuplicates(["owner", "set_key"])
     )
-    sketches = scratch.save(first.select("id", "n", "cells", "bands"), "sketches")
+    sketches = scratch.save(first.select(F.col("class").alias("id"), "owner", "part", "n", "cells", "bands"), "sketches")
     buckets = sketches.select("id", F.explode("bands").alias("band"))
     hubs = buckets.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1")
     shared = scratch.save(buckets.join(hubs.select("band", "hub"), "band"), "shared")
@@ -204,7 +214,8 @@ def near_duplicates(
     # The texts of all candidates move once, for both searches.
     wanted = candidates.select(F.col("u").alias("id")).union(candidates.select(F.col("v").alias("id"))).distinct()
     # Candidates grow with the corpus, so both sides are shuffled at every size.
-    found = source.join(wanted.hint("merge"), "id", "left_semi")
+    places = sketches.select("id", F.col("owner").alias("of"), F.col("part").alias("of_part")).join(wanted, "id").hint("merge")
+    found = source.select(F.col("id").alias("of"), F.col("part").alias("of_part"), "text").join(places, ["of", "of_part"])
     bodies = scratch.save(found.groupBy("id").agg(F.min("text").alias("text")), "bodies")
     starred = likely.join(bodies.toDF("u", "text_u"), "u").join(bodies.toDF("v", "text_v"), "v").select("u", "v", "text_u", "text_v")
     links = scratch.save(starred.mapInArrow(partial(_confirmed, size=shingle_words, percent=percent), "u long, v long"), "stars")
@@ -237,7 +248,11 @@ def near_duplicates(
         .mapInArrow(partial(_searched, size=shingle_words, percent=percent), "u long, v long"),
         "across",
     )
-    final = components(joined.toDF("u", "v").union(more), scratch, "last")
+    # The classes of an id's texts belong together.
+    several = named.groupBy("id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low != high").select("id")
+    held = named.select("id", "set_key").join(several, "id", "left_semi").distinct().join(classes.select("set_key", "class"), "set_key")
+    within = held.join(held.groupBy("id").agg(F.min("class").alias("v")), "id").select(F.col("class").alias("u"), "v")
+    final = components(joined.toDF("u", "v").union(more).union(within), scratch, "last")
     scratch.drop("shared", "bodies", "candidates", "stars", "placed", "split", "inside", "sketches")
 
     member = (
@@ -254,11 +269,13 @@ def near_duplicates(
 def one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, without the near duplicates of documents of smaller id.
 
-    Of rows that repeat an id one stays; rows without an id all stay.
+    Of rows that repeat an id the one of smallest text stays, null first, of
+    equal texts the one of smallest row hash; rows without an id all stay.
     """
     judged = near_duplicates(docs, id_column=id_column, text_column=text_column, shingle_words=shingle_words, percent=percent)
     kept = judged.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
     # One struct beside the rows, so no column name can clash.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_column).cast("long").alias("id"))
-    named = rows.join(kept, rows.id == kept.kept_id, "left_semi").dropDuplicates(["id"])
+    order = Window.partitionBy("id").orderBy(F.col("row")[text_column].asc_nulls_first(), F.xxhash64("row"))
+    named = rows.join(kept, rows.id == kept.kept_id, "left_semi").withColumn("at", F.row_number().over(order)).where("at = 1").select("row", "id")
     return named.union(rows.where("id IS NULL")).select("row.*")

@@ -10,7 +10,7 @@ rehashing: nothing is hashed anew); radii are multiples of the spread of the
 class along the projection. A vector counts a collision for every window it
 lies in. A query verifies all vectors that reach its collision threshold: the
 highest one that lets ``verify_share`` of the class and the wanted number
-through. Small classes are verified whole. Verified vectors are ranked by their
+through, and ``LEAST_VERIFIED`` at least. Verified vectors are ranked by their
 exact inner products in double precision.
 
 Every vector is in one block and every query visits every block, and in it the
@@ -34,8 +34,8 @@ PROJECTIONS, SEED = 64, 4242
 #: Half widths of the windows in standard deviations of a class along the projection.
 RADII = (0.5, 1.0, 1.5, 2.0)
 VERIFY_SHARE, BLOCK_ROWS = 0.1, 16_384
-#: Longest to shortest vector of a length class at most; a class of so few rows is verified whole.
-CLASS_RATIO, WHOLE_ROWS = 1.2, 2048
+#: Longest to shortest vector of a length class at most; vectors of a class that are verified at least, the first by collisions.
+CLASS_RATIO, LEAST_VERIFIED = 1.2, 256
 
 
 def directions(dimensions: int, least: int = PROJECTIONS) -> np.ndarray:
@@ -56,8 +56,7 @@ class LengthClass:
 
     def __init__(self, rows: np.ndarray, vectors: np.ndarray, norms: np.ndarray, radii: tuple[float, ...], verify_share: float):
         self.rows, self.radii, self.share, self.longest = rows, radii, verify_share, float(norms.max())
-        self.whole = len(rows) <= WHOLE_ROWS
-        if self.whole:
+        if len(rows) <= LEAST_VERIFIED:
             return
         rest = np.sqrt(np.maximum(1 - (norms / self.longest) ** 2, 0))
         self.directions = directions(vectors.shape[1] + 1)
@@ -83,8 +82,8 @@ class LengthClass:
 
     def candidates(self, units: np.ndarray, k: int) -> Iterator[np.ndarray]:
         """For each query the rows to verify."""
-        enough = k + 1 + int(np.ceil(self.share * len(self.rows)))
-        if self.whole or enough >= len(self.rows):
+        enough = max(LEAST_VERIFIED, k + 1 + int(np.ceil(self.share * len(self.rows))))
+        if enough >= len(self.rows):
             for _ in units:
                 yield self.rows
             return
@@ -172,8 +171,8 @@ def nearest_neighbours(
     candidate, an equal vector of another row is. All candidates are returned
     if there are fewer than ``k``. Rows without an id, and vectors that are
     null, empty, zero or hold null or non-finite numbers, take no part; a table
-    may hold one length of vector only (others are an error). Repeated rows
-    with the same id are one row. Other columns are ignored.
+    may hold one length of vector only (others are an error). Rows that repeat
+    an id are one row, with the smallest of their vectors. Other columns are ignored.
     """
     spark = table.sparkSession
     scratch = scratch or Scratch(spark, "neighbours")
@@ -182,7 +181,7 @@ def nearest_neighbours(
     rows = (
         table.where(F.col(id_column).isNotNull() & sound)
         .select(F.col(id_column).cast("long").alias("vec_id"), vector.alias("vector"), is_query.alias("asks"))
-        .dropDuplicates(["vec_id"])
+        .groupBy("vec_id").agg(F.min("vector").alias("vector"), F.max("asks").alias("asks"))
     )
     rows = scratch.save(rows, "vectors")
     shape = rows.agg(F.count("*").alias("n"), F.min(F.size("vector")).alias("low"), F.max(F.size("vector")).alias("high")).first()
@@ -192,7 +191,7 @@ def nearest_neighbours(
     held = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.lit(False).alias("asks"), "vec_id", "vector")
     asked = rows.where("asks").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(True).alias("asks"), "vec_id", "vector")
     found = scratch.save(
-        held.union(asked).repartition(blocks, "block").sortWithinPartitions("block", "asks")
+        held.union(asked).repartitionById(blocks, F.col("block").cast("int")).sortWithinPartitions("block", "asks")
         .mapInArrow(partial(_searched, k=k, radii=radii, verify_share=verify_share), "query_id long, vec_id long, score double"),
         "found",
     )

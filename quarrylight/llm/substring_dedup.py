@@ -26,7 +26,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm import common
@@ -59,11 +59,11 @@ def suffix_codes(codes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray
     return parts[0] << np.uint64(32) | parts[1], parts[2] << np.uint64(32) | parts[3]
 
 
-def _runs(rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first, last) of each run of consecutive starts in one row."""
-    breaks = np.flatnonzero((rows[1:] != rows[:-1]) | (starts[1:] != starts[:-1] + 1))
+def _runs(rows: np.ndarray, parts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, part, first, last) of each run of consecutive starts in one row."""
+    breaks = np.flatnonzero((rows[1:] != rows[:-1]) | (parts[1:] != parts[:-1]) | (starts[1:] != starts[:-1] + 1))
     low, high = np.concatenate(([0], breaks + 1)), np.concatenate((breaks, [len(rows) - 1]))
-    return rows[low], starts[low], starts[high]
+    return rows[low], parts[low], starts[low], starts[high]
 
 
 def _later(*keys: np.ndarray) -> np.ndarray:
@@ -83,61 +83,63 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _anchored(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """(key, id, place, sure): the anchors of every document; ``sure`` ones were seen to repeat in this slice."""
+    """(key, id, part, place, sure): the anchors of every document; ``sure`` ones were seen to repeat in this slice."""
     known = WordCodes()
     for batch in batches:
         for part in common.slices(batch, "text"):
-            keys, ids, places = [], [], []
-            for row, text in zip(part.column("id").to_pylist(), common.texts(part), strict=True):
+            keys, ids, parts, places = [], [], [], []
+            for row, own, text in zip(part.column("id").to_pylist(), part.column("part").to_pylist(), common.texts(part), strict=True):
                 codes = known.of(common.words(text))
                 found = np.unique(anchors_of(codes, window, anchor))
                 keys.append(sequence_codes(codes, anchor, odd=3)[found])
                 ids.append(np.full(len(found), row, np.int64))
+                parts.append(np.full(len(found), own, np.int64))
                 places.append(found)
             if not keys:
                 continue
-            key, row, place = np.concatenate(keys), np.concatenate(ids), np.concatenate(places)
+            key, row, own, place = (np.concatenate(x) for x in (keys, ids, parts, places))
             # One row of equal anchors stays for the other slices to meet; the rest is dealt out evenly.
             alone = _later(key)
             sure = np.isin(key, key[alone])
             key = np.where(alone, common.mixed(row.view(np.uint64) + place.view(np.uint64)), key)
-            yield pa.record_batch([_signed(key), pa.array(row), pa.array(place.astype(np.int32)), pa.array(sure), pa.array(alone)], names=["key", "id", "place", "sure", "alone"])
+            yield pa.record_batch([_signed(key), pa.array(row), pa.array(own), pa.array(place.astype(np.int32)), pa.array(sure), pa.array(alone)], names=["key", "id", "part", "place", "sure", "alone"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, place) of the anchors that occur twice; rows come sorted by key."""
-    last: tuple | None = None  # (key, id, place, given out, of another slice's group)
+    """(id, part, place) of the anchors that occur twice; rows come sorted by key."""
+    last: tuple | None = None  # (key, id, part, place, given out, of another slice's group)
     for batch in batches:
-        key, row, place = (batch.column(c).to_numpy() for c in ("key", "id", "place"))
+        key, row, own, place = (batch.column(c).to_numpy() for c in ("key", "id", "part", "place"))
         sure, alone = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("sure", "alone"))
         if not len(key):
             continue
         same = np.zeros(len(key) + 1, bool)
         same[1:-1] = (key[1:] == key[:-1]) & ~alone[1:] & ~alone[:-1]
         if last is not None:
-            same[0] = last[0] == key[0] and not alone[0] and not last[4]
+            same[0] = last[0] == key[0] and not alone[0] and not last[5]
         out = sure | same[:-1] | same[1:]
-        ids, places = row[out], place[out]
-        if last is not None and same[0] and not last[3]:
-            ids, places = np.append(ids, last[1]), np.append(places, last[2]).astype(np.int32)
-        last = key[-1], row[-1], place[-1], out[-1], alone[-1]
-        yield pa.record_batch([pa.array(ids), pa.array(places)], names=["id", "place"])
+        ids, parts, places = row[out], own[out], place[out]
+        if last is not None and same[0] and not last[4]:
+            ids, parts, places = np.append(ids, last[1]), np.append(parts, last[2]), np.append(places, last[3]).astype(np.int32)
+        last = key[-1], row[-1], own[-1], place[-1], out[-1], alone[-1]
+        yield pa.record_batch([pa.array(ids), pa.array(parts), pa.array(places)], names=["id", "part", "place"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed for the shuffle."""
     press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        yield pa.record_batch([batch.column("id"), pa.array([press.compress(x or b"") for x in common.texts(batch)], pa.binary())], names=["id", "body"])
+        bodies = pa.array([press.compress(x or b"") for x in common.texts(batch)], pa.binary())
+        yield pa.record_batch([batch.column("id"), batch.column("part"), bodies], names=["id", "part", "body"])
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """(head, tail, id, first, last): leaves of the trees (``last`` is null), and the windows seen to repeat in this slice (runs)."""
+    """(head, tail, id, part, first, last): leaves of the trees (``last`` is null), and the windows seen to repeat in this slice (runs)."""
     known, unpress = WordCodes(), zstandard.ZstdDecompressor()
     for batch in (x for whole in batches for x in common.slices(whole, "body", 1 << 20)):
-        heads, tails, ids, starts = [], [], [], []
-        rows = sorted(zip(batch.column("id").to_pylist(), batch.column("body").to_pylist(), batch.column("places").to_pylist(), strict=True), key=lambda x: x[0])
-        for row, body, places in rows:
+        heads, tails, ids, parts, starts = [], [], [], [], []
+        rows = sorted(zip(*(batch.column(c).to_pylist() for c in ("id", "part", "body", "places")), strict=True), key=lambda x: x[:2])
+        for row, own, body, places in rows:
             codes = known.of(common.words(unpress.decompress(body)))
             marked = np.zeros(len(codes) + 1, bool)
             marked[np.array(places, np.int64)] = True
@@ -146,26 +148,27 @@ def _suffixes(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> It
             heads.append(head[start])
             tails.append(tail[start])
             ids.append(np.full(len(start), row, np.int64))
+            parts.append(np.full(len(start), own, np.int64))
             starts.append(start)
         if not heads:
             continue
-        head, tail, row, start = (np.concatenate(x) for x in (heads, tails, ids, starts))
+        head, tail, row, own, start = (np.concatenate(x) for x in (heads, tails, ids, parts, starts))
         later = _later(tail, head)
         leaf = ~later
-        out = [head[leaf].view(np.int64)], [tail[leaf].view(np.int64)], [row[leaf]], [start[leaf]], [np.full(leaf.sum(), -1, np.int64)]
+        out = [head[leaf].view(np.int64)], [tail[leaf].view(np.int64)], [row[leaf]], [own[leaf]], [start[leaf]], [np.full(leaf.sum(), -1, np.int64)]
         if later.any():
-            own, low, high = _runs(row[later], start[later])
-            spread = common.mixed(common.mixed(own.view(np.uint64)) + low.view(np.uint64)).view(np.int64)
-            for column, value in zip(out, (spread, np.zeros(len(low), np.int64), own, low, high), strict=True):
+            of, of_part, low, high = _runs(row[later], own[later], start[later])
+            spread = common.mixed(common.mixed(of.view(np.uint64)) + low.view(np.uint64)).view(np.int64)
+            for column, value in zip(out, (spread, np.zeros(len(low), np.int64), of, of_part, low, high), strict=True):
                 column.append(value)
-        yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], names=["head", "tail", "id", "first", "last"])
+        yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], names=["head", "tail", "id", "part", "first", "last"])
 
 
 def _deep_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, first, last): all leaves but the first below each node of full depth; leaves come sorted by suffix, then place."""
+    """(id, part, first, last): all leaves but the first below each node of full depth; leaves come sorted by suffix, then place."""
     last = None
     for batch in batches:
-        head, tail, row, first, end = (batch.column(c).to_numpy() for c in ("head", "tail", "id", "first", "last"))
+        head, tail, row, own, first, end = (batch.column(c).to_numpy() for c in ("head", "tail", "id", "part", "first", "last"))
         if not len(head):
             continue
         leaf = end < 0
@@ -174,19 +177,19 @@ def _deep_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         deep[0] = last is not None and last == (head[0], tail[0]) and leaf[0]
         last = (head[-1], tail[-1]) if leaf[-1] else None
         out = deep | ~leaf
-        yield pa.record_batch([pa.array(row[out]), pa.array(first[out]), pa.array(np.where(leaf, first, end)[out])], names=["id", "first", "last"])
+        yield pa.record_batch([pa.array(row[out]), pa.array(own[out]), pa.array(first[out]), pa.array(np.where(leaf, first, end)[out])], names=["id", "part", "first", "last"])
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, n_words, kept_sha256, text_key) of the whole text."""
+    """(id, part, n_words, kept_sha256, text_key) of the whole text."""
     for batch in batches:
         found = [(x or b"", common.words(x)) for x in common.texts(batch)]
         yield pa.record_batch(
             [
-                batch.column("id"), pa.array([len(w) for _, w in found], pa.int64()),
+                batch.column("id"), batch.column("part"), pa.array([len(w) for _, w in found], pa.int64()),
                 pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for _, w in found]), pa.array([hashlib.blake2b(b" ".join(w), digest_size=16).digest() for _, w in found], pa.binary()),
             ],
-            names=["id", "n_words", "kept_sha256", "text_key"],
+            names=["id", "part", "n_words", "kept_sha256", "text_key"],
         )
 
 
@@ -205,20 +208,20 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
     unpress = zstandard.ZstdDecompressor()
     for batch in batches:
         out = []
-        for row, body, runs in zip(*(batch.column(c).to_pylist() for c in ("id", "body", "runs")), strict=True):
+        for row, own, body, runs in zip(*(batch.column(c).to_pylist() for c in ("id", "part", "body", "runs")), strict=True):
             kept, n = kept_words(unpress.decompress(body), [(x["first"], x["last"]) for x in runs], window)
             joined = b" ".join(kept)
-            out.append((row, n, n - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "replace")))
-        columns = list(zip(*out, strict=True)) or [()] * 5
+            out.append((row, own, n, n - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "replace")))
+        columns = list(zip(*out, strict=True)) or [()] * 6
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         yield pa.record_batch(
-            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.string())],
-            names=["id", "n_words", "n_removed", "kept_sha256", "kept_text"],
+            [pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=["id", "part", "n_words", "n_removed", "kept_sha256", "kept_text"]
         )
 
 
 class Repeats:
-    """What ``find_repeats`` found: ``cut`` (id, n_words, n_removed, kept_sha256, kept_text) of the documents that lose
-    words, and ``whole`` (id, n_words, kept_sha256, first_id) of all, ``first_id`` being the first with the same words."""
+    """What ``find_repeats`` found: ``cut`` (id, part, n_words, n_removed, kept_sha256, kept_text) of the documents that lose
+    words, and ``whole`` (id, part, n_words, kept_sha256, first) of all, ``first`` being the first (id, part) with the same words."""
 
     def __init__(self, cut: DataFrame, whole: DataFrame):
         self.cut, self.whole = cut, whole
@@ -227,47 +230,62 @@ class Repeats:
 def find_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, anchor: int = ANCHOR_WORDS, scratch: Scratch | None = None) -> Repeats:
     """Every window of ``window`` words that also starts earlier: smaller id, or same document, earlier start.
 
-    Rows without an id are left out.
+    Rows without an id are left out. A document is an id with a text: equal rows
+    are one, and an id that comes with several texts is as many documents, in
+    the order of ``part``, the hash of the text.
     """
     scratch = scratch or Scratch(docs.sparkSession, "substring-dedup")
-    source = docs.select(F.col(id_column).cast("long").alias("id"), common.text_column(text_column).alias("text")).where("id IS NOT NULL")
+    source = _named(docs, id_column, text_column).where("id IS NOT NULL")
     shape = {"window": window, "anchor": anchor}
 
-    bare = scratch.save(source.mapInArrow(_whole, "id long, n_words long, kept_sha256 string, text_key binary"), "whole")
-    firsts = bare.groupBy("text_key").agg(F.min("id").alias("first_id"))
-    whole = scratch.save(bare.join(firsts, "text_key").select("id", "n_words", "kept_sha256", "first_id"), "first")
+    bare = scratch.save(source.mapInArrow(_whole, WHOLE), "whole")
+    firsts = bare.groupBy("text_key").agg(F.min(F.struct("id", "part")).alias("first"))
+    whole = scratch.save(bare.join(firsts, "text_key").select("id", "part", "n_words", "kept_sha256", "first"), "first")
     scratch.drop("whole")
 
-    anchors = source.mapInArrow(partial(_anchored, **shape), "key long, id long, place int, sure boolean, alone boolean")
+    anchors = source.mapInArrow(partial(_anchored, **shape), "key long, id long, part long, place int, sure boolean, alone boolean")
     repeated = scratch.save(
-        anchors.repartition(F.col("key")).sortWithinPartitions("key", "alone").mapInArrow(_repeated, "id long, place int"), "anchors"
+        anchors.repartition(F.col("key")).sortWithinPartitions("key", "alone").mapInArrow(_repeated, "id long, part long, place int"), "anchors"
     )
-    places = repeated.groupBy("id").agg(F.collect_set("place").alias("places"))
-    wanted = places.join(whole.where("id = first_id").select("id").distinct(), "id")
-    packed = source.mapInArrow(_packed, "id long, body binary")
-    suspects = scratch.save(packed.join(wanted, "id").dropDuplicates(["id"]), "suspects")
+    places = repeated.groupBy("id", "part").agg(F.collect_set("place").alias("places"))
+    wanted = places.join(whole.where(_is_first()).select("id", "part").distinct(), ["id", "part"])
+    packed = source.mapInArrow(_packed, "id long, part long, body binary")
+    suspects = scratch.save(packed.join(wanted, ["id", "part"]).dropDuplicates(["id", "part"]), "suspects")
 
-    leaves = suspects.mapInArrow(partial(_suffixes, **shape), "head long, tail long, id long, first long, last long")
+    leaves = suspects.mapInArrow(partial(_suffixes, **shape), "head long, tail long, id long, part long, first long, last long")
     repeats = scratch.save(
-        leaves.repartition(F.col("head")).sortWithinPartitions("head", "tail", "id", "first").mapInArrow(_deep_nodes, "id long, first long, last long"),
+        leaves.repartition(F.col("head")).sortWithinPartitions("head", "tail", "id", "part", "first").mapInArrow(_deep_nodes, "id long, part long, first long, last long"),
         "repeats",
     )
-    runs = repeats.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    runs = repeats.groupBy("id", "part").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     cut = scratch.save(
-        suspects.select("id", "body").join(runs, "id")
-        .mapInArrow(partial(_cut, window=window), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string"),
+        suspects.select("id", "part", "body").join(runs, ["id", "part"])
+        .mapInArrow(partial(_cut, window=window), "id long, part long, n_words long, n_removed long, kept_sha256 string, kept_text string"),
         "cut",
     )
     scratch.drop("anchors", "suspects", "repeats")
     return Repeats(cut, whole)
 
 
+WHOLE = "id long, part long, n_words long, kept_sha256 string, text_key binary"
+
+
+def _named(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, text, part)"""
+    text = common.text_column(text_column)
+    return docs.select(F.col(id_column).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("part"))
+
+
+def _is_first() -> Column:
+    return (F.col("id") == F.col("first.id")) & (F.col("part") == F.col("first.part"))
+
+
 def _decided(found: Repeats, window: int) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256) for each row with an id; a later document with the same words loses all of them."""
     empty = hashlib.sha256(b"").hexdigest()
-    copy = (F.col("id") != F.col("first_id")) & (F.col("n_words") >= window)
-    cut = found.cut.select("id", F.col("n_removed").alias("cut_words"), F.col("kept_sha256").alias("cut_sha256"))
-    return found.whole.join(cut, "id", "left").select(
+    copy = ~_is_first() & (F.col("n_words") >= window)
+    cut = found.cut.select("id", "part", F.col("n_removed").alias("cut_words"), F.col("kept_sha256").alias("cut_sha256"))
+    return found.whole.join(cut, ["id", "part"], "left").select(
         "id", "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("cut_words", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(copy, F.lit(empty)).otherwise(F.coalesce("cut_sha256", "kept_sha256")).alias("kept_sha256"),
@@ -279,13 +297,13 @@ def judge_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: st
 
     A word is removed if a window of ``window`` words covers it whose words
     also start earlier: in a document of smaller id, or earlier in the same
-    one. Windows are judged on the input. A null text has no words; rows that
-    repeat an id are one document and each returned; nothing is removed from a
-    row without an id. Other columns are ignored.
+    one. Windows are judged on the input. A null text has no words. Equal rows
+    are one document and each returned; rows that repeat an id with other texts
+    are documents of their own, in the order of the texts' hashes. Nothing is
+    removed from a row without an id. Other columns are ignored.
     """
     found = find_repeats(docs, id_column=id_column, text_column=text_column, window=window, anchor=anchor)
-    nameless = docs.where(F.col(id_column).isNull()).select(F.lit(None).cast("long").alias("id"), common.text_column(text_column).alias("text"))
-    rest = nameless.mapInArrow(_whole, "id long, n_words long, kept_sha256 string, text_key binary")
+    rest = _named(docs, id_column, text_column).where("id IS NULL").mapInArrow(_whole, WHOLE)
     columns = ["doc_id", "n_words", "n_removed", "kept_sha256"]
     return (
         _decided(found, window).withColumnRenamed("id", "doc_id").select(columns)
@@ -299,11 +317,11 @@ def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
     Texts that lose nothing stay as they are. See ``judge_repeats``.
     """
     found = find_repeats(docs, id_column=id_column, text_column=text_column, window=window, anchor=anchor)
-    copies = found.whole.where((F.col("id") != F.col("first_id")) & (F.col("n_words") >= window)).select("id", F.lit("").alias("kept_text"))
-    changed = found.cut.select("id", "kept_text").union(copies).groupBy("id").agg(F.min("kept_text").alias("kept_text"))
+    copies = found.whole.where(~_is_first() & (F.col("n_words") >= window)).select("id", "part", F.lit("").alias("kept_text"))
+    changed = found.cut.select("id", "part", "kept_text").union(copies).groupBy("id", "part").agg(F.min("kept_text").alias("kept_text"))
     # One struct beside the rows, so no column name can clash.
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_column).cast("long").alias("id"))
-    joined = rows.join(changed, "id", "left")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_column).cast("long").alias("id"), F.xxhash64(common.text_column(text_column)).alias("part"))
+    joined = rows.join(changed, ["id", "part"], "left")
     return joined.select(
         *[F.coalesce("kept_text", F.col(f"row.`{c}`").cast("string")).alias(c) if c == text_column else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     )
