@@ -13,8 +13,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from quarrylight.operators.index import stored_index  # noqa: E402
-from quarrylight.operators.retrieve import shelf  # noqa: E402
+from quarrylight.operators.index import stored_postings  # noqa: E402
+from quarrylight.operators.retrieve import shard_documents  # noqa: E402
 from quarrylight.plans import catalog  # noqa: E402
 from quarrylight.plans.catalog_normalize import normalized  # noqa: E402
 from quarrylight.plans.catalog_ops import policies  # noqa: E402
@@ -43,7 +43,7 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     spark = build_session(
         "bench", f"local[{cpus}]",
-        **{"spark.sql.shuffle.partitions": cpus, "quarrylight.input.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false"},
+        **{"spark.sql.shuffle.partitions": cpus, "quarrylight.input.partitions": cpus, "quarrylight.index.shard_docs": "1024", "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     c = Corpus(spark, folder)
@@ -53,8 +53,8 @@ def main() -> None:
         build[name] = timed(lambda: getattr(c, name))
     build["normalized"] = timed(lambda: normalized(c))
     build["policies"] = timed(lambda: policies(c))
-    build["term_index"] = timed(lambda: stored_index(c))
-    build["search_shelf"] = timed(lambda: shelf(c))
+    build["term_index"] = timed(lambda: stored_postings(c))
+    build["search_shelf"] = timed(lambda: shard_documents(c))
 
     cold, warm = {}, {}
     for name in names:

@@ -199,3 +199,15 @@ IP_RATE_MAX = 30
 
 # Answer and status texts.
 INSUFFICIENT_TEXT = "Insufficient evidence in indexed corpus for this query."
+
+# Suffixes of the published stemmer and what takes their place, by step.
+STEM_PLURALS = (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", ""))
+STEM_DOUBLE_SUFFIXES = (
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"),
+    ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"),
+    ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+)
+STEM_SUFFIXES = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
+STEM_ENDINGS = (
+    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize",
+)

@@ -37,12 +37,13 @@ def validate_requests(requests: DataFrame) -> DataFrame:
 
 def ranked_lists(requests: DataFrame, c: Corpus) -> tuple[DataFrame, DataFrame]:
     """Ranked programs and sources of each request, cut to its own limits."""
-    matches = c.stage(R.match_documents(requests, c), "matches")
     limits = requests.select("query_id", "max_sources", "max_programs")
     # Two numbers of the batch, so no request is clipped; ``validate_requests`` rejects those that ask for too much.
     most = limits.agg(F.max("max_sources").alias("sources"), F.max("max_programs").alias("programs")).first()
-    programs = R.search_programs(requests, c, most["programs"] or 1, matches).join(limits, "query_id").where("rank <= max_programs")
-    sources = R.search_sources(requests, c, most["sources"] or 1, matches).join(limits, "query_id").where("rank <= max_sources")
+    n_programs, n_sources = most["programs"] or 1, most["sources"] or 1
+    found = c.stage(R.search_shards(requests, c, exact=n_programs, expanded=R.fill_depth(n_programs), sources=n_sources), "found")
+    programs = R.search_programs(requests, c, n_programs, found).join(limits, "query_id").where("rank <= max_programs")
+    sources = R.search_sources(requests, c, n_sources, found).join(limits, "query_id").where("rank <= max_sources")
     return c.stage(programs, "programs"), c.stage(sources, "sources")
 
 
@@ -92,8 +93,11 @@ def evidence_cards(requests: DataFrame, c: Corpus, lists: tuple[DataFrame, DataF
         F.col("id").alias("source_id"), "canonical_url", F.col("title").alias("source_title"), "last_crawled_at", "domain_id"
     ).join(c.domains.select(F.col("id").alias("domain_id"), F.col("domain").alias("source_domain")), "domain_id")
     names = c.programs.select(F.col("id").alias("program_id"), F.col("name").alias("program_name"))
-    docs = c.documents.select(F.col("id").alias("document_id"), "raw_text", "published_at", "parse_confidence")
+    docs = c.documents.select(F.col("id").alias("document_id"), "published_at", "parse_confidence")
     rows = kept.join(src, "source_id").join(names, "program_id", "left").join(docs, "document_id", "left")
+    # Texts of kept documents only: each is read once, however many requests show it.
+    texts = c.document_texts.withColumnRenamed("id", "document_id").join(kept.select("document_id").distinct(), "document_id", "left_semi")
+    rows = rows.join(texts, "document_id", "left")
     rows = T.with_snippet(rows, "raw_text", "query")
     is_program = F.col("reason") == "program_match"
     return rows.select(

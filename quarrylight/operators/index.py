@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
+from quarrylight.operators.shards import SHARD_DOCS, place_documents
+from quarrylight.operators.stems import stems
 from quarrylight.sources.corpus import Corpus
 
 #: The layout, unless the session sets ``quarrylight.index.buckets`` and ``quarrylight.index.files``:
-#: buckets of lexemes, and files of each bucket by document. Set both by the bytes of postings a task should read.
+#: buckets of lexemes, and files of each bucket by shard. Set both by the bytes of postings a task should read.
 BUCKETS, FILES_PER_BUCKET = 64, 1
+#: Format of the stored index; another one is another table.
+VERSION = 2
 
 
 def content(docs: DataFrame) -> DataFrame:
@@ -21,26 +23,18 @@ def content(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("id").alias("doc_id"), text.alias("content"))
 
 
-def token_stream(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, lexeme) of every non-stop token of ``docs(doc_id, content)``.
+def token_places(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, token) of every non-stop token of ``docs(doc_id, content)``.
 
     A map-only job. Positions count all tokens from 1, stop words included.
     """
     words = docs.select("doc_id", F.posexplode(T.tokens(F.col("content"))).alias("at", "token"))
-    kept = words.where(~T.is_stop_word(F.col("token")))
-    return kept.select("doc_id", (F.col("at") + 1).alias("pos"), T.stem(F.col("token")).alias("lexeme"))
+    return words.where(~T.is_stop_word(F.col("token"))).select("doc_id", (F.col("at") + 1).alias("pos"), "token")
 
 
-def term_frequencies(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """(doc_id, lexeme, tf), only for the ``wanted(lexeme)`` if given.
-
-    The semi join comes before the aggregation: tokens no query asks for never
-    reach the shuffle.
-    """
-    stream = token_stream(docs).select("doc_id", "lexeme")
-    if wanted is not None:
-        stream = stream.join(wanted.select("lexeme").distinct(), "lexeme", "left_semi")
-    return stream.groupBy("doc_id", "lexeme").agg(F.count("*").alias("tf"))
+def token_stream(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, lexeme): tokens by the three-rule stem, a map-only job too."""
+    return token_places(docs).select("doc_id", "pos", T.stem(F.col("token")).alias("lexeme"))
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -54,35 +48,89 @@ def with_bucket(df: DataFrame, buckets: int) -> DataFrame:
     return df.withColumn("bucket", F.pmod(F.xxhash64("lexeme"), F.lit(buckets)).cast("int"))
 
 
-def write_index(table: DataFrame, folder: str, files_per_bucket: int = 1) -> None:
-    """Store (lexeme, doc_id, tf, bucket), one folder per bucket.
+def sharded_postings(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """(shard, lexeme, docs, tfs, positions): one row for each lexeme of a shard, ordered by document.
 
-    A frequent lexeme may hold a large part of the rows: raise
-    ``files_per_bucket`` to spread each bucket over that many tasks by document.
+    A list is as long as the shard has documents at most, however frequent the lexeme.
     """
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(files_per_bucket))
+    one = F.struct(F.col("doc_id").alias("doc"), F.col("tf").cast("int").alias("tf"), "positions")
+    lists = rows.join(placed.select(F.col("id").alias("doc_id"), "shard"), "doc_id").groupBy("shard", "lexeme").agg(F.array_sort(F.collect_list(one)).alias("list"))
+    return lists.select("shard", "lexeme", *[F.col(f"list.{f}").alias(n) for f, n in (("doc", "docs"), ("tf", "tfs"), ("positions", "positions"))])
+
+
+def write_index(table: DataFrame, folder: str, files_per_bucket: int = 1) -> None:
+    """Store the sharded postings, one folder per bucket of lexemes, each in ``files_per_bucket`` files by shard."""
+    spread = F.pmod("shard", F.lit(files_per_bucket))
     (
         table.repartition("bucket", spread)
-        .sortWithinPartitions("bucket", "lexeme", "doc_id")
+        .sortWithinPartitions("bucket", "shard", "lexeme")
         .write.mode("overwrite").partitionBy("bucket").parquet(folder)
     )
 
 
-def stored_index(c: Corpus) -> Callable[[DataFrame], DataFrame]:
-    """The corpus index: a function that joins wanted lexemes to their postings.
+def shard_docs(c: Corpus) -> int:
+    return int(c.spark.conf.get("quarrylight.index.shard_docs", str(SHARD_DOCS)))
 
-    The bucket is a partition column, so the join prunes at run time and only
-    the buckets of wanted lexemes are read.
-    """
+
+def shard_count(c: Corpus) -> int:
+    return max(1, -(-c.document_count // shard_docs(c)))
+
+
+def placed_documents(c: Corpus) -> DataFrame:
+    """(id, source_id, created_at, shard, sliced) of every document, stored."""
+    size = shard_docs(c)
+    return c.keep(f"placed-{size}", lambda: place_documents(c.document_keys.select("id", "source_id", "created_at"), c.document_count, size))
+
+
+def vocabulary(c: Corpus) -> DataFrame:
+    """(token, n_docs, stem) of every distinct non-stop token of the documents, stored: stemming is one job over this table."""
+
+    def build() -> DataFrame:
+        seen = token_places(content(c.document_bodies)).select("doc_id", "token").distinct()
+        return stems(seen.groupBy("token").agg(F.count("*").alias("n_docs")))
+
+    return c.keep("vocabulary", build)
+
+
+def stemmed_postings(lists: DataFrame, words: DataFrame) -> DataFrame:
+    """Sharded postings of tokens, united by stem: one row of each shard and token meets the vocabulary, however often the token occurs."""
+    met = lists.join(words.select(F.col("token").alias("lexeme"), "stem"), "lexeme")
+    rows = met.select("shard", "stem", F.explode(F.arrays_zip("docs", "tfs", "positions")).alias("x"))
+    # Per document of the shard the tokens of a stem are one entry again.
+    per = rows.groupBy("shard", "stem", F.col("x.docs").alias("doc")).agg(
+        F.sum("x.tfs").cast("int").alias("tf"), F.array_sort(F.flatten(F.collect_list("x.positions"))).alias("positions")
+    )
+    out = per.groupBy("shard", F.col("stem").alias("lexeme")).agg(F.array_sort(F.collect_list(F.struct("doc", "tf", "positions"))).alias("list"))
+    return out.select("shard", "lexeme", *[F.col(f"list.{f}").alias(n) for f, n in (("doc", "docs"), ("tf", "tfs"), ("positions", "positions"))])
+
+
+def stored_postings(c: Corpus, stemmed: bool = False) -> tuple[DataFrame, int]:
+    """The stored index (bucket, shard, lexeme, docs, tfs, positions) and its number of buckets; ``stemmed`` by the vocabulary's stems."""
     buckets = int(c.spark.conf.get("quarrylight.index.buckets", str(BUCKETS)))
     spread = int(c.spark.conf.get("quarrylight.index.files", str(FILES_PER_BUCKET)))
+
+    def build() -> DataFrame:
+        bodies = content(c.document_bodies)
+        if not stemmed:
+            return with_bucket(sharded_postings(postings(bodies), placed_documents(c)), buckets)
+        by_token = token_places(bodies).groupBy("doc_id", F.col("token").alias("lexeme")).agg(
+            F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")
+        )
+        return with_bucket(stemmed_postings(sharded_postings(by_token, placed_documents(c)), vocabulary(c)), buckets)
+
     table = c.keep(
-        f"term_index-{buckets}-{spread}",
-        lambda: with_bucket(term_frequencies(content(c.documents)), buckets),
+        f"postings-v{VERSION}{'-stemmed' * stemmed}-{shard_docs(c)}-{buckets}-{spread}", build,
         lambda df, path: write_index(df, path, spread),
     )
+    return table, buckets
+
 
-    def lookup(wanted: DataFrame) -> DataFrame:
-        return table.join(with_bucket(wanted, buckets), ["bucket", "lexeme"])
+def wanted_postings(c: Corpus, wanted: DataFrame, positions: bool = False, stemmed: bool = False) -> DataFrame:
+    """(shard, post) of the lexemes in wanted(lexeme).
 
-    return lookup
+    The bucket is a partition column, so the semi join prunes at run time and
+    only the buckets of wanted lexemes are read.
+    """
+    table, buckets = stored_postings(c, stemmed)
+    found = table.join(with_bucket(wanted.select("lexeme").distinct(), buckets), ["bucket", "lexeme"], "left_semi")
+    return found.select("shard", F.struct("lexeme", "docs", "tfs", *(["positions"] if positions else [])).alias("post"))

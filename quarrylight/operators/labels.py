@@ -135,6 +135,19 @@ def training_pairs(labels: DataFrame, splits: DataFrame, copies: int = 5) -> Dat
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
 
 
+def error_template(queries: DataFrame, rankings: DataFrame) -> DataFrame:
+    """A review sheet: one row a query with its ranking as text, and category and notes for people to fill in."""
+    key = F.coalesce(F.concat(F.lit("program:"), "program_id"), F.concat(F.lit("source:"), "source_id"))
+    line = F.struct("rank", F.concat_ws(" ", F.col("rank").cast("string"), key, F.col("relevance").cast("string")).alias("text"))
+    # A ranking is as long as the depth of retrieval at most.
+    lists = rankings.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["text"]), "|").alias("ranking"))
+    none = F.lit(None).cast("string")
+    return queries.join(lists, "query_id", "left").select(
+        "query_id", "query", none.alias("category"), none.alias("notes"), F.lit("draft").alias("status"),
+        F.lit("|".join(V.ERROR_CATEGORIES)).alias("allowed_categories"), F.coalesce("ranking", F.lit("")).alias("ranking"),
+    )
+
+
 def error_summary(reviews: DataFrame) -> DataFrame:
     """(category, reviews, share) of valid categories, and the unreviewed count.
 

@@ -17,20 +17,13 @@ from quarrylight.functions import intent as I
 from quarrylight.functions import text as T
 from quarrylight.functions import urls as U
 from quarrylight.operators.groups import top_n
-from quarrylight.operators.index import stored_index
+from quarrylight.operators import index as IX
+from quarrylight.operators import shards as SH
+from quarrylight.operators.shards import EXACT, EXPANDED
+from quarrylight.operators.stems import stems
 from quarrylight.sources.corpus import Corpus
 
 FILTERS = ("days_per_week", "specialization", "experience_level", "progression_type", "split_type", "domain")
-EXACT, EXPANDED = "exact", "expanded"
-
-# Harmonic-square sums 1 + 1/4 + ... + 1/n^2, the damping of repeated terms.
-_MAX_TF = 255
-_H2 = [0.0]
-for _j in range(1, _MAX_TF + 1):
-    _H2.append(_H2[-1] + 1.0 / (_j * _j))
-_PI2_6 = 1.64493406685
-
-
 def as_asked(requests: DataFrame) -> DataFrame:
     """Requests as the operators read them: no text is empty text, and an empty filter of these four is no filter."""
     blank = ("specialization", "experience_level", "progression_type", "split_type")
@@ -39,11 +32,6 @@ def as_asked(requests: DataFrame) -> DataFrame:
     })
 
 
-def term_weight(tf: Column) -> Column:
-    table = F.array(*[F.lit(x) for x in _H2])
-    return F.element_at(table, (F.least(tf, F.lit(_MAX_TF)) + 1).cast("int")) * 0.1 / _PI2_6
-
-
 def query_lexemes(requests: DataFrame) -> DataFrame:
     """(query_id, lexeme, n_lexemes) of the all-terms query."""
     lex = requests.select("query_id", T.lexemes(F.col("query")).alias("ls"))
@@ -67,68 +55,94 @@ def expanded_groups(requests: DataFrame) -> DataFrame:
     return requests.where("query <> ''").select("query_id", groups.alias("groups"))
 
 
-def _wanted(requests: DataFrame) -> DataFrame:
-    """Lexemes of both legs: (query_id, leg, lexeme, n_lexemes, single, bit).
+def asks(requests: DataFrame) -> DataFrame:
+    """(ask): what a shard needs of each request with text: lexemes of the exact leg, groups of the expanded one, filters, intents."""
+    groups = expanded_groups(requests)
+    intents = expand_requests(requests).select("query_id", "intent_days", "intent_experience", "intent_split")
+    rows = requests.where("query <> ''").select("query_id", T.lexemes(F.col("query")).alias("exact"), *FILTERS)
+    rows = rows.join(groups, "query_id").join(intents, "query_id")
+    days = [F.col(f).cast("long").alias(f) for f in ("days_per_week", "intent_days")]
+    kept = [f for f in (*FILTERS, "intent_experience", "intent_split") if f != "days_per_week"]
+    return rows.select(F.struct("query_id", "exact", "groups", *days, *kept).alias("ask"))
+
+
+def shard_documents(c: Corpus) -> DataFrame:
+    """(shard, doc): each document with its source's figures and its programs, stored with the corpus."""
+
+    def build() -> DataFrame:
+        programs = shelf(c).programs.groupBy("doc_id").agg(
+            F.collect_list(F.struct(
+                "program_id", F.col("confidence").cast("double").alias("confidence"), F.unix_micros("newest_crawl").alias("newest"),
+                F.col("p_days_per_week").cast("long").alias("p_days_per_week"), *[f"p_{f}" for f in FILTERS[1:-1]],
+            )).alias("programs")
+        )
+        docs = IX.placed_documents(c).withColumnRenamed("id", "doc_id").join(shelf_sources(c), "source_id").join(programs, "doc_id", "left")
+        return docs.select("shard", F.struct("doc_id", "source_id", F.unix_micros("created_at").alias("created"), "page_quality", "source_domain", "sliced", "programs").alias("doc"))
 
-    ``single`` marks a lexeme that satisfies a group alone. Lexemes of longer
-    groups get one ``bit`` each; such groups come from the phrase table only,
-    which bounds the number of bits.
-    """
-    exact = query_lexemes(requests).select(
-        "query_id", F.lit(EXACT).alias("leg"), "lexeme", "n_lexemes",
-        F.lit(False).alias("single"), F.lit(0).cast("long").alias("bit"),
-    )
-    g = expanded_groups(requests).select(
-        "query_id", "groups", F.array_distinct(F.flatten("groups")).alias("all"),
-        F.filter("groups", lambda x: F.size(x) > 1).alias("long_groups"),
-    ).withColumn("long_lexemes", F.array_distinct(F.flatten("long_groups")))
-    rows = g.select("query_id", "groups", "all", "long_lexemes", F.explode("all").alias("lexeme"))
-    place = F.array_position("long_lexemes", F.col("lexeme"))
-    expanded = rows.select(
-        "query_id", F.lit(EXPANDED).alias("leg"), "lexeme", F.size("all").alias("n_lexemes"),
-        F.array_contains("groups", F.array("lexeme")).alias("single"),
-        F.when(place > 0, F.call_function("shiftleft", F.lit(1).cast("long"), (place - 1).cast("int")))
-        .otherwise(F.lit(0).cast("long")).alias("bit"),
-    )
-    return exact.unionByName(expanded)
+    return c.keep(f"shards-{IX.shard_docs(c)}", build)
 
 
-def _group_masks(requests: DataFrame) -> DataFrame:
-    """(query_id, masks): the bits each longer group needs."""
-    g = expanded_groups(requests).withColumn("long_groups", F.filter("groups", lambda x: F.size(x) > 1))
-    g = g.withColumn("ls", F.array_distinct(F.flatten("long_groups")))
-    one = F.lit(1).cast("long")
+def stemmed_asks(asked: DataFrame) -> DataFrame:
+    """Requests (ask) whose exact leg has the stems of all their tokens; a job over the distinct tokens asked for."""
+    words = asked.select("ask.query_id", F.explode("ask.exact").alias("token"))
+    known = stems(words.select("token").distinct())
+    lists = words.join(known, "token").groupBy("query_id").agg(F.array_sort(F.collect_set("stem")).alias("stems"))
+    rows = asked.withColumn("query_id", F.col("ask.query_id")).join(lists, "query_id")
+    return rows.select(F.col("ask").withField("exact", F.col("stems")).withField("groups", F.array().cast("array<array<string>>")).alias("ask"))
 
-    def mask(group):
-        bits = F.transform(
-            group, lambda x: F.call_function("shiftleft", one, (F.array_position(F.col("ls"), x) - 1).cast("int"))
-        )
-        return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
-    return g.select("query_id", F.transform("long_groups", mask).alias("masks")).where(F.size("masks") > 0)
+def search_shards(
+    requests: DataFrame, c: Corpus, *, exact: int = 0, expanded: int = 0, sources: int = 0, all_matches: bool = False, proximity: bool = False, stemmed: bool = False,
+) -> DataFrame:
+    """The best rows of every shard for requests with text (``shards.FOUND``).
+
+    ``stemmed`` matches by the vocabulary's stems (all terms only), ``proximity``
+    adds how near the terms of a matching document stand to each other.
+    """
+    requests = as_asked(requests)
+    asked = asks(requests)
+    if stemmed:
+        tokens = F.array_distinct(F.filter(T.tokens(F.col("query")), lambda t: ~T.is_stop_word(t)))
+        raw = requests.select("query_id", tokens.alias("tokens"))
+        asked = asked.withColumn("query_id", F.col("ask.query_id")).join(raw, "query_id").select(F.col("ask").withField("exact", F.col("tokens")).alias("ask"))
+        asked = stemmed_asks(asked)
+    asked = c.stage(asked, "asks")
+    lexemes = asked.select(F.explode(F.array_union("ask.exact", F.flatten("ask.groups"))).alias("lexeme"))
+    return SH.search_shards(
+        IX.shard_count(c), shard_documents(c), IX.wanted_postings(c, lexemes, proximity, stemmed), asked,
+        exact=exact, expanded=expanded, sources=sources, all_matches=all_matches, proximity=proximity,
+    )
+
+
+def _ranked(found: DataFrame, leg: str) -> DataFrame:
+    return found.where(F.col("leg") == leg).withColumn("text_rank", F.round(F.col("rank_millionths") / 1e6, 6))
 
 
 def match_documents(requests: DataFrame, c: Corpus) -> DataFrame:
     """(query_id, leg, doc_id, text_rank) of every document a request matches.
 
-    One pass over the wanted postings serves both legs and all requests. The
-    exact leg needs every lexeme, the expanded leg any complete group.
+    The exact leg needs every lexeme, the expanded leg any complete group. All
+    rows are wanted here; searches ask their shards for the best ones only.
     """
-    requests = as_asked(requests)
-    wanted = _wanted(requests)
-    hits = stored_index(c)(wanted).groupBy("query_id", "leg", "doc_id").agg(
-        F.count("*").alias("hits"), F.max("n_lexemes").alias("n"), F.max("single").alias("single"),
-        F.bit_or("bit").alias("bits"), F.sum(term_weight(F.col("tf"))).alias("weight"),
-    )
-    masks = _group_masks(requests)
-    whole = F.exists(F.col("masks"), lambda m: F.col("bits").bitwiseAND(m) == m)
-    matched = (
-        F.when(F.col("leg") == EXACT, F.col("hits") == F.col("n"))
-        .otherwise(F.col("single") | F.coalesce(whole, F.lit(False)))
-    )
-    return hits.join(masks, "query_id", "left").where(matched).select(
-        "query_id", "leg", "doc_id", F.round(F.col("weight") / F.col("n"), 6).alias("text_rank")
-    )
+    found = search_shards(requests, c, all_matches=True)
+    return found.select("query_id", "leg", "doc_id", F.round(F.col("rank_millionths") / 1e6, 6).alias("text_rank"))
+
+
+def rank_proximity(requests: DataFrame, c: Corpus) -> DataFrame:
+    """(query_id, doc_id, rank_proximity) of the documents that have all terms: how near the terms stand, by their positions.
+
+    Each two places of two different terms, d words apart, count 0.1 * sqrt(1 / (1.005 + 0.05 * exp(d / 1.5 - 2)));
+    places over 100 words apart count nothing. The rank is one minus the product of what they leave.
+    A request of one term has nothing to compare and keeps its text rank.
+    """
+    found = search_shards(requests, c, proximity=True)
+    return found.select("query_id", "doc_id", F.round("proximity", 6).alias("rank_proximity"))
+
+
+def stem_matches(requests: DataFrame, c: Corpus) -> DataFrame:
+    """(query_id, doc_id, text_rank) of the documents that have all terms by their vocabulary stems."""
+    found = search_shards(requests, c, all_matches=True, stemmed=True)
+    return found.where(F.col("leg") == EXACT).select("query_id", "doc_id", F.round(F.col("rank_millionths") / 1e6, 6).alias("text_rank"))
 
 
 @dataclass
@@ -199,12 +213,11 @@ def expanded_order() -> list[Column]:
     return [F.desc("intent_score"), F.desc("text_rank"), F.desc_nulls_last("confidence"), F.asc("program_id")]
 
 
-def exact_programs(requests: DataFrame, matches: DataFrame, s: Shelf, limit: int) -> DataFrame:
-    """Exact leg of text requests, best ``limit`` per request, with ``rank``."""
-    found = matches.where(F.col("leg") == EXACT).join(s.programs, "doc_id")
-    rows = found.join(requests.select("query_id", *FILTERS), "query_id").where(_passes())
-    rows = rows.withColumn("structured_score", structured_score())
-    return top_n(rows, ["query_id"], exact_order(), limit, spread=["program_id"])
+def exact_programs(requests: DataFrame, found: DataFrame, limit: int) -> DataFrame:
+    """Exact leg of text requests: the best ``limit`` of what the shards found, with ``rank``."""
+    rows = _ranked(found, EXACT).withColumn("newest_crawl", F.timestamp_micros("newest_crawl"))
+    rows = rows.join(requests.select("query_id", *FILTERS), "query_id").withColumn("structured_score", structured_score())
+    return top_n(rows, ["query_id"], exact_order(), limit)
 
 
 def browse_programs(requests: DataFrame, s: Shelf, limit: int) -> DataFrame:
@@ -238,36 +251,33 @@ def browse_programs(requests: DataFrame, s: Shelf, limit: int) -> DataFrame:
     return best.join(blank.select("query_id", "mask", "filter_key"), ["mask", "filter_key"])
 
 
-def expanded_programs(requests: DataFrame, matches: DataFrame, s: Shelf, limit: int) -> DataFrame:
+def expanded_programs(found: DataFrame, limit: int) -> DataFrame:
     """Expanded leg: hard filters stay, inferred constraints only score."""
-    intents = expand_requests(requests).select("query_id", "intent_days", "intent_experience", "intent_split")
-    asked = requests.select("query_id", *FILTERS).join(intents, "query_id")
-    found = matches.where(F.col("leg") == EXPANDED).join(s.programs, "doc_id")
-    rows = found.join(asked, "query_id").where(_passes())
-    score = (
-        F.when(F.col("p_days_per_week") == F.col("intent_days"), 3).otherwise(0)
-        + F.when(F.col("p_experience_level") == F.col("intent_experience"), 3).otherwise(0)
-        + F.when(F.col("p_split_type") == F.col("intent_split"), 2).otherwise(0)
-    )
-    return top_n(rows.withColumn("intent_score", score.cast("long")), ["query_id"], expanded_order(), limit, spread=["program_id"])
+    return top_n(_ranked(found, EXPANDED), ["query_id"], expanded_order(), limit)
+
+
+def fill_depth(limit: int) -> int:
+    """Rows of the expanded leg that are enough to fill ``limit`` after the exact ones are taken out."""
+    return max(2 * limit, 25)
 
 
 def search_programs(
-    requests: DataFrame, c: Corpus, limit: int = 25, matches: DataFrame | None = None
+    requests: DataFrame, c: Corpus, limit: int = 25, found: DataFrame | None = None
 ) -> DataFrame:
     """(query_id, rank, leg, program_id, doc_id, source_id, text_rank, confidence).
 
     Exact rows come first; expanded rows fill up to ``limit`` where text was
     given. Only narrow columns travel; text is joined to the result if needed.
+    ``found`` may hold what the shards found for these requests, to this depth.
     """
     requests = as_asked(requests)
-    if matches is None:
-        matches = c.stage(match_documents(requests, c), "matches")
+    if found is None:
+        found = c.stage(search_shards(requests, c, exact=limit, expanded=fill_depth(limit)), "found")
     s = shelf(c)
     keep = ["query_id", "program_id", "doc_id", "source_id", "text_rank", "confidence", "rank"]
-    exact = exact_programs(requests, matches, s, limit).select(*keep)
+    exact = exact_programs(requests, found, limit).select(*keep)
     browse = browse_programs(requests, s, limit).select(*keep)
-    wider = expanded_programs(requests, matches, s, max(2 * limit, 25)).select(*keep)
+    wider = expanded_programs(found, fill_depth(limit)).select(*keep)
     # At most limit and max(2 * limit, 25) rows per request meet here.
     fill = wider.join(exact.select("query_id", "program_id"), ["query_id", "program_id"], "left_anti")
     rows = (
@@ -284,23 +294,23 @@ def source_order() -> list[Column]:
 
 
 def search_sources(
-    requests: DataFrame, c: Corpus, limit: int = 25, matches: DataFrame | None = None
+    requests: DataFrame, c: Corpus, limit: int = 25, found: DataFrame | None = None
 ) -> DataFrame:
-    """(query_id, rank, source_id, text_rank, page_quality, latest_document_at)."""
+    """(query_id, rank, source_id, text_rank, page_quality, latest_document_at).
+
+    A source comes from one shard, or from several if it is very large; then its
+    best rank and newest match are united here.
+    """
     requests = as_asked(requests)
-    if matches is None:
-        matches = match_documents(requests, c)
-    docs = c.document_keys.select(F.col("id").alias("doc_id"), "source_id", "created_at")
+    if found is None:
+        found = search_shards(requests, c, sources=limit)
+    docs = c.document_keys.select("source_id", "created_at")
     src = shelf_sources(c)
-    asked = requests.select("query_id", "domain")
-    hits = matches.where(F.col("leg") == EXACT).join(docs, "doc_id")
-    ranked = hits.groupBy("query_id", "source_id").agg(
-        F.max("text_rank").alias("text_rank"), F.max("created_at").alias("latest_document_at")
+    rows = _ranked(found, SH.SOURCE).groupBy("query_id", "source_id").agg(
+        F.max("text_rank").alias("text_rank"), F.max("page_quality").alias("page_quality"),
+        F.timestamp_micros(F.max("latest_document_at")).alias("latest_document_at"),
     )
-    rows = ranked.join(src, "source_id").join(asked, "query_id").where(
-        "domain IS NULL OR domain = source_domain"
-    ).select("query_id", "source_id", "text_rank", "page_quality", "latest_document_at")
-    by_text = top_n(rows, ["query_id"], source_order(), limit, spread=["source_id"])
+    by_text = top_n(rows, ["query_id"], source_order(), limit)
 
     # Requests without text see every source that has a document, at rank 0.
     # Each distinct domain filter (or none) is answered once.

@@ -50,13 +50,13 @@ FROM v_sources s LEFT JOIN v_documents d ON d.id = s.latest_document_id""")
 
 def program_texts(c: Corpus, wanted=None):
     """(program_id, text) of every program, or of those in wanted(program_id): then only their documents' texts are read on."""
-    docs = c.documents.select(F.col("id").alias("document_id"), "source_id", "raw_text")
+    docs = c.document_texts.withColumnRenamed("id", "document_id")
     programs = c.programs
     if wanted is not None:
         programs = programs.join(wanted.select(F.col("program_id").alias("id")).distinct(), "id", "left_semi")
         docs = docs.join(programs.select("document_id").distinct(), "document_id", "left_semi")
     src = c.sources.select(F.col("id").alias("source_id"), F.col("title").alias("source_title"), "canonical_url")
-    rows = programs.join(docs, "document_id").join(src, "source_id")
+    rows = programs.join(c.document_keys.select(F.col("id").alias("document_id"), "source_id"), "document_id").join(src, "source_id").join(docs, "document_id")
     return rows.select(F.col("id").alias("program_id"), T.program_text({k: F.col(k) for k in rows.columns}).alias("text"))
 
 
@@ -65,7 +65,7 @@ def evidence_texts(c: Corpus, wanted=None):
     sources = c.sources
     if wanted is not None:
         sources = sources.join(wanted.select(F.col("source_id").alias("id")).distinct(), "id", "left_semi")
-    docs = c.documents.select(F.col("id").alias("latest_document_id"), "raw_text")
+    docs = c.document_texts.withColumnRenamed("id", "latest_document_id")
     if wanted is not None:
         docs = docs.join(sources.select("latest_document_id").distinct(), "latest_document_id", "left_semi")
     rows = sources.withColumnRenamed("title", "source_title").join(docs, "latest_document_id", "left")
@@ -97,7 +97,7 @@ SELECT r.query_id, r.rank, r.source_id, s.canonical_url, s.status, {S.iso('s.las
 FROM v_source_ranks r JOIN v_requests q USING (query_id) JOIN v_sources s ON s.id = r.source_id LEFT JOIN v_domains d ON d.id = s.domain_id
 LEFT JOIN v_documents x ON x.id = s.latest_document_id WHERE r.rank <= 25""")
 def source_results(c: Corpus):
-    rows = DT.source_results(R.search_sources(c.requests, c, 25), c.requests, c)
+    rows = DT.source_results(c.stage(R.search_sources(c.requests, c, 25), "seen"), c.requests, c)
     return rows.withColumn("last_crawled_at", iso("last_crawled_at")).withColumn("published_at", iso("published_at"))
 
 
@@ -186,7 +186,7 @@ SELECT query_id, reject_reason IS NULL AS accepted, reject_reason, query, domain
     SELECT conv_id * 1000 + turn AS query_id, text AS query, CASE turn % 5 WHEN 0 THEN ' Example.COM ' WHEN 1 THEN 'bad_domain' WHEN 2 THEN ' ' ELSE NULL END AS domain,
       CASE WHEN conv_id % 10 = 3 THEN 51 ELSE 8 END AS max_sources, CASE WHEN conv_id % 10 = 4 THEN 0 ELSE 20 END AS max_programs,
       CASE WHEN conv_id % 10 = 5 THEN 26 ELSE 8 END AS max_evidence FROM conversations
-    UNION ALL SELECT 1000000000 + query_id, query, domain, max_sources, max_programs, max_evidence FROM v_requests)))""")
+    UNION ALL SELECT 1000000000 + query_id, query, domain, max_sources, max_programs, max_evidence FROM v_asked)))""")
 def request_validation(c: Corpus):
     """Conversation turns (often too long) and the regular requests."""
     t, v = F.col("turn"), F.col("conv_id")
@@ -196,7 +196,7 @@ def request_validation(c: Corpus):
         F.when(v % 10 == 3, 51).otherwise(8).alias("max_sources"), F.when(v % 10 == 4, 0).otherwise(20).alias("max_programs"),
         F.when(v % 10 == 5, 26).otherwise(8).alias("max_evidence"),
     )
-    own = c.requests.select((1_000_000_000 + F.col("query_id")).alias("query_id"), *turns.columns[1:])
+    own = c.asked.select((1_000_000_000 + F.col("query_id")).alias("query_id"), *turns.columns[1:])
     return EV.validate_requests(turns.unionByName(own)).select("query_id", "accepted", "reject_reason", "query", "domain")
 
 

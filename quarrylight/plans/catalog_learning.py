@@ -10,6 +10,7 @@ from quarrylight.operators import evaluate as E
 from quarrylight.operators import labels as L
 from quarrylight.operators import quality as Q
 from quarrylight.operators import retrieve as R
+from quarrylight.operators.groups import hashed_position
 from quarrylight.plans import sqltext as S
 from quarrylight.plans.catalog_answers import evidence_texts, program_texts
 from quarrylight.plans.oracle_views import view
@@ -59,10 +60,12 @@ def ndcg_at_k(c: Corpus):
 
 
 # -- pools -------------------------------------------------------------------
-view("v_existing", """
-SELECT document_id % 40 AS query_id, document_id * 10 + 1 AS program_id, 'manual' AS candidate_source
-FROM v_grades WHERE document_id % 3 > 0 AND document_id % 40 % 5 <> 4 AND document_id IN (SELECT id FROM v_documents)""")
 view("v_queries", "SELECT query_id, query, CASE WHEN query_id % 5 = 4 THEN 'source_evidence' ELSE 'program' END AS candidate_collection FROM v_requests")
+view("v_existing", """
+SELECT q.query_id, p.program_id, 'manual' AS candidate_source FROM v_grades g
+JOIN (SELECT document_id, min(id) AS program_id FROM v_programs GROUP BY 1) p USING (document_id)
+JOIN (SELECT query_id, row_number() OVER (ORDER BY md5(CAST(query_id AS VARCHAR))) - 1 AS position, count(*) OVER () AS n
+  FROM v_queries WHERE candidate_collection = 'program') q ON q.position = g.document_id % q.n""")
 
 
 def dataset_queries(c: Corpus):
@@ -77,9 +80,17 @@ def plain_requests(c: Corpus):
 
 
 def existing(c: Corpus):
-    d = F.col("document_id")
-    rows = c.grades.where((d % 3 > 0) & (d % 40 % 5 != 4)).join(c.documents.select(F.col("id").alias("document_id")), "document_id", "left_semi")
-    return rows.select((d % 40).alias("query_id"), (d * 10 + 1).alias("program_id"), F.lit("manual").alias("candidate_source"))
+    """The first program of every labelled document, spread over all program queries in hashed order."""
+    asked = dataset_queries(c).where("candidate_collection = 'program'").select("query_id")
+    places = hashed_position(asked, F.col("query_id"))
+    first = c.programs.groupBy("document_id").agg(F.min("id").alias("program_id"))
+    rows = c.grades.select("document_id").join(first, "document_id").withColumn("n", asked.agg(F.count("*")).scalar()).where("n > 0")
+    rows = rows.withColumn("position", F.pmod("document_id", "n")).join(places, "position")
+    return rows.select("query_id", "program_id", F.lit("manual").alias("candidate_source"))
+
+
+#: Search results of a query that enter its pool.
+POOL_DEPTH = 50
 
 
 def pools(c: Corpus):
@@ -87,15 +98,25 @@ def pools(c: Corpus):
     return c.keep("pools", lambda: _pools(c))
 
 
+def retrieved(c: Corpus):
+    """What search gives for each dataset query, to the depth of the pools: stored once, read by pools, rankings and features."""
+
+    def build():
+        plain, kinds = plain_requests(c), dataset_queries(c)
+        of_programs, of_sources = (plain.join(kinds.where(F.col("candidate_collection") == k), "query_id", "left_semi") for k in ("program", "source_evidence"))
+        found = R.search_programs(of_programs, c, POOL_DEPTH).select("query_id", "program_id", F.lit(None).cast("long").alias("source_id"), "rank", "leg", "text_rank")
+        seen = R.search_sources(of_sources, c, POOL_DEPTH).select("query_id", F.lit(None).cast("long").alias("program_id"), "source_id", "rank", F.lit(R.EXACT).alias("leg"), "text_rank")
+        return found.unionByName(seen)
+
+    return c.keep("retrieved", build)
+
+
 def _pools(c: Corpus):
     qs = dataset_queries(c)
-    plain = plain_requests(c)
-    matches = c.stage(R.match_documents(plain, c), "matches")
     of_programs = qs.where("candidate_collection = 'program'")
     of_sources = qs.where("candidate_collection = 'source_evidence'")
-    found = R.search_programs(plain.join(of_programs, "query_id", "left_semi"), c, 50, matches.join(of_programs, "query_id", "left_semi"))
-    seen = R.search_sources(plain.join(of_sources, "query_id", "left_semi"), c, 50, matches.join(of_sources, "query_id", "left_semi"))
-    found, seen = c.stage(found.select("query_id", "program_id", "rank"), "found"), c.stage(seen.select("query_id", "source_id", "rank"), "seen")
+    found = retrieved(c).where("program_id IS NOT NULL").select("query_id", "program_id", "rank")
+    seen = retrieved(c).where("source_id IS NOT NULL").select("query_id", "source_id", "rank")
     programs = L.candidate_pool(of_programs, existing(c), found, c.programs.select(F.col("id").alias("program_id")), "program_id", 10)
     with_doc = c.sources.where("latest_document_id IS NOT NULL").select(F.col("id").alias("source_id"))
     none = seen.where("false").select("query_id", "source_id", F.lit("").alias("candidate_source"))
@@ -120,8 +141,8 @@ SELECT query_id, {item}, row_number() OVER (PARTITION BY query_id ORDER BY dist)
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dist) <= 10"""
 
 
-view("v_found", f"SELECT query_id, program_id, rank FROM {program_search_sql(50, 'v_plain_')} JOIN v_queries USING (query_id) WHERE candidate_collection = 'program'")
-view("v_seen", "SELECT query_id, source_id, rank FROM v_plain_source_ranks JOIN v_queries USING (query_id) WHERE candidate_collection = 'source_evidence' AND rank <= 50")
+view("v_found", f"SELECT query_id, program_id, rank, leg, text_rank FROM {program_search_sql(50, 'v_plain_')} JOIN v_queries USING (query_id) WHERE candidate_collection = 'program'")
+view("v_seen", "SELECT query_id, source_id, rank, text_rank FROM v_plain_source_ranks JOIN v_queries USING (query_id) WHERE candidate_collection = 'source_evidence' AND rank <= 50")
 view("v_negative_programs", _negatives(
     "program_id", "SELECT id AS program_id FROM v_programs",
     "SELECT query_id, program_id FROM v_existing UNION ALL SELECT query_id, program_id FROM v_found", "program"))
@@ -278,18 +299,41 @@ def judged(c: Corpus):
     return rows.select("query_id", "program_id", "source_id", "canonical_url", "baseline_rank", F.col("relevance").cast("long").alias("relevance"))
 
 
-def baseline(c: Corpus):
-    """Labelled part of each retrieved list, ranked densely."""
-    plain = plain_requests(c)
-    matches = c.stage(R.match_documents(plain, c), "matches")
-    kinds = dataset_queries(c).select("query_id", "candidate_collection")
-    found = R.search_programs(plain, c, 50, matches).join(kinds.where("candidate_collection = 'program'"), "query_id", "left_semi")
-    seen = R.search_sources(plain, c, 50, matches).join(kinds.where("candidate_collection = 'source_evidence'"), "query_id", "left_semi")
+def rankings(c: Corpus):
+    """The labelled part of each stored search result, ranked densely, with ids, URL, score and grade. Nothing is searched."""
     marks = judged(c)
-    a = E.labelled_ranking(found.select("query_id", "program_id", "rank"), marks, "program_id")
-    b = E.labelled_ranking(seen.select("query_id", "source_id", "rank"), marks, "source_id")
-    keep = ("query_id", "rank", "relevance")
-    return c.stage(a.select(*keep).unionByName(b.select(*keep)), "observed"), marks
+    keep = ("query_id", "rank", "program_id", "source_id", "canonical_url", "text_rank", "relevance")
+    parts = []
+    for item in ("program_id", "source_id"):
+        shown = retrieved(c).where(F.col(item).isNotNull()).select("query_id", item, "rank", "text_rank")
+        urls = marks.where(F.col(item).isNotNull()).select("query_id", item, "canonical_url")
+        other = "source_id" if item == "program_id" else "program_id"
+        ranked = E.labelled_ranking(shown, marks.where(F.col(item).isNotNull()), item).join(urls, ["query_id", item])
+        parts.append(ranked.withColumn(other, F.lit(None).cast("long")).select(*keep))
+    return parts[0].unionByName(parts[1]), marks
+
+
+view("v_rankings", """
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, program_id, source_id, canonical_url, text_rank, relevance FROM (
+  SELECT f.query_id, f.rank, f.program_id, NULL::BIGINT AS source_id, p.canonical_url, f.text_rank, j.relevance
+  FROM v_found f JOIN v_judged j ON j.query_id = f.query_id AND j.program_id = f.program_id JOIN v_shelf_programs p ON p.program_id = f.program_id
+  UNION ALL SELECT f.query_id, f.rank, NULL, f.source_id, s.canonical_url, f.text_rank, j.relevance
+  FROM v_seen f JOIN v_judged j ON j.query_id = f.query_id AND j.source_id = f.source_id JOIN v_shelf_sources s ON s.source_id = f.source_id)""")
+
+
+@query("baseline_rankings", "SELECT * FROM v_rankings")
+def baseline_rankings(c: Corpus):
+    return rankings(c)[0]
+
+
+@query("error_template", f"""
+SELECT q.query_id, q.query, NULL::VARCHAR AS category, NULL::VARCHAR AS notes, 'draft' AS status, '{"|".join(V.ERROR_CATEGORIES)}' AS allowed_categories,
+  coalesce(string_agg(r.rank || ' ' || coalesce('program:' || r.program_id, 'source:' || r.source_id) || ' ' || r.relevance, '|' ORDER BY r.rank), '') AS ranking
+FROM v_queries q JOIN (SELECT DISTINCT query_id FROM v_judged) j USING (query_id) LEFT JOIN v_rankings r USING (query_id) GROUP BY q.query_id, q.query""")
+def error_template(c: Corpus):
+    """The sheet that reviewers fill in: every judged query with its ranking and no category yet."""
+    ranked, marks = rankings(c)
+    return L.error_template(dataset_queries(c).join(marks.select("query_id").distinct(), "query_id", "left_semi"), ranked)
 
 
 view("v_baseline", f"""
@@ -301,7 +345,7 @@ LEFT JOIN ({_ndcg('v_observed', 10)}) n USING (query_id)""")
 
 
 def baseline_metrics(c: Corpus):
-    observed, marks = baseline(c)
+    observed, marks = rankings(c)
     totals = marks.groupBy("query_id").agg(F.count_if(F.col("relevance") > 0).alias("total_relevant"))
     return E.evaluate(observed, totals, 10)
 
@@ -376,11 +420,19 @@ def experiment_name(c: Corpus):
 
 
 @query("corpus_violations", """
-WITH d AS (SELECT id, domain FROM v_domains WHERE id % 13 <> 4 UNION ALL SELECT id + 1000000, domain FROM v_domains WHERE id % 10 = 0),
-s AS (SELECT id, canonical_url, domain_id, latest_document_id FROM v_sources WHERE id % 17 <> 5 UNION ALL SELECT id + 1000000, canonical_url, domain_id, latest_document_id FROM v_sources WHERE id % 15 = 0),
-j AS (SELECT id, source_id FROM v_crawl_jobs WHERE id % 37 <> 0), o AS (SELECT id, source_id, crawl_job_id FROM v_documents WHERE id % 25 <> 0),
-p AS (SELECT id, document_id, CASE WHEN id % 50 = 1 THEN confidence + 1 WHEN id % 50 = 2 THEN -0.5 ELSE confidence END AS confidence FROM v_programs WHERE id % 41 <> 0),
-c AS (SELECT id, document_id, document_id * 10 + 1 AS program_id, CASE WHEN id % 50 = 1 THEN confidence + 1 ELSE confidence END AS confidence FROM v_claim_refs WHERE document_id % 3 > 0)
+WITH d AS (SELECT id, domain FROM v_domains UNION ALL SELECT id + 10000000000, domain FROM v_domains WHERE id % 10 = 0),
+s AS (SELECT id, canonical_url, domain_id, latest_document_id FROM v_sources
+  UNION ALL SELECT id + 10000000000, canonical_url, domain_id, latest_document_id FROM v_sources WHERE id % 15 = 0
+  UNION ALL SELECT id + 20000000000, canonical_url || '?a', -id, NULL FROM v_sources WHERE id % 17 = 5
+  UNION ALL SELECT id + 30000000000, canonical_url || '?b', domain_id, -id FROM v_sources WHERE id % 19 = 3),
+j AS (SELECT id, source_id FROM v_crawl_jobs UNION ALL SELECT id + 10000000000, -id FROM v_crawl_jobs WHERE id % 37 = 1),
+o AS (SELECT id, source_id, crawl_job_id FROM v_documents UNION ALL SELECT id + 10000000000, -id, NULL FROM v_documents WHERE id % 25 = 2
+  UNION ALL SELECT id + 20000000000, source_id, -id FROM v_documents WHERE id % 26 = 1),
+p AS (SELECT id, document_id, confidence FROM v_programs UNION ALL SELECT id + 10000000000, -document_id - 1, confidence FROM v_programs WHERE id % 41 = 0
+  UNION ALL SELECT id + 20000000000, document_id, confidence + 1 FROM v_programs WHERE id % 50 = 1 UNION ALL SELECT id + 30000000000, document_id, -0.5 FROM v_programs WHERE id % 50 = 2),
+c AS (SELECT id, document_id, CASE WHEN document_id % 3 > 0 THEN document_id * 10 + 1 END AS program_id, confidence FROM v_claim_refs
+  UNION ALL SELECT id + 10000000000, -document_id - 1, NULL, confidence FROM v_claim_refs WHERE id % 31 = 1
+  UNION ALL SELECT id + 20000000000, document_id, -id, confidence + 1 FROM v_claim_refs WHERE id % 43 = 1)
 SELECT 'domain_unique' AS rule, domain AS key FROM d GROUP BY domain HAVING count(*) > 1
 UNION ALL SELECT 'canonical_url_unique', canonical_url FROM s GROUP BY canonical_url HAVING count(*) > 1
 UNION ALL SELECT DISTINCT 'source_domain', CAST(domain_id AS VARCHAR) FROM s WHERE domain_id NOT IN (SELECT id FROM d)
@@ -390,20 +442,36 @@ UNION ALL SELECT DISTINCT 'document_source', CAST(source_id AS VARCHAR) FROM o W
 UNION ALL SELECT DISTINCT 'document_crawl', CAST(crawl_job_id AS VARCHAR) FROM o WHERE crawl_job_id IS NOT NULL AND crawl_job_id NOT IN (SELECT id FROM j)
 UNION ALL SELECT DISTINCT 'program_document', CAST(document_id AS VARCHAR) FROM p WHERE document_id NOT IN (SELECT id FROM o)
 UNION ALL SELECT DISTINCT 'claim_document', CAST(document_id AS VARCHAR) FROM c WHERE document_id NOT IN (SELECT id FROM o)
-UNION ALL SELECT DISTINCT 'claim_program', CAST(program_id AS VARCHAR) FROM c WHERE program_id NOT IN (SELECT id FROM p)
+UNION ALL SELECT DISTINCT 'claim_program', CAST(program_id AS VARCHAR) FROM c WHERE program_id IS NOT NULL AND program_id NOT IN (SELECT id FROM p)
 UNION ALL SELECT 'program_confidence', CAST(id AS VARCHAR) FROM p WHERE confidence < 0 OR confidence > 1
 UNION ALL SELECT 'claim_confidence', CAST(id AS VARCHAR) FROM c WHERE confidence < 0 OR confidence > 1""")
 def corpus_violations(c: Corpus):
-    """Checks over the corpus with some of its rows broken on purpose."""
-    i = F.col("id")
-    far = (i + 1_000_000).alias("id")
-    d = c.domains.where(i % 13 != 4).select("id", "domain").unionByName(c.domains.where(i % 10 == 0).select(far, "domain"))
-    cols = ("canonical_url", "domain_id", "latest_document_id")
-    s = c.sources.where(i % 17 != 5).select("id", *cols).unionByName(c.sources.where(i % 15 == 0).select(far, *cols))
-    conf = F.col("confidence")
-    p = c.programs.where(i % 41 != 0).select("id", "document_id", F.when(i % 50 == 1, conf + 1).when(i % 50 == 2, -0.5).otherwise(conf).alias("confidence"))
-    k = c.claim_refs.where("document_id % 3 > 0").select(
-        "id", "document_id", (F.col("document_id") * 10 + 1).alias("program_id"), F.when(i % 50 == 1, conf + 1).otherwise(conf).alias("confidence")
+    """Checks over the whole corpus, to which broken rows are added."""
+    i, conf, far = F.col("id"), F.col("confidence"), 10_000_000_000
+    none = F.lit(None).cast("long")
+
+    def also(rows, where, *columns, step=1):
+        """Rows once more under other ids, with ``columns`` in place of those after the id."""
+        return rows.where(where).select((i + step * far).alias("id"), *[x.alias(n) for n, x in zip(rows.columns[1:], columns, strict=True)])
+
+    d = c.domains.select("id", "domain")
+    d = d.unionByName(also(d, i % 10 == 0, F.col("domain")))
+    s = c.sources.select("id", "canonical_url", "domain_id", "latest_document_id")
+    url, home, latest = F.col("canonical_url"), F.col("domain_id"), F.col("latest_document_id")
+    s = (
+        s.unionByName(also(s, i % 15 == 0, url, home, latest)).unionByName(also(s, i % 17 == 5, F.concat(url, F.lit("?a")), -i, none, step=2))
+        .unionByName(also(s, i % 19 == 3, F.concat(url, F.lit("?b")), home, -i, step=3))
+    )
+    j = c.crawl_jobs.select("id", "source_id")
+    j = j.unionByName(also(j, i % 37 == 1, -i))
+    o = c.documents.select("id", "source_id", "crawl_job_id")
+    o = o.unionByName(also(o, i % 25 == 2, -i, none)).unionByName(also(o, i % 26 == 1, F.col("source_id"), -i, step=2))
+    doc = F.col("document_id")
+    p = c.programs.select("id", "document_id", "confidence")
+    p = (
+        p.unionByName(also(p, i % 41 == 0, -doc - 1, conf)).unionByName(also(p, i % 50 == 1, doc, conf + 1, step=2))
+        .unionByName(also(p, i % 50 == 2, doc, F.lit(-0.5), step=3))
     )
-    docs = c.documents.where(i % 25 != 0).select("id", "source_id", "crawl_job_id")
-    return Q.corpus_violations(d, s, c.crawl_jobs.where(i % 37 != 0).select("id", "source_id"), docs, p, k)
+    k = c.claim_refs.select("id", "document_id", F.when(doc % 3 > 0, doc * 10 + 1).alias("program_id"), "confidence")
+    k = k.unionByName(also(k, i % 31 == 1, -doc - 1, none, conf)).unionByName(also(k, i % 43 == 1, doc, -i, conf + 1, step=2))
+    return Q.corpus_violations(d, s, j, o, p, k)

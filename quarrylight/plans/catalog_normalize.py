@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarrylight.functions import fixed_values as V
@@ -10,8 +12,11 @@ from quarrylight.functions import urls as U
 from quarrylight.operators import normalize as N
 from quarrylight.plans import payload_views  # noqa: F401
 from quarrylight.plans import sqltext as S
+from quarrylight.plans.catalog_views import iso
+from quarrylight.plans.oracle_views import view
 from quarrylight.plans.registry import query
-from quarrylight.sources.corpus import Corpus
+from quarrylight.sources import batches as BT
+from quarrylight.sources.corpus import Corpus, day, plus_seconds
 
 
 def normalized(c: Corpus):
@@ -54,7 +59,7 @@ def enum_normalize(c: Corpus):
     from quarrylight.operators.index import content
 
     x = F.col("content")
-    return content(c.documents).select(
+    return content(c.document_bodies).select(
         "doc_id", T.enum_label(x, V.SPECIALIZATION).alias("specialization"),
         T.enum_label(x, V.EXPERIENCE_LEVEL).alias("experience_level"),
         T.enum_label(x, V.PROGRESSION_TYPE).alias("progression_type"),
@@ -212,3 +217,68 @@ def error_codes(c: Corpus):
     failed = c.crawl_jobs.where("status = 'failed'")
     coded = failed.select("id", E.error_code(F.col("error_message"), F.col("error_type")).alias("code"))
     return coded.select("id", "code", E.error_kind(F.col("code")).alias("kind"))
+
+
+# -- extraction batches ----------------------------------------------------------
+#: New documents are numbered from here.
+NEW_IDS = 1_000_000_000
+view("v_extracted", f"""
+SELECT *, {NEW_IDS} + document_id AS new_id, TIMESTAMP '2024-02-01 00:00:00' + to_minutes(document_id % 3) AS at FROM v_normalized WHERE validation_errors = ''""")
+view("v_new_programs", f"""
+SELECT (e.new_id * {BT.PER_DOCUMENT} + p.pos)::BIGINT AS id, e.new_id AS document_id, p.* EXCLUDE (document_id, source_id, pos, programs_inferred) FROM v_norm_programs p JOIN v_extracted e USING (document_id)""")
+view("v_new_claims", f"""
+SELECT (e.new_id * {BT.PER_DOCUMENT} + c.pos)::BIGINT AS id, e.new_id AS document_id, c.* EXCLUDE (document_id, pos), TRY_CAST({S.strip('c.raw_ref')} AS BIGINT) AS num
+FROM v_norm_claims c JOIN v_extracted e USING (document_id)""")
+
+
+def extraction_log(c: Corpus) -> BT.BatchLog:
+    """All valid extractions in two batches by number, the first of them committed a second time."""
+    home = f"{c.home}/stage/extractions-{uuid.uuid4().hex[:12]}"
+    log, rows = BT.BatchLog(c.spark, home), normalized(c)
+    d = F.col("document_id")
+    jobs = rows.select("document_id", (d + NEW_IDS).alias("new_id"), plus_seconds(day("2024-02-01"), (d % 3) * 60).alias("at"))
+    for batch, part in (("b0", d % 2 == 0), ("b1", d % 2 == 1), ("b0", d % 2 == 0)):
+        log.commit(batch, BT.extraction_tables(rows.where(part), jobs))
+    return log
+
+
+@query("extraction_documents", f"""
+SELECT new_id AS id, source_id, document_id AS crawl_job_id, title, summary, md5(raw_text) AS text_md5, parse_confidence,
+  'sources/' || source_id || '/crawls/' || document_id || '/extracted.json' AS json_path, {S.iso('at')} AS created_at FROM v_extracted""")
+def extraction_documents(c: Corpus):
+    rows = extraction_log(c).read("documents", "id long, source_id long, crawl_job_id long, title string, summary string, raw_text string, parse_confidence double, json_path string, created_at timestamp")
+    return rows.withColumn("text_md5", F.md5(F.col("raw_text").cast("binary"))).drop("raw_text").withColumn("created_at", iso("created_at"))
+
+
+@query("extraction_programs", "SELECT * FROM v_new_programs")
+def extraction_programs(c: Corpus):
+    return extraction_log(c).read(
+        "programs", "id long, document_id long, name string, coach_name string, days_per_week long, specialization string, experience_level string, "
+        "progression_type string, split_type string, summary string, confidence double",
+    )
+
+
+@query("extraction_claims", f"""
+WITH placed AS (SELECT document_id, id AS program_id, lower({S.strip('name')}) AS key,
+    row_number() OVER (PARTITION BY document_id ORDER BY id) - 1 AS place FROM v_new_programs)
+SELECT r.id, r.document_id, CASE
+  WHEN num IS NULL THEN (SELECT arg_max(p.program_id, p.place) FROM placed p WHERE p.document_id = r.document_id AND p.key = lower({S.strip('r.raw_ref')}) AND p.key <> '')
+  ELSE coalesce((SELECT min(p.program_id) FROM placed p WHERE p.document_id = r.document_id AND p.place = num),
+    (SELECT min(p.program_id) FROM placed p WHERE p.document_id = r.document_id AND p.place = num - 1)) END AS program_id,
+  r.claim_type, r.raw_text, r.normalized_value, r.confidence FROM v_new_claims r""")
+def extraction_claims(c: Corpus):
+    return extraction_log(c).read(
+        "claims", "id long, document_id long, program_id long, claim_type string, raw_text string, normalized_value string, confidence double"
+    )
+
+
+@query("extraction_sources", f"""
+WITH n AS (SELECT * FROM v_extracted QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY at DESC, new_id DESC) = 1)
+SELECT s.id, s.canonical_url, CASE WHEN n.source_id IS NULL THEN s.title ELSE n.title END AS title, CASE WHEN n.source_id IS NULL THEN s.author ELSE n.author END AS author,
+  CASE WHEN n.source_id IS NULL THEN s.source_type ELSE n.source_type END AS source_type, CASE WHEN n.source_id IS NULL THEN s.status ELSE 'succeeded' END AS status,
+  {S.iso('CASE WHEN n.source_id IS NULL THEN s.last_crawled_at ELSE n.at END')} AS last_crawled_at, CASE WHEN n.source_id IS NULL THEN s.latest_document_id ELSE n.new_id END AS latest_document_id
+FROM v_sources s LEFT JOIN n ON n.source_id = s.id""")
+def extraction_sources(c: Corpus):
+    """Sources with the pointers that the batches made visible together with their documents."""
+    states = extraction_log(c).read("states", "source_id long, last_crawled_at timestamp, latest_document_id long, title string, author string, source_type string, status string")
+    return BT.current_sources(c.sources, states).withColumn("last_crawled_at", iso("last_crawled_at"))

@@ -14,6 +14,7 @@ from quarrylight.operators import learn as LR
 from quarrylight.operators import normalize as N
 from quarrylight.operators import retrieve as R
 from quarrylight.operators import runs as RU
+from quarrylight.operators import shards as SH
 from quarrylight.plans import catalog_learning as CL
 from quarrylight.plans import sqltext as S
 from quarrylight.plans.catalog_answers import evidence_texts, program_texts
@@ -189,12 +190,11 @@ def evaluate_suite(c: Corpus):
         *[text.alias(f) for f in R.FILTERS if f not in ("domain", "days_per_week")],
     )
     deepest = tests.agg(F.max("top_k")).first()[0] or 1  # one number
-    matches = c.stage(R.match_documents(tests, c), "matches")
     s = R.shelf(c)
     cut = tests.select("query_id", "mode", "top_k")
-    progs = R.search_programs(tests.where("mode = 'programs'"), c, deepest, matches.join(tests.where("mode = 'programs'"), "query_id", "left_semi"))
+    progs = R.search_programs(tests.where("mode = 'programs'"), c, deepest)
     progs = progs.join(s.programs.select("program_id", "canonical_url"), "program_id")
-    srcs = R.search_sources(tests.where("mode = 'sources'"), c, deepest, matches.join(tests.where("mode = 'sources'"), "query_id", "left_semi"))
+    srcs = R.search_sources(tests.where("mode = 'sources'"), c, deepest)
     srcs = srcs.join(s.sources.select("source_id", "canonical_url"), "source_id")
     keep = ("query_id", "rank", "canonical_url")
     seen = progs.select(*keep).unionByName(srcs.select(*keep)).join(cut, "query_id").where("rank <= top_k")
@@ -252,7 +252,7 @@ def review_export(c: Corpus):
 
 # -- limits and streams ----------------------------------------------------------
 WINDOW, MOST = 86_400, 2
-view("v_api", "SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) / 1000000.0::DOUBLE AS at_s, event_id AS request_id FROM events WHERE event_type IN ('click', 'view')")
+view("v_api", "SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) / 1000000.0::DOUBLE AS at_s, event_id AS request_id FROM events")
 _LIMIT_SQL = f"""
 WITH g AS (SELECT key, list_reduce(list([at_s] ORDER BY at_s, request_id), lambda acc, x:
     CASE WHEN len(list_filter(acc, lambda t: t >= x[1] - {WINDOW})) < {MOST} THEN list_concat(acc, x) ELSE acc END) AS ok FROM v_api GROUP BY key),
@@ -261,7 +261,7 @@ SELECT key, request_id, accepted, CASE WHEN NOT accepted THEN CAST(floor(greates
 
 
 def api_requests(c: Corpus):
-    rows = c.raw("events").where(F.col("event_type").isin("click", "view"))
+    rows = c.raw("events")
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
     return rows.select(F.col("user_id").cast("string").alias("key"), at.alias("at"), F.col("event_id").alias("request_id"))
 
@@ -273,14 +273,22 @@ def rate_limit(c: Corpus):
 
 @query("rate_limit_stream", _LIMIT_SQL)
 def rate_limit_stream(c: Corpus):
-    source, sink = fresh_path(c, "requests"), fresh_path(c, "decisions")
-    rows = api_requests(c)
-    rows.write.parquet(source)
-    stream = c.spark.readStream.schema(rows.schema).parquet(source)
-    FE.run_to_end(LI.rate_limit_stream(stream, WINDOW, MOST), fresh_path(c, "checkpoint"), sink=sink)
+    """Requests in two micro-batches by time, the second after a restart."""
+    sink = fresh_path(c, "decisions")
+    _in_two_runs(c, api_requests(c), F.col("at"), lambda stream: LI.rate_limit_stream(stream, WINDOW, MOST), sink=sink)
     return c.spark.read.schema(LI.DECISION).parquet(sink).select("key", "request_id", "accepted", "retry_after")
 
 
+def _in_two_runs(c: Corpus, rows, order, build, **end):
+    """Feed ``rows`` to a stream in two parts, cut in the middle of ``order``; the second run starts again from the checkpoint."""
+    source, checkpoint = fresh_path(c, "feed"), fresh_path(c, "checkpoint")
+    rows = c.stage(rows, "rows")
+    cut = rows.agg(F.avg(order.cast("double"))).first()[0]
+    for part in (F.coalesce(order.cast("double") <= cut, F.lit(True)), order.cast("double") > cut):
+        rows.where(part).write.mode("append").parquet(source)
+        FE.run_to_end(build(c.spark.readStream.schema(rows.schema).parquet(source)), checkpoint, **end)
+
+
 def _limited(source: str, key: str, most: int) -> str:
     """SQL for (request_id, accepted, retry_after) of the requests of ``source``, limited by ``key``."""
     return f"""(WITH g AS (SELECT {key} AS k, list_reduce(list([at_s] ORDER BY at_s, request_id), lambda acc, x:
@@ -318,15 +326,25 @@ def quota_accepted(c: Corpus):
     return LI.quota_accepted(api_requests(c), V.ASK_LIFETIME_LIMIT).select("key", "request_id", "used")
 
 
+@query("quota_stream", f"""
+SELECT key, request_id, used <= {V.ASK_LIFETIME_LIMIT} AS accepted, least(used, {V.ASK_LIFETIME_LIMIT}) AS used, {V.ASK_LIFETIME_LIMIT} - least(used, {V.ASK_LIFETIME_LIMIT}) AS remaining
+FROM (SELECT key, request_id, row_number() OVER (PARTITION BY key ORDER BY at_s, request_id) AS used FROM v_api)""")
+def quota_stream(c: Corpus):
+    """Lifetime quotas counted by a stream in two micro-batches by time, the second after a restart."""
+    sink = fresh_path(c, "quota")
+    _in_two_runs(c, api_requests(c), F.col("at"), lambda stream: LI.quota_stream(stream, V.ASK_LIFETIME_LIMIT), sink=sink)
+    return c.spark.read.schema("key string, request_id long, accepted boolean, used long, remaining long").parquet(sink)
+
+
 @query("stream_discovery", f"""
 SELECT DISTINCT s.canonical_url FROM v_safe s WHERE s.canonical_url IS NOT NULL AND {S.allowed_url('s.canonical_url')}
-  AND s.canonical_url NOT IN (SELECT canonical_url FROM v_sources WHERE id % 2 = 0)""")
+  AND s.canonical_url NOT IN (SELECT canonical_url FROM v_page_urls)""")
 def stream_discovery(c: Corpus):
     source, sink = fresh_path(c, "candidates"), fresh_path(c, "new_sources")
     rows = c.candidates.select("raw_url", plus_seconds(day("2024-01-01"), F.col("page_id")).alias("seen_at"))
     rows.write.parquet(source)
     stream = c.spark.readStream.schema(rows.schema).parquet(source)
-    known = c.sources.where("id % 2 = 0").select("canonical_url")
+    known = c.page_urls.select("canonical_url")
     FE.run_to_end(FE.discovered(stream), fresh_path(c, "checkpoint"), step=FE.append_new(lambda: known, sink))
     return c.spark.read.schema("canonical_url string").parquet(sink).select("canonical_url")
 
@@ -347,30 +365,91 @@ def crawl_health_windows(c: Corpus):
     return _by_day(FE.crawl_health(c.crawl_jobs))
 
 
-@query("crawl_health_stream", _HEALTH_SQL)
+# The stream sees jobs of ids that 5 divides after all others: those whose day had closed by then are late.
+view("v_late_jobs", """
+SELECT *, id % 5 = 0 AND date_trunc('day', started_at) + INTERVAL 1 DAY <= (SELECT max(started_at) FROM v_crawl_jobs WHERE id % 5 <> 0) - INTERVAL 1 DAY AS late
+FROM v_crawl_jobs WHERE started_at IS NOT NULL""")
+
+
+def _health(c: Corpus) -> FE.HealthSink:
+    """The health of all jobs as a stream in two runs, the jobs of every fifth id last."""
+    jobs, source, checkpoint = c.crawl_jobs.select("id", "started_at", "status"), fresh_path(c, "jobs"), fresh_path(c, "checkpoint")
+    sink = FE.HealthSink(fresh_path(c, "health"))
+    for part in ("id % 5 <> 0", "id % 5 = 0"):
+        jobs.where(part).write.mode("append").parquet(source)
+        FE.run_to_end(c.spark.readStream.schema(jobs.schema).parquet(source), checkpoint, step=sink.step)
+    return sink
+
+
+@query("crawl_health_stream", _HEALTH_SQL.replace("FROM v_crawl_jobs WHERE started_at IS NOT NULL", "FROM v_late_jobs WHERE NOT late"))
 def crawl_health_stream(c: Corpus):
-    """The same windows kept up to date by a stream."""
-    jobs = c.crawl_jobs.select("started_at", "status")
-    source, sink = fresh_path(c, "jobs"), fresh_path(c, "health")
-    jobs.write.parquet(source)
-    stream = c.spark.readStream.schema(jobs.schema).parquet(source)
+    """Windows kept by a stream: closed ones are final, late rows stay out of them."""
+    return _by_day(_health(c).windows(c.spark))
 
-    def replace(batch, _epoch):
-        batch.write.mode("overwrite").parquet(sink)
 
-    health = FE.crawl_health(stream, delay="1 day")
-    FE.run_to_end(health, fresh_path(c, "checkpoint"), mode="complete", step=replace)
-    return _by_day(c.spark.read.schema(health.schema).parquet(sink))
+@query("crawl_health_late", "SELECT id, strftime(date_trunc('day', started_at), '%Y-%m-%d') AS day, status FROM v_late_jobs WHERE late")
+def crawl_health_late(c: Corpus):
+    """The rows whose window had closed before they came."""
+    rows = _health(c).late(c.spark, "id long, started_at timestamp, status string")
+    return rows.select("id", F.date_format("started_at", "yyyy-MM-dd").alias("day"), "status")
 
 
 # -- learned reranking -----------------------------------------------------------
-@query("learned_rerank_eval")
+_N = len(LR.FEATURES) + 1
+_columns = ["1.0::DOUBLE", *LR.FEATURES]
+_sums = ", ".join(
+    "[" + ", ".join(
+        [f"coalesce(sum(weight * {a} * {b}), 0)" + (f" + {LR.RIDGE}::DOUBLE * sum(weight)" if i == j and i else "") for j, b in enumerate(_columns)]
+        + [f"coalesce(sum(weight * {a} * target), 0)"]
+    ) + "]" for i, a in enumerate(_columns)
+)
+view("v_features", f"""
+SELECT l.query_id, s.split, l.candidate_no, l.baseline_rank, l.relevance, l.relevance / 3.0::DOUBLE AS target,
+  CASE WHEN l.reason = '{V.HUMAN_REASON}' THEN {LR.HUMAN_WEIGHT}::DOUBLE ELSE 1.0::DOUBLE END AS weight,
+  coalesce(f.text_rank, g.text_rank, 0.0::DOUBLE) AS text_rank, b.score AS text_overlap,
+  coalesce((CASE WHEN p.p_days_per_week = i.intent_days THEN 3 ELSE 0 END) + (CASE WHEN p.p_experience_level = i.intent_experience THEN 3 ELSE 0 END)
+    + (CASE WHEN p.p_split_type = i.intent_split THEN 2 ELSE 0 END), 0)::DOUBLE AS intent,
+  coalesce(p.page_quality, o.page_quality, 0)::DOUBLE AS page_quality, coalesce(p.confidence, 0)::DOUBLE AS confidence,
+  CASE WHEN f.leg = 'exact' OR g.source_id IS NOT NULL THEN 1.0::DOUBLE WHEN f.leg = 'expanded' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS leg
+FROM v_labels l JOIN v_train_splits s USING (query_id) JOIN v_bootstrap b ON b.query_id = l.query_id AND b.candidate_no = l.candidate_no
+JOIN v_intent i ON i.query_id = l.query_id LEFT JOIN v_found f ON f.query_id = l.query_id AND f.program_id = l.program_id
+LEFT JOIN v_seen g ON g.query_id = l.query_id AND g.source_id = l.source_id
+LEFT JOIN v_shelf_programs p ON p.program_id = l.program_id LEFT JOIN v_shelf_sources o ON o.source_id = l.source_id""")
+view("v_weights_solved", f"""
+WITH RECURSIVE g AS (
+  SELECT 0 AS k, [{_sums}] AS m FROM v_features WHERE split = 'train'
+  UNION ALL SELECT k + 1, list_transform(range({_N}), lambda i: CASE WHEN i = k THEN list_transform(m[k + 1], lambda x: x / m[k + 1][k + 1])
+    ELSE list_transform(range({_N + 1}), lambda j: m[i + 1][j + 1] - m[i + 1][k + 1] * m[k + 1][j + 1] / m[k + 1][k + 1]) END) FROM g WHERE k < {_N})
+SELECT list_transform(m, lambda r: r[{_N + 1}]) AS w FROM g WHERE k = {_N}""")
+view("v_learned", f"""
+SELECT query_id, split, candidate_no, baseline_rank, relevance, round(w[1] + {" + ".join(f"w[{i + 2}] * {f}" for i, f in enumerate(LR.FEATURES))}, 6) AS score
+FROM v_features, v_weights_solved""")
+for _name, _order in (("base", "baseline_rank NULLS LAST, candidate_no"), ("model", "score DESC, candidate_no")):
+    view(f"v_learned_{_name}", f"SELECT query_id, split, relevance, row_number() OVER (PARTITION BY query_id ORDER BY {_order}) AS rank FROM v_learned")
+    view(f"v_means_{_name}", f"""
+SELECT split, round(avg(ndcg), 6) AS ndcg, round(avg(rr), 6) AS mrr FROM ({CL._ndcg(f'v_learned_{_name}', 10)}) n
+JOIN (SELECT query_id, min(split) AS split, round(coalesce(1.0::DOUBLE / min(rank) FILTER (WHERE relevance > 0), 0), 6) AS rr FROM v_learned_{_name} GROUP BY 1) USING (query_id) GROUP BY split""")
+
+
+@query("learned_rerank_eval", """
+SELECT q.split, q.queries, b.ndcg AS baseline_ndcg, b.mrr AS baseline_mrr, m.ndcg AS model_ndcg, m.mrr AS model_mrr, round(m.ndcg - b.ndcg, 6) AS ndcg_delta
+FROM (SELECT split, count(DISTINCT query_id) AS queries FROM v_learned GROUP BY 1) q JOIN v_means_base b USING (split) JOIN v_means_model m USING (split)""")
 def learned_rerank_eval(c: Corpus):
-    """Held-out metrics of the retrieval order and of a fitted pointwise model."""
+    """Held-out metrics of the retrieval order and of a model fitted on six features."""
     shelf = R.shelf(c)
-    more = shelf.programs.select("program_id", "page_quality", F.col("confidence"))
-    rows = CL.labels(c).join(CL.train_split_of(c), "query_id").join(more, "program_id", "left")
-    fields = CL.pool_words(c)
-    words = fields.select("query_id", "candidate_no", L.teacher_score(F.col("query"), F.col("words")).alias("text_overlap"))
-    rows = rows.join(words, ["query_id", "candidate_no"])
+    asked = R.expand_requests(c.requests).select("query_id", "intent_days", "intent_experience", "intent_split")
+    programs = shelf.programs.select("program_id", F.col("page_quality").alias("q1"), "confidence", "p_days_per_week", "p_experience_level", "p_split_type")
+    sources = shelf.sources.select("source_id", F.col("page_quality").alias("q2"))
+    found = CL.retrieved(c)
+    by_program = found.where("program_id IS NOT NULL").select("query_id", "program_id", F.col("text_rank").alias("r1"), F.col("leg").alias("l1"))
+    by_source = found.where("source_id IS NOT NULL").select("query_id", "source_id", F.col("text_rank").alias("r2"), F.col("leg").alias("l2"))
+    rows = CL.labels(c).join(CL.train_split_of(c), "query_id").join(asked, "query_id")
+    rows = rows.join(CL.bootstrap(c).select("query_id", "candidate_no", F.col("score").alias("text_overlap")), ["query_id", "candidate_no"])
+    rows = rows.join(by_program, ["query_id", "program_id"], "left").join(by_source, ["query_id", "source_id"], "left")
+    rows = rows.join(programs, "program_id", "left").join(sources, "source_id", "left")
+    intent = sum((F.when(F.col(f"p_{f}") == F.col(wish), points).otherwise(0) for f, wish, points in SH.INTENTS), F.lit(0))
+    rows = rows.select(
+        "query_id", "split", "candidate_no", "baseline_rank", "relevance", "reason", "text_overlap", "confidence", intent.alias("intent"),
+        F.coalesce("r1", "r2").alias("text_rank"), F.coalesce("q1", "q2").alias("page_quality"), F.coalesce("l1", "l2").alias("leg"),
+    )
     return LR.fit_and_evaluate(c.stage(rows, "features"))

@@ -136,11 +136,11 @@ WITH r AS (SELECT b.*, CASE WHEN d.domain IS NULL THEN 'domain_not_found' WHEN b
     WHEN NOT ({S.netloc('b.canonical_url')} = b.domain OR ends_with({S.netloc('b.canonical_url')}, '.' || b.domain)) THEN 'off_domain'
     WHEN k.canonical_url IS NOT NULL THEN 'duplicate' END AS reason
   FROM v_batch b LEFT JOIN v_domains d ON d.domain = b.domain
-  LEFT JOIN (SELECT canonical_url FROM v_sources WHERE id % 2 = 0) k ON k.canonical_url = b.canonical_url)
+  LEFT JOIN (SELECT canonical_url FROM v_sources) k ON k.canonical_url = b.canonical_url)
 SELECT seq, domain, raw_url, canonical_url, coalesce(reason, CASE WHEN seq = min(seq) FILTER (WHERE reason IS NULL) OVER (PARTITION BY canonical_url)
   THEN 'created' ELSE 'duplicate' END) AS outcome FROM r""")
 def create_sources(c: Corpus):
-    return D.create_sources(batch(c), c.domains, c.sources.where("id % 2 = 0"))
+    return D.create_sources(batch(c), c.domains, c.sources)
 
 
 @query("allowlist_gate", """

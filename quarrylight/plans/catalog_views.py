@@ -17,7 +17,7 @@ def iso(c):
 SELECT id, source_id, crawl_job_id, {S.iso('published_at')} AS published_at, raw_text, title, summary,
   parse_confidence, {S.iso('created_at')} AS created_at FROM v_documents""")
 def table_documents(c: Corpus):
-    return c.documents.select(
+    return c.documents.join(c.document_texts, "id").select(
         "id", "source_id", "crawl_job_id", iso("published_at").alias("published_at"), "raw_text", "title",
         "summary", "parse_confidence", iso("created_at").alias("created_at"),
     )

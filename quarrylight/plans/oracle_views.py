@@ -174,9 +174,11 @@ FROM (SELECT e.event_id AS id, e.event_type, e.value, s.source_id, s.domain, s.c
     CASE WHEN e.event_id % 97 <> 0 THEN e.ts END AS started_at
   FROM events e JOIN v_page_sources s ON s.page_id = (e.event_id // 40) % (SELECT count(*) FROM pages))""")
 
-view("v_requests", rf"""
-SELECT q AS query_id, CASE WHEN q % 29 = 0 THEN '' ELSE
-    trim(array_to_string(list_transform(list_slice(list_sort(list_transform(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{6,}}')), lambda w: {{'l': -length(w), 'w': w}})), 1, 3), lambda x: x.w), ' ') || ' ' || {S.pick('q % 19', C.HINTS)}) END AS query,
+view("v_request_texts", f"""
+SELECT item_id AS q, text FROM benchmark
+UNION ALL SELECT {C.TURN_IDS} + conv_id * {C.TURNS} + turn, text FROM conversations WHERE role = 'user'""")
+view("v_asked", rf"""
+SELECT q AS query_id, CASE WHEN q >= {C.BLANK_IDS} THEN '' ELSE trim(coalesce(text, '') || ' ' || {S.pick('q % 19', C.HINTS)}) END AS query,
   CASE WHEN q % 12 = 8 THEN 2 + q % 5 END AS days_per_week,
   CASE WHEN q % 24 = 10 THEN 'strength' END AS specialization,
   CASE WHEN q % 24 = 14 THEN 'beginner' END AS experience_level,
@@ -185,9 +187,9 @@ SELECT q AS query_id, CASE WHEN q % 29 = 0 THEN '' ELSE
   CAST({S.pick('q % 4', ('8', '4', '1', '12'))} AS BIGINT) AS max_sources,
   CAST({S.pick('q % 3', ('20', '5', '25'))} AS BIGINT) AS max_programs,
   CAST({S.pick('q % 5', ('8', '3', '8', '25', '1'))} AS BIGINT) AS max_evidence
-FROM (SELECT item_id AS q, text FROM benchmark
-  UNION ALL SELECT {C.TURN_IDS} + conv_id * {C.TURNS} + turn, text FROM conversations WHERE role = 'user') r
+FROM (SELECT * FROM v_request_texts UNION ALL SELECT q + {C.BLANK_IDS}, NULL FROM v_request_texts WHERE q % 29 = 0) r
 LEFT JOIN v_page_urls u ON r.q % 4 = 1 AND u.page_id = r.q % 50""")
+view("v_requests", f"SELECT * FROM v_asked WHERE length(query) <= {C.MAX_QUERY}")
 
 view("v_grades", """
 SELECT doc_id AS document_id, CASE WHEN quality = 1 AND toxic <> 1 THEN 3 WHEN quality = 1 THEN 2

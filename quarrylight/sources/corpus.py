@@ -99,8 +99,10 @@ def plus_seconds(ts: Column, seconds: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(ts) + seconds.cast("long") * 1_000_000)
 
 
-#: Request ids of conversation turns: above all item ids, room for so many turns each.
-TURN_IDS, TURNS = 1 << 52, 1 << 24
+#: Request ids of conversation turns: above all item ids, room for so many turns each; ids of requests without text lie above those.
+TURN_IDS, TURNS, BLANK_IDS = 1 << 52, 1 << 24, 1 << 54
+#: Longest query that the service takes.
+MAX_QUERY = 400
 
 @cache
 def _code_version() -> str:
@@ -201,6 +203,11 @@ class Corpus:
         """One number: the pages that documents and events are dealt to in turn."""
         return max(1, self.raw("pages").count())
 
+    @cached_property
+    def document_count(self) -> int:
+        """One number, from the stored table's file footers."""
+        return self.documents.count()
+
     # -- urls ---------------------------------------------------------------
     @cached_property
     def candidates(self) -> DataFrame:
@@ -282,8 +289,8 @@ class Corpus:
         )
 
     # -- documents and their children ---------------------------------------
-    @stored
-    def documents(self) -> DataFrame:
+    def _described(self) -> DataFrame:
+        """Raw documents with all that follows from their own row; no join, so texts stay where they are."""
         doc = F.col("doc_id")
         body = F.col("text")
         words = F.regexp_replace(F.regexp_extract(body, r"^\s*(\S+(?:\s+\S+){0,5})", 1), r"\s+", " ")
@@ -299,9 +306,8 @@ class Corpus:
             + F.when((doc % 3 > 0) | (doc % 4 == 0), 0.05).otherwise(0.0)
         )
         created = plus_seconds(day("2024-01-01"), doc * 3600)
-        docs = self.raw("documents").withColumn("page_id", F.pmod(F.floor(doc / 4), F.lit(self.page_count)))
-        return docs.join(self.page_sources.select("page_id", "source_id"), "page_id").select(
-            doc.alias("id"), "source_id",
+        return self.raw("documents").select(
+            doc.alias("id"), F.pmod(F.floor(doc / 4), F.lit(self.page_count)).alias("page_id"),
             F.when(doc % 13 != 0, doc).alias("crawl_job_id"),
             F.when(doc % 5 != 0, plus_seconds(created, -86400 * (doc % 30 + 1))).alias("published_at"),
             body.alias("raw_text"), title.alias("title"), summary.alias("summary"),
@@ -309,6 +315,22 @@ class Corpus:
             created.alias("created_at"),
         )
 
+    @property
+    def document_texts(self) -> DataFrame:
+        """(id, raw_text): a scan of the raw table. Texts join what was selected by id, at the end."""
+        return self.raw("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("raw_text"))
+
+    @property
+    def document_bodies(self) -> DataFrame:
+        """(id, title, summary, raw_text) of every document: a map over the raw table."""
+        return self._described().select("id", "title", "summary", "raw_text")
+
+    @stored
+    def documents(self) -> DataFrame:
+        """Documents without their texts: only ids and short columns meet the pages."""
+        docs = self._described().drop("raw_text")
+        return docs.join(self.page_sources.select("page_id", "source_id"), "page_id").drop("page_id")
+
     @property
     def document_keys(self) -> DataFrame:
         """Documents without their text."""
@@ -372,7 +394,8 @@ class Corpus:
         """
         doc = F.col("document_id")
         src = self.sources.select(F.col("id").alias("source_id"), "url")
-        docs = self.documents.select(F.col("id").alias("document_id"), "source_id", "raw_text").join(src, "source_id")
+        keys = self.document_keys.join(src, "source_id").select("id", "source_id", "url")
+        docs = self.document_texts.join(keys, "id").withColumnRenamed("id", "document_id")
         plain = F.regexp_replace("raw_text", "[^A-Za-z0-9 .]", " ")
         body = F.when(doc % 11 == 0, "Short.").when(doc % 7 == 0, F.concat(F.lit("Summary: "), plain)).otherwise(plain)
 
@@ -501,12 +524,12 @@ class Corpus:
             (TURN_IDS + F.col("conv_id") * TURNS + F.col("turn")).alias("query_id"), "text"
         )
         q = F.col("query_id")
-        found = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]{6,})"), F.lit(1))
-        # The three longest words of the whole text, ties in their own order.
-        longest = F.slice(F.array_sort(F.transform(F.array_distinct(found), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1, 3)
-        base = F.concat_ws(" ", F.transform(longest, lambda x: x["w"]))
-        query = F.when(q % 29 == 0, "").otherwise(F.trim(F.concat(base, F.lit(" "), pick(q % 19, HINTS))))
-        return bench.unionByName(turns).select(
+        query = F.trim(F.concat(F.coalesce("text", F.lit("")), F.lit(" "), pick(q % 19, HINTS)))
+        both = bench.unionByName(turns)
+        # Some come once more without any text, to browse.
+        blank = both.where(q % 29 == 0).select((q + BLANK_IDS).alias("query_id"), F.lit(None).cast("string").alias("text"))
+        query = F.when(q >= BLANK_IDS, "").otherwise(query)
+        return both.unionByName(blank).select(
             "query_id", query.alias("query"),
             F.when(q % 12 == 8, 2 + q % 5).alias("days_per_week"),
             F.when(q % 24 == 10, "strength").alias("specialization"),
@@ -520,8 +543,8 @@ class Corpus:
         )
 
     @stored
-    def requests(self) -> DataFrame:
-        """A batch of search requests taken from benchmark items and user turns.
+    def asked(self) -> DataFrame:
+        """A batch of search requests: whole benchmark items and user turns.
 
         Every fourth request is limited to one domain.
         """
@@ -534,6 +557,11 @@ class Corpus:
             *[F.col("home_domain").alias("domain") if c == "domain" else c for c in base.columns]
         )
 
+    @property
+    def requests(self) -> DataFrame:
+        """The requests that the service takes: longer queries are rejected as a whole, none is shortened."""
+        return self.asked.where(F.length("query") <= MAX_QUERY)
+
     @cached_property
     def grades(self) -> DataFrame:
         """(document_id, relevance 0..3) from the quality and toxicity labels."""

@@ -9,9 +9,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quarrylight.operators.groups import top_n
 
@@ -73,20 +73,13 @@ def sessions(requests: DataFrame, window: int, slice_seconds: int) -> DataFrame:
     )
 
 
-def _decisions(frame: pd.DataFrame, recent: np.ndarray, window: int, most: int) -> tuple[pd.DataFrame, np.ndarray]:
-    accepted, wait, recent = admitted(frame["at"].to_numpy(float), recent, window, most)
-    out = pd.DataFrame({"key": frame["key"].to_numpy(), "at": frame["at"].to_numpy(), "request_id": frame["request_id"].to_numpy(), "accepted": accepted})
-    out["retry_after"] = pd.array(wait, dtype="Int64")
-    out.loc[accepted, "retry_after"] = pd.NA
-    return out, recent
-
-
 def rate_limit(requests: DataFrame, window: int, most: int, slice_seconds: int | None = None) -> DataFrame:
     """Decision per request. Only accepted requests count against the window.
 
     Sessions are spread over tasks and sorted inside them; a task takes its rows
     in Arrow batches, holds at most ``most`` times between them, and its work on
-    a session is one search for each accepted request.
+    a session is one search for each accepted request. Sessions of no more than
+    ``most`` requests are accepted at once, all those of a batch together.
     """
     window, most = max(1, int(window)), max(1, int(most))
     parts = sessions(requests, window, slice_seconds or 64 * window)
@@ -95,32 +88,106 @@ def rate_limit(requests: DataFrame, window: int, most: int, slice_seconds: int |
     def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, recent = None, np.zeros(0)
         for frame in frames:
-            for run, rows in frame.groupby(["key", "session"], sort=False, dropna=False):
+            if not len(frame):
+                continue
+            key, start, at = frame["key"].to_numpy(object), frame["session"].to_numpy(float), frame["at"].to_numpy(float)
+            edges = np.flatnonzero((key[1:] != key[:-1]) | (start[1:] != start[:-1])) + 1
+            low, high = np.concatenate(([0], edges)), np.concatenate((edges, [len(at)]))
+            accepted, wait = np.ones(len(at), bool), np.zeros(len(at), np.int64)
+            judged = high - low > most
+            # The first run may have begun in the batch before, the last one may go on in the next.
+            judged[0] = judged[-1] = True
+            for a, b in zip(low[judged].tolist(), high[judged].tolist(), strict=True):
+                run = key[a], start[a]
                 if run != current:
                     current, recent = run, np.zeros(0)
-                out, recent = _decisions(rows, recent, window, most)
-                yield out.assign(late=False)
+                accepted[a:b], wait[a:b], recent = admitted(at[a:b], recent, window, most)
+            out = frame[["key", "at", "request_id"]].assign(accepted=accepted)
+            out["retry_after"] = pd.arrays.IntegerArray(wait, accepted)
+            yield out.assign(late=False)
 
     return placed.mapInPandas(decide, DECISION)
 
 
-def rate_limit_stream(requests: DataFrame, window: int, most: int) -> DataFrame:
-    """The same decisions on a stream; state holds at most ``most`` times per key.
+def with_state_store(spark: SparkSession) -> None:
+    """Processors with state of several kinds need the RocksDB store; set it unless the session names another."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(key).endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _key_rows(frames: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
+    """(times, ids) of a key's rows of a micro-batch in time order: two numbers a row."""
+    parts = [(f["at"].to_numpy(float), f["request_id"].to_numpy()) for f in frames]
+    at, ids = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.lexsort((ids, at))
+    return at[order], ids[order]
+
+
+class WindowLimiter(StatefulProcessor):
+    """The accepted times of a key, ``most`` at most, and the newest time decided; both are forgotten ``keep`` seconds after their last change."""
+
+    def __init__(self, window: int, most: int, keep: float):
+        self.window, self.most, self.keep = window, most, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("window", "accepted array<double>, newest double", ttlDurationMs=int(self.keep * 1000))
+
+    def handleInputRows(self, key, rows, timerValues):
+        at, ids = _key_rows(rows)
+        times, newest = self.state.get() if self.state.exists() else ([], float("-inf"))
+        accepted, wait, kept = admitted(at, np.array(times, float), self.window, self.most)
+        self.state.update(([float(x) for x in kept], max(newest, float(at[-1]))))
+        out = pd.DataFrame({"key": [key[0]] * len(at), "at": at, "request_id": ids, "accepted": accepted})
+        out["retry_after"] = pd.arrays.IntegerArray(wait, accepted)
+        yield out.assign(late=at < newest)
+
+    def close(self) -> None:
+        pass
 
-    Rows of a micro-batch are taken in time order. A row older than one already
-    decided for its key is judged by the state of now and marked ``late``.
+
+def rate_limit_stream(requests: DataFrame, window: int, most: int, keep: float | None = None) -> DataFrame:
+    """The same decisions on a stream.
+
+    A row older than one already decided for its key is judged by the state of
+    now and marked ``late``. A key's state is a list of at most ``most`` times and
+    one more; it is dropped when nothing of the key was decided for ``keep``
+    seconds of the stream's own clock (two windows by default), so idle keys take
+    no room. ``keep`` must be no less than a window plus what the stream may lag.
     """
     window, most = max(1, int(window)), max(1, int(most))
+    with_state_store(requests.sparkSession)
+    return requests.groupBy("key").transformWithStateInPandas(
+        WindowLimiter(window, most, keep or 2 * window), DECISION, "append", "ProcessingTime"
+    )
+
+
+class QuotaCounter(StatefulProcessor):
+    """How many requests of a key were accepted, for ever."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.used = handle.getValueState("used", "n long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        at, ids = _key_rows(rows)
+        before = self.used.get()[0] if self.used.exists() else 0
+        used = np.minimum(before + 1 + np.arange(len(at)), self.limit)
+        accepted = before + 1 + np.arange(len(at)) <= self.limit
+        self.used.update((int(used[-1]),))
+        yield pd.DataFrame({"key": [key[0]] * len(at), "request_id": ids, "accepted": accepted, "used": used, "remaining": self.limit - used})
+
+    def close(self) -> None:
+        pass
 
-    def decide(key, frames, state: GroupState):
-        times, newest = state.get if state.exists else ([], float("-inf"))
-        rows = pd.concat(list(frames)).sort_values(["at", "request_id"], kind="stable")
-        out, recent = _decisions(rows, np.array(times, float), window, most)
-        state.update((recent.tolist(), max(newest, float(rows["at"].max()))))
-        yield out.assign(late=out["at"] < newest)
 
-    return requests.groupBy("key").applyInPandasWithState(
-        decide, DECISION, "times array<double>, newest double", "append", GroupStateTimeout.NoTimeout
+def quota_stream(requests: DataFrame, limit: int) -> DataFrame:
+    """(key, request_id, accepted, used, remaining) on a stream: the first ``limit`` requests of a key to arrive, by time within a micro-batch."""
+    with_state_store(requests.sparkSession)
+    return requests.groupBy("key").transformWithStateInPandas(
+        QuotaCounter(max(0, int(limit))), "key string, request_id long, accepted boolean, used long, remaining long", "append", "None"
     )
 
 

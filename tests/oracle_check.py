@@ -79,7 +79,7 @@ def main(argv):
 
     folder = argv[0] if argv and argv[0].startswith("/") else "/root/testdata/sf0.001"
     names = [a for a in argv if not a.startswith("/")]
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "quarrylight.input.partitions": "8", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
+    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "quarrylight.input.partitions": "8", "quarrylight.index.shard_docs": "256", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(folder)
     queries, oracles = entry.queries(), entry.oracle_sql()
