@@ -259,7 +259,11 @@ def near_duplicates(
         classes.join(final.withColumnRenamed("node", "class"), "class", "left")
         .select("set_key", F.coalesce("component", "class").alias("component_id"))
     )
-    out = signed.select("id", "n_shingles", "set_key").join(member, "set_key", "left")
+    # A row without words takes the component that its id has by another text, if any.
+    empty = signed.where("set_key IS NULL").select("id", "n_shingles")
+    other = named.select("id", "set_key").join(empty.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("set_key").alias("set_key"))
+    rows = signed.where("set_key IS NOT NULL").select("id", "n_shingles", "set_key").unionByName(empty.join(other, "id", "left"))
+    out = rows.join(member, "set_key", "left")
     mine = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(
         F.col("id").alias("doc_id"), "n_shingles", mine.alias("component_id"), F.coalesce(mine == F.col("id"), F.lit(True)).alias("kept")
