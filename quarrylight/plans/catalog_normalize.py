@@ -223,7 +223,7 @@ def error_codes(c: Corpus):
 #: New documents are numbered from here.
 NEW_IDS = 1_000_000_000
 view("v_extracted", f"""
-SELECT *, {NEW_IDS} + document_id AS new_id, TIMESTAMP '2024-02-01 00:00:00' + to_minutes(document_id % 3) AS at FROM v_normalized WHERE validation_errors = ''""")
+SELECT *, {NEW_IDS} + document_id AS new_id, TIMESTAMP '2024-02-01 00:00:00' + to_minutes(document_id % 3) AS at_time FROM v_normalized WHERE validation_errors = ''""")
 view("v_new_programs", f"""
 SELECT (e.new_id * {BT.PER_DOCUMENT} + p.pos)::BIGINT AS id, e.new_id AS document_id, p.* EXCLUDE (document_id, source_id, pos, programs_inferred) FROM v_norm_programs p JOIN v_extracted e USING (document_id)""")
 view("v_new_claims", f"""
@@ -244,7 +244,7 @@ def extraction_log(c: Corpus) -> BT.BatchLog:
 
 @query("extraction_documents", f"""
 SELECT new_id AS id, source_id, document_id AS crawl_job_id, title, summary, md5(raw_text) AS text_md5, parse_confidence,
-  'sources/' || source_id || '/crawls/' || document_id || '/extracted.json' AS json_path, {S.iso('at')} AS created_at FROM v_extracted""")
+  'sources/' || source_id || '/crawls/' || document_id || '/extracted.json' AS json_path, {S.iso('at_time')} AS created_at FROM v_extracted""")
 def extraction_documents(c: Corpus):
     rows = extraction_log(c).read("documents", "id long, source_id long, crawl_job_id long, title string, summary string, raw_text string, parse_confidence double, json_path string, created_at timestamp")
     return rows.withColumn("text_md5", F.md5(F.col("raw_text").cast("binary"))).drop("raw_text").withColumn("created_at", iso("created_at"))
@@ -273,10 +273,10 @@ def extraction_claims(c: Corpus):
 
 
 @query("extraction_sources", f"""
-WITH n AS (SELECT * FROM v_extracted QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY at DESC, new_id DESC) = 1)
+WITH n AS (SELECT * FROM v_extracted QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY at_time DESC, new_id DESC) = 1)
 SELECT s.id, s.canonical_url, CASE WHEN n.source_id IS NULL THEN s.title ELSE n.title END AS title, CASE WHEN n.source_id IS NULL THEN s.author ELSE n.author END AS author,
   CASE WHEN n.source_id IS NULL THEN s.source_type ELSE n.source_type END AS source_type, CASE WHEN n.source_id IS NULL THEN s.status ELSE 'succeeded' END AS status,
-  {S.iso('CASE WHEN n.source_id IS NULL THEN s.last_crawled_at ELSE n.at END')} AS last_crawled_at, CASE WHEN n.source_id IS NULL THEN s.latest_document_id ELSE n.new_id END AS latest_document_id
+  {S.iso('CASE WHEN n.source_id IS NULL THEN s.last_crawled_at ELSE n.at_time END')} AS last_crawled_at, CASE WHEN n.source_id IS NULL THEN s.latest_document_id ELSE n.new_id END AS latest_document_id
 FROM v_sources s LEFT JOIN n ON n.source_id = s.id""")
 def extraction_sources(c: Corpus):
     """Sources with the pointers that the batches made visible together with their documents."""

@@ -134,14 +134,16 @@ def suite_files(c: Corpus):
     q = F.col("query_id")
     pages = c.page_urls.select(F.col("page_id").alias("home"), "canonical_url", F.col("domain").alias("home_domain"))
     rows = c.requests.select("query_id", "query", (q % 50).alias("home")).join(pages, "home")
+    # The text as a JSON string, quotes and line ends escaped.
+    quoted = F.regexp_extract(F.to_json(F.struct("query")), r'(?s)^\{"query":(.*)\}$', 1)
     sources = F.concat(
-        F.lit('{"name":"t-'), q, F.lit('","mode":" Sources ","query":"'), F.when(q % 4 == 1, "").otherwise(F.col("query")), F.lit('",'),
+        F.lit('{"name":"t-'), q, F.lit('","mode":" Sources ","query":'), F.when(q % 4 == 1, '""').otherwise(quoted), F.lit(","),
         F.when(q % 4 == 0, '"top_k":0,').when(q % 4 == 1, F.concat(F.lit('"top_k":30,"filters":{"domain":"'), "home_domain", F.lit('"},')))
         .when(q % 4 == 2, '"top_k":-2,"filters":"none",').otherwise(""),
         F.lit('"must_include_canonical_urls":["'), "canonical_url", F.lit('",5]}'),
     )
     programs = F.concat(
-        F.lit('{"name":"","mode":"PROGRAMS","query":"'), "query", F.lit('","top_k":5,'),
+        F.lit('{"name":"","mode":"PROGRAMS","query":'), quoted, F.lit(',"top_k":5,'),
         F.when(q % 3 == 1, '"filters":{"days_per_week":4,"unknown":1},').otherwise(""),
         F.when(q % 3 == 0, '"must_include_canonical_urls":[]').otherwise(F.concat(F.lit('"must_include_canonical_urls":["'), "canonical_url", F.lit('"]'))),
         F.lit("}"),
@@ -338,13 +340,14 @@ def quota_stream(c: Corpus):
 
 @query("stream_discovery", f"""
 SELECT DISTINCT s.canonical_url FROM v_safe s WHERE s.canonical_url IS NOT NULL AND {S.allowed_url('s.canonical_url')}
-  AND s.canonical_url NOT IN (SELECT canonical_url FROM v_page_urls)""")
+  AND s.canonical_url NOT IN (SELECT canonical_url FROM v_sources WHERE status <> 'pending')""")
 def stream_discovery(c: Corpus):
     source, sink = fresh_path(c, "candidates"), fresh_path(c, "new_sources")
     rows = c.candidates.select("raw_url", plus_seconds(day("2024-01-01"), F.col("page_id")).alias("seen_at"))
     rows.write.parquet(source)
     stream = c.spark.readStream.schema(rows.schema).parquet(source)
-    known = c.page_urls.select("canonical_url")
+    # Pending sources have not been seen yet: the feed may find them.
+    known = c.sources.where("status <> 'pending'").select("canonical_url")
     FE.run_to_end(FE.discovered(stream), fresh_path(c, "checkpoint"), step=FE.append_new(lambda: known, sink))
     return c.spark.read.schema("canonical_url string").parquet(sink).select("canonical_url")
 

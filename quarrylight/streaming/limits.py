@@ -55,20 +55,22 @@ def sessions(requests: DataFrame, window: int, slice_seconds: int) -> DataFrame:
     by one task; the slices of a key are then linked through one row per slice.
     """
     cut = F.floor(F.col("at") / slice_seconds)
-    rows = requests.withColumn("slice", cut)
-    w = Window.partitionBy("key", "slice").orderBy("at", "request_id")
+    # Requests without a key share one; joins would lose a null.
+    named = F.coalesce(F.concat(F.lit("="), "key"), F.lit(""))
+    rows = requests.withColumn("slice", cut).withColumn("named", named)
+    w = Window.partitionBy("named", "slice").orderBy("at", "request_id")
     rows = rows.withColumn("before", F.lag("at").over(w))
-    edges = rows.groupBy("key", "slice").agg(F.max("at").alias("last"))
-    by_slice = Window.partitionBy("key").orderBy("slice")
-    edges = edges.select("key", "slice", F.lag("last").over(by_slice).alias("before_slice"))
-    rows = rows.join(edges, ["key", "slice"]).withColumn("before", F.coalesce("before", "before_slice"))
+    edges = rows.groupBy("named", "slice").agg(F.max("at").alias("last"))
+    by_slice = Window.partitionBy("named").orderBy("slice")
+    edges = edges.select("named", "slice", F.lag("last").over(by_slice).alias("before_slice"))
+    rows = rows.join(edges, ["named", "slice"]).withColumn("before", F.coalesce("before", "before_slice"))
     opens = F.when(F.col("before").isNull() | (F.col("at") - F.col("before") > window), F.col("at"))
     rows = rows.withColumn("opens", opens)
-    starts = rows.groupBy("key", "slice").agg(F.max("opens").alias("open_last"))
+    starts = rows.groupBy("named", "slice").agg(F.max("opens").alias("open_last"))
     so_far = by_slice.rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select("key", "slice", F.max("open_last").over(so_far).alias("open_before"))
+    starts = starts.select("named", "slice", F.max("open_last").over(so_far).alias("open_before"))
     inside = F.max("opens").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("own", inside).join(starts, ["key", "slice"]).select(
+    return rows.withColumn("own", inside).join(starts, ["named", "slice"]).select(
         "key", "at", "request_id", F.coalesce("own", "open_before").alias("session")
     )
 
