@@ -49,18 +49,24 @@ def expand_requests(requests: DataFrame) -> DataFrame:
 
 def expanded_groups(requests: DataFrame) -> DataFrame:
     """(query_id, groups): one lexeme set per expanded term, any of which is enough."""
-    terms = I.expanded_terms(F.col("query"))
-    terms = F.when(F.size(terms) > 0, terms).otherwise(F.array(F.lit(V.EMPTY_EXPANSION_QUERY)))
-    groups = F.filter(F.transform(terms, T.lexemes), lambda g: F.size(g) > 0)
-    return requests.where("query <> ''").select("query_id", groups.alias("groups"))
+    rows = requests.where("query <> ''").select("query_id", I.expanded_terms(F.col("query")).alias("terms"))
+    return _with_groups(rows).select("query_id", "groups")
+
+
+def _with_groups(rows: DataFrame) -> DataFrame:
+    """Each step is a column of its own: what a later one names twice is computed once."""
+    rows = rows.withColumn("terms", F.when(F.size("terms") > 0, F.col("terms")).otherwise(F.array(F.lit(V.EMPTY_EXPANSION_QUERY))))
+    return rows.withColumn("groups", F.filter(F.transform("terms", T.lexemes), lambda g: F.size(g) > 0))
 
 
 def asks(requests: DataFrame) -> DataFrame:
     """(ask): what a shard needs of each request with text: lexemes of the exact leg, groups of the expanded one, filters, intents."""
-    groups = expanded_groups(requests)
-    intents = expand_requests(requests).select("query_id", "intent_days", "intent_experience", "intent_split")
-    rows = requests.where("query <> ''").select("query_id", T.lexemes(F.col("query")).alias("exact"), *FILTERS)
-    rows = rows.join(groups, "query_id").join(intents, "query_id")
+    q = F.col("query")
+    rows = requests.where("query <> ''").select(
+        "query_id", T.lexemes(q).alias("exact"), *FILTERS, I.expanded_terms(q).alias("terms"),
+        I.intent_days(q).alias("intent_days"), I.intent_experience(q).alias("intent_experience"), I.intent_split(q).alias("intent_split"),
+    )
+    rows = _with_groups(rows)
     days = [F.col(f).cast("long").alias(f) for f in ("days_per_week", "intent_days")]
     kept = [f for f in (*FILTERS, "intent_experience", "intent_split") if f != "days_per_week"]
     return rows.select(F.struct("query_id", "exact", "groups", *days, *kept).alias("ask"))

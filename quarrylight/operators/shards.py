@@ -105,6 +105,8 @@ class Shard:
         """The most a document of each block can rank; below zero where a needed term is not in the block."""
         if not terms:
             return np.full(self.blocks, -1, np.int64)
+        if self.blocks == 1:
+            return np.zeros(1, np.int64)
         most = np.stack([t.most for t in terms])
         # One millionth more, as sums may round either way.
         out = millionths(most.sum(axis=0) / count) + 1
@@ -122,13 +124,15 @@ class Shard:
 
     def expanded(self, terms: list[Term], groups: list[list[Term]], count: int, b: int) -> tuple[np.ndarray, np.ndarray]:
         """(places, ranks) of the documents of a block with all terms of any group."""
-        low = b * self.block
-        total, fits = np.zeros(self.block), np.zeros(self.block, bool)
-        for t in terms:
-            places, weights = t.in_block(b)
-            total[places - low] += weights
+        low, parts = b * self.block, [t.in_block(b) for t in terms]
+        places = np.concatenate([p for p, _ in parts]) - low
+        total, fits = np.bincount(places, np.concatenate([w for _, w in parts]), self.block), np.zeros(self.block, bool)
+        alone = [g[0].in_block(b)[0] for g in groups if len(g) == 1]
+        if alone:
+            fits[np.concatenate(alone) - low] = True
         for group in groups:
-            fits[(group[0].in_block(b)[0] if len(group) == 1 else self.exact(group, b)[0]) - low] = True
+            if len(group) > 1:
+                fits[self.exact(group, b)[0] - low] = True
         places = np.flatnonzero(fits)
         return places + low, millionths(total[places] / count)
 
@@ -158,6 +162,11 @@ class Shard:
     def best(self, leg: str, rows: tuple[np.ndarray, ...], limit: int) -> tuple[np.ndarray, ...]:
         """The first ``limit`` of (program, rank, intent) in the order of the leg."""
         programs, ranks, intents = rows
+        if len(programs) > 4 * limit:
+            # What lies below the last of the first rows in the leading keys needs no sorting.
+            lead = intents * 2_000_000 + ranks
+            kept = lead >= np.partition(lead, -limit)[-limit]
+            programs, ranks, intents = programs[kept], ranks[kept], intents[kept]
         confidence = np.where(np.isnan(self.confidence[programs]), -np.inf, self.confidence[programs])
         if leg == EXACT:
             quality = self.quality[self.source_of[self.program_doc[programs]]]
@@ -247,13 +256,32 @@ def _answered(batches: Iterator[pa.RecordBatch], exact: int, expanded: int, sour
     """Rows come by shard: its documents, then its postings, then the requests."""
     at, docs, postings, shard, rows = None, [], [], None, []
 
-    def taken() -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [()] * len(_FOUND)
+    def taken() -> Iterator[pa.RecordBatch]:
+        """The rows kept so far, one batch for each kind of them; columns are made at once for all requests."""
+        for kind in (EXACT, EXPANDED, SOURCE, PROXIMITY, "match"):
+            own = [r for r in rows if r[0] == kind]
+            if not own:
+                continue
+            sizes = [len(r[3]) for r in own]
+            found, ranks = np.concatenate([r[3] for r in own]).astype(np.int64), np.concatenate([r[4] for r in own])
+            columns = {"query_id": np.repeat(np.array([r[1] for r in own], np.int64), sizes), "leg": np.repeat(np.array([r[2] for r in own], object), sizes)}
+            if kind in (EXACT, EXPANDED):
+                places = shard.program_doc[found]
+                sources = shard.source_of[places]
+                columns |= {
+                    "program_id": shard.program_ids[found], "doc_id": shard.ids[places], "source_id": shard.source_ids[sources], "rank_millionths": ranks,
+                    "intent_score": np.concatenate([r[5] for r in own]), "page_quality": shard.quality[sources],
+                    "confidence": pa.array(shard.confidence[found], mask=np.isnan(shard.confidence[found])), "newest_crawl": pa.array(shard.newest[found], mask=shard.newest[found] == _NONE),
+                }
+            elif kind == SOURCE:
+                latest = np.concatenate([r[5] for r in own])
+                columns |= {
+                    "source_id": shard.source_ids[found], "rank_millionths": ranks, "page_quality": shard.quality[found], "latest_document_at": pa.array(latest, mask=latest == _NONE),
+                }
+            else:
+                columns |= {"doc_id": shard.ids[found], "proximity" if kind == PROXIMITY else "rank_millionths": ranks}
+            yield pa.record_batch([pa.array(columns[n], t) if n in columns else pa.nulls(len(found), t) for n, t in _FOUND], names=[n for n, _ in _FOUND])
         rows.clear()
-        return pa.record_batch([pa.array(x, t) for x, (_, t) in zip(columns, _FOUND, strict=True)], names=[n for n, _ in _FOUND])
-
-    def opened(value: int):
-        return None if value == _NONE else value
 
     for batch in batches:
         kinds, numbers = batch.column("kind").to_pylist(), batch.column("shard").to_pylist()
@@ -275,31 +303,22 @@ def _answered(batches: Iterator[pa.RecordBatch], exact: int, expanded: int, sour
                 continue
             shard = shard or Shard(docs, postings, block)
             docs, postings = [], []
+            held = 0
             for ask in part.column("ask").to_pylist():
                 query = ask["query_id"]
                 if all_matches:
-                    for leg in (EXACT, EXPANDED):
-                        places, ranks = shard.matches(ask, leg)
-                        rows += [(query, leg, None, d, None, r, None, None, None, None, None, None) for d, r in zip(shard.ids[places].tolist(), ranks.tolist(), strict=True)]
-                for leg, limit in ((EXACT, exact), (EXPANDED, expanded)):
-                    if limit:
-                        for p, rank, intent in zip(*(x.tolist() for x in shard.search(ask, leg, limit)), strict=True):
-                            place = shard.program_doc[p]
-                            source = shard.source_of[place]
-                            confidence = float(shard.confidence[p])
-                            rows.append((
-                                query, leg, int(shard.program_ids[p]), int(shard.ids[place]), int(shard.source_ids[source]), rank, intent,
-                                None if np.isnan(confidence) else confidence, int(shard.quality[source]), opened(int(shard.newest[p])), None, None,
-                            ))
-                if proximity:
-                    places, ranks = shard.proximity(ask)
-                    rows += [(query, PROXIMITY, None, d, None, None, None, None, None, None, None, r) for d, r in zip(shard.ids[places].tolist(), ranks.tolist(), strict=True)]
+                    rows += [("match", query, leg, *shard.matches(ask, leg)) for leg in (EXACT, EXPANDED)]
+                rows += [(leg, query, leg, *shard.search(ask, leg, limit)) for leg, limit in ((EXACT, exact), (EXPANDED, expanded)) if limit]
                 if sources:
-                    for s, rank, latest in zip(*(x.tolist() for x in shard.sources(ask, sources)), strict=True):
-                        rows.append((query, SOURCE, None, None, int(shard.source_ids[s]), rank, None, None, int(shard.quality[s]), None, opened(latest), None))
-                if len(rows) > 20_000:
-                    yield taken()
-    yield taken()
+                    rows.append((SOURCE, query, SOURCE, *shard.sources(ask, sources)))
+                if proximity:
+                    rows.append((PROXIMITY, query, PROXIMITY, *shard.proximity(ask)))
+                held += sum(len(r[3]) for r in rows[-2:])
+                if held > 50_000:
+                    yield from taken()
+                    held = 0
+            # Before another shard takes its place.
+            yield from taken()
 
 
 def place_documents(keys: DataFrame, count: int, size: int) -> DataFrame:
