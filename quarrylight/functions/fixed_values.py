@@ -187,6 +187,7 @@ MAX_CANDIDATES = 200
 RERANK_DEPTH = 50
 MAX_RERANK_DEPTH = 200
 PER_DOMAIN_LIMIT = 10
+REEXTRACT_LIMIT = 25
 GLOBAL_LIMIT = 50
 FAILURE_RATE_THRESHOLD = 0.35
 RECENT_WINDOW = 20

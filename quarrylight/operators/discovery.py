@@ -152,3 +152,65 @@ def new_source_rows(outcomes: DataFrame, domains: DataFrame) -> DataFrame:
         F.xxhash64("canonical_url").alias("id"), F.col("canonical_url").alias("url"), "canonical_url", "domain_id",
         F.lit("pending").alias("status"),
     )
+
+
+def discover_candidates(jobs: DataFrame, cap: int = V.MAX_CANDIDATES) -> DataFrame:
+    """Each candidate of jobs(job_id, domain, output): (job_id, domain, pos, canonical_url, verdict).
+
+    A verdict is ``off_domain``, ``rejected`` by the policy or by the cap of
+    the job, or ``accepted``. A job's candidates come from its own row, in
+    reading order, so the cap is taken there: all of it is a map.
+    """
+    def entry(url: Column, i: Column) -> Column:
+        host, domain = U.netloc(url), F.lower("domain")
+        inside = (host == domain) | host.endswith(F.concat(F.lit("."), domain))
+        return F.struct(
+            i.cast("long").alias("pos"), url.alias("canonical_url"), F.coalesce(inside, F.lit(False)).alias("inside"),
+            F.coalesce(U.is_allowed_candidate(url), F.lit(False)).alias("allowed"),
+        )
+
+    urls = F.array_distinct(F.array_compact(F.transform(found_urls(F.col("output")), U.safe_canonicalize_url)))
+    rows = jobs.select("job_id", "domain", urls.alias("urls")).withColumn("entries", F.transform("urls", entry))
+    usable = F.filter("entries", lambda e: e["inside"] & e["allowed"])
+    last = F.try_element_at(usable, F.lit(max(1, cap)))["pos"]
+    rows = rows.select("job_id", "domain", last.alias("last"), F.explode("entries").alias("e"))
+    fits = F.col("e.allowed") & (F.col("last").isNull() | (F.col("e.pos") <= F.col("last")))
+    verdict = F.when(~F.col("e.inside"), "off_domain").when(fits, "accepted").otherwise("rejected")
+    return rows.select("job_id", "domain", F.col("e.pos").alias("pos"), F.col("e.canonical_url").alias("canonical_url"), verdict.alias("verdict"))
+
+
+def discover_batch(jobs: DataFrame, states: DataFrame, domains: DataFrame, sources: DataFrame, cap: int = V.MAX_CANDIDATES) -> DataFrame:
+    """Outcome of each candidate of the jobs that succeeded by states(job_id, status).
+
+    Jobs count as run one after the other by id: an accepted URL that no
+    source has goes to the first job and place that names it (``created``), a
+    minimum per URL that combines on the map side. Other accepted ones are
+    skipped as ``duplicate`` or ``domain_not_found``. With the columns of
+    :func:`discover_candidates`; :func:`new_source_rows` reads it.
+    """
+    done = jobs.join(states.where("status = 'succeeded'").select("job_id"), "job_id", "left_semi")
+    rows = discover_candidates(done, cap)
+    taken = rows.where("verdict = 'accepted'").join(domains.select("domain"), "domain", "left_semi")
+    first = taken.groupBy("canonical_url").agg(F.min(F.struct("job_id", "pos")).alias("first"))
+    first = first.join(sources.select("canonical_url"), "canonical_url", "left_anti")
+    named = domains.select("domain", F.lit(True).alias("has_domain"))
+    rows = rows.join(named, "domain", "left").join(first, "canonical_url", "left")
+    outcome = (
+        F.when(F.col("verdict") != "accepted", F.col("verdict")).when(F.col("has_domain").isNull(), "domain_not_found")
+        .when(F.struct("job_id", "pos") == F.col("first"), "created").otherwise("duplicate")
+    )
+    return rows.select("job_id", "domain", "pos", "canonical_url", outcome.alias("outcome"))
+
+
+def discover_results(jobs: DataFrame, states: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Each job with its state (``pending`` before its first attempt) and the number of its candidates by outcome."""
+    kinds = {
+        "accepted": ("created", "duplicate", "domain_not_found"), "created": ("created",),
+        "skipped": ("duplicate", "domain_not_found", "rejected"), "off_domain": ("off_domain",),
+    }
+    counts = outcomes.groupBy("job_id").agg(*[F.count_if(F.col("outcome").isin(*v)).alias(k) for k, v in kinds.items()])
+    rows = jobs.select("job_id", "domain").join(states, "job_id", "left").join(counts, "job_id", "left")
+    return rows.select(
+        "job_id", "domain", F.coalesce("status", F.lit("pending")).alias("status"), F.coalesce("retry_count", F.lit(0)).cast("long").alias("retry_count"),
+        "error_message", *[F.coalesce(k, F.lit(0)).alias(k) for k in kinds],
+    )

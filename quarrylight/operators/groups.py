@@ -68,3 +68,27 @@ def hashed_position(df: DataFrame, key: Column, name: str = "position") -> DataF
         .withColumn(name, (F.col("_offset") + F.col("_rn") - 1).cast("long"))
         .drop("_md5", "_slice", "_rn", "_offset")
     )
+
+
+def numbered(
+    df: DataFrame, keys: list[str], value: str, low: Column, high: Column, name: str = "position", slices: int = 4096
+) -> DataFrame:
+    """Number the rows of each group 0, 1, 2 ... by an integer column without nulls.
+
+    Rows are numbered inside ``slices`` ranges of the values between ``low`` and
+    ``high``, so that a hot group is dealt over many tasks; a group's offsets sum
+    its range counts, at most ``slices`` of them. Values outside the bounds go
+    to the outer ranges. Equal values of a group come in any order.
+    """
+    share = (F.col(value).cast("double") - low) / (high - low + F.lit(1.0))
+    place = F.least(F.greatest(F.floor(share * slices), F.lit(0)), F.lit(slices - 1))
+    marked = df.withColumn("_slice", F.coalesce(place, F.lit(0)).cast("int"))
+    counts = marked.groupBy(*keys, "_slice").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(value)
+    return (
+        marked.withColumn("_rn", F.row_number().over(inside)).join(offsets, [*keys, "_slice"])
+        .withColumn(name, (F.col("_offset") + F.col("_rn") - 1).cast("long"))
+        .drop("_slice", "_rn", "_offset")
+    )

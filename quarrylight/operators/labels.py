@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import fixed_values as V
 from quarrylight.functions import text as T
-from quarrylight.operators.groups import hashed_position
+from quarrylight.operators.groups import hashed_position, numbered
 
 
 def candidate_key() -> Column:
@@ -30,41 +30,51 @@ def random_negatives(queries: DataFrame, known: DataFrame, items: DataFrame, ite
     """``n`` items per query that are not in known(query_id, item).
 
     All items lie on a ring in hashed order. Each query starts at its own
-    hashed place and takes items until it has ``n`` unknown ones; stepping
-    ``n`` plus the number of its known items is always enough. Places join
-    items by equality: queries and items are never multiplied.
+    hashed place and takes the next ``n`` unknown items. Nobody walks: a known
+    item's distance less the number of known ones before it is the number of
+    unknown items before it, so the known ones that lie before the j-th unknown
+    item are counted, which gives its distance. A query has ``n`` steps however
+    many items it knows, and these are numbered in slices. Places join items by
+    equality: queries and items are never multiplied.
     """
     ring = hashed_position(items.select(item), seeded(seed, F.col(item)), "place")
     total = items.agg(F.count("*")).scalar()
-    counts = known.groupBy("query_id").agg(F.countDistinct(item).alias("n_known"))
     start = F.conv(F.substring(F.md5(seeded(seed, F.col("query_id")).cast("binary")), 1, 8), 16, 10).cast("long")
-    asked = queries.select("query_id").join(counts, "query_id", "left").withColumn("total", total)
-    steps = F.least(F.lit(n) + F.coalesce("n_known", F.lit(0)), F.col("total"))
-    walk = asked.where("total > 0").select(
-        "query_id", "total", start.alias("start"), F.explode(F.sequence(F.lit(0).cast("long"), steps - 1)).alias("step")
-    ).withColumn("place", (F.col("start") + F.col("step")) % F.col("total"))
-    met = walk.join(ring, "place").join(known.select("query_id", item).distinct(), ["query_id", item], "left_anti")
-    w = Window.partitionBy("query_id").orderBy("step")
-    return met.withColumn("negative_no", F.row_number().over(w).cast("long")).where(F.col("negative_no") <= n).select(
-        "query_id", item, "negative_no"
-    )
+    met = known.select("query_id", item).distinct().join(ring, item).withColumn("total", total)
+    met = met.select("query_id", F.pmod(F.col("place") - start, F.col("total")).alias("distance"))
+    gaps = numbered(met, ["query_id"], "distance", F.lit(0.0), total.cast("double"), "passed").withColumn("at", F.col("distance") - F.col("passed"))
+    passed = gaps.where(F.col("at") < n).groupBy("query_id", "at").agg(F.count("*").alias("size"))
+    steps = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    walk = queries.select("query_id", steps.alias("at")).join(passed, ["query_id", "at"], "left")
+    so_far = Window.partitionBy("query_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    walk = walk.withColumn("step", F.col("at") + F.coalesce(F.sum("size").over(so_far), F.lit(0))).withColumn("total", total)
+    walk = walk.where(F.col("step") < F.col("total")).withColumn("place", (start + F.col("step")) % F.col("total"))
+    return walk.join(ring, "place").select("query_id", item, (F.col("at") + 1).alias("negative_no"))
 
 
 def candidate_pool(queries: DataFrame, existing: DataFrame, retrieved: DataFrame, items: DataFrame, item: str, n: int, seed: int = 42) -> DataFrame:
-    """Existing candidates, then retrieved ones, then random negatives."""
+    """Existing candidates by item, then retrieved ones, then random negatives.
+
+    Existing candidates are numbered in slices, as a query may have very many;
+    of the others a query has the depth of retrieval plus ``n`` at most.
+    """
     pair = ["query_id", item]
     fresh = retrieved.join(existing.select(*pair), pair, "left_anti").select(
         *pair, F.lit(V.HARD_CANDIDATE).alias("candidate_source"), F.col("rank").alias("baseline_rank"), F.lit(1).alias("part"), F.col("rank").alias("no"),
     )
-    old = existing.select(*pair, "candidate_source", F.lit(None).cast("long").alias("baseline_rank"), F.lit(0).alias("part"), F.col(item).alias("no"))
+    old = existing.select(*pair, "candidate_source", F.lit(None).cast("long").alias("baseline_rank"))
     known = old.select(*pair).unionByName(fresh.select(*pair))
     extra = random_negatives(queries, known, items, item, n, seed).select(
         *pair, F.lit(V.RANDOM_NEGATIVE).alias("candidate_source"), F.lit(None).cast("long").alias("baseline_rank"),
         F.lit(2).alias("part"), F.col("negative_no").alias("no"),
     )
-    rows = old.unionByName(fresh).unionByName(extra)
+    sizes = old.groupBy("query_id").agg(F.count("*").alias("before"))
     w = Window.partitionBy("query_id").orderBy("part", "no")
-    return rows.withColumn("candidate_no", F.row_number().over(w).cast("long")).drop("part", "no")
+    added = fresh.unionByName(extra).withColumn("at", F.row_number().over(w)).join(sizes, "query_id", "left")
+    added = added.withColumn("candidate_no", (F.col("at") + F.coalesce("before", F.lit(0))).cast("long"))
+    low, high = (items.agg(f(item).cast("double")).scalar() for f in (F.min, F.max))
+    first = numbered(old, ["query_id"], item, low, high, "at").withColumn("candidate_no", F.col("at") + 1).drop("at")
+    return first.unionByName(added.drop("part", "no", "at", "before"))
 
 
 def teacher_score(query: Column, words: Column) -> Column:

@@ -108,9 +108,21 @@ def normalize(payloads: DataFrame) -> DataFrame:
 
 
 def structured_output(normalized: DataFrame) -> DataFrame:
-    """Original payload beside its canonical fields, as JSON text."""
-    out = F.struct("title", "author", "source_type", "summary", F.col("raw_text").alias("main_text"), "programs", "claims")
-    return normalized.select("document_id", F.to_json(out).alias("structured"), F.col("obj").alias("original"))
+    """(document_id, structured): one JSON object with all keys of the payload, nested
+    values as they were, and the canonical fields in place of keys of their name.
+
+    A payload that is no object gives the canonical fields alone; unknown ones are null.
+    """
+    fields = {"title": "title", "author": "author", "source_type": "source_type", "summary": "summary", "main_text": "raw_text"}
+    claims = F.transform("claims", lambda c: F.struct(
+        c["raw_ref"].alias("program_id"), c["claim_type"].alias("claim_type"), c["raw_text"].alias("raw_text"),
+        c["normalized_value"].alias("normalized_value"), c["confidence"].alias("confidence")))
+    values = {k: F.col(v).cast("variant") for k, v in fields.items()}
+    values |= {"programs": F.to_variant_object("programs"), "claims": F.to_variant_object(claims)}
+    canonical = F.map_from_arrays(F.array(*[F.lit(k) for k in values]), F.array(*values.values()))
+    own = F.map_filter(F.try_variant_get("obj", "$", "map<string,variant>"), lambda k, _: ~k.isin(*values))
+    merged = F.coalesce(F.map_concat(own, canonical), canonical)
+    return normalized.select("document_id", F.to_json(F.to_variant_object(merged)).alias("structured"))
 
 
 def program_rows(normalized: DataFrame) -> DataFrame:
@@ -167,15 +179,17 @@ def resolve_attempts(attempts: DataFrame, max_retries: int = V.MAX_RETRIES) -> D
     """Final state of each job from attempts(job_id, attempt, job_type, message, error_type, invalid).
 
     Attempt 0 may be followed by ``max_retries`` more; an attempt is repeated
-    only after a retryable error or an invalid result. The state is decided by
-    the earliest attempt that succeeds, fails for good or is the last allowed:
-    one hash aggregate, no window.
+    only after a retryable error or, in an ``extract`` job, an invalid result.
+    Only these change the model after the first attempt; others have none.
+    The state is decided by the earliest attempt that succeeds, fails for good
+    or is the last allowed: one hash aggregate, no window.
     """
     allowed = attempts.where(F.col("attempt").between(0, max_retries))
     failed = F.col("message").isNotNull()
-    retryable = F.col("error_type").isin(*V.RETRYABLE_ERROR_TYPES) | F.col("invalid")
+    retryable = F.col("error_type").isin(*V.RETRYABLE_ERROR_TYPES) | (F.col("invalid") & (F.col("job_type") == "extract"))
     ends = ~failed | ~F.coalesce(retryable, F.lit(False)) | (F.col("attempt") == max_retries)
     last = allowed.groupBy("job_id").agg(
+        F.max("job_type").alias("job_type"),
         F.min(F.when(ends, F.struct("attempt", "message", "error_type"))).alias("last"),
         F.max(F.struct("attempt", "message", "error_type")).alias("open"),
     )
@@ -185,15 +199,17 @@ def resolve_attempts(attempts: DataFrame, max_retries: int = V.MAX_RETRIES) -> D
     status = (
         F.when(F.col("last").isNull(), "running").when(F.col("last.message").isNull(), "succeeded").otherwise("failed")
     )
+    model = F.when(F.col("job_type") == "extract", model_for(attempt))
+    named = F.coalesce(F.concat(F.lit(" (model="), model, F.lit(")")), F.lit(""))
     text = (
-        F.when(status == "failed", F.format_string(f"extract failed after %d/{total} attempts: %s", attempt + 1, message))
+        F.when(status == "failed", F.format_string(f"%s failed after %d/{total} attempts: %s", "job_type", attempt + 1, message))
         .when(status == "running", F.format_string(
-            f"extract attempt %d/{total} failed (model=%s): %s; retrying", attempt + 1, model_for(attempt), message))
+            f"%s attempt %d/{total} failed%s: %s; retrying", "job_type", attempt + 1, named, message))
     )
     retries = F.when(status == "running", attempt + 1).otherwise(attempt)
     code = F.when(status == "failed", ERR.error_code(message, F.coalesce("last.error_type", "open.error_type")))
     return last.select(
-        "job_id", status.alias("status"), retries.cast("long").alias("retry_count"), model_for(attempt).alias("model"),
+        "job_id", status.alias("status"), retries.cast("long").alias("retry_count"), model.alias("model"),
         text.alias("error_message"), code.alias("error_code"),
     )
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import fixed_values as V
 from quarrylight.functions import urls as U
-from quarrylight.operators.groups import top_n_by
+from quarrylight.operators.groups import top_n, top_n_by
+from quarrylight.operators.normalize import resolve_attempts
 from quarrylight.sources.corpus import Corpus
 
 
@@ -29,6 +30,44 @@ def empty_sources(c: Corpus) -> DataFrame:
     return done.join(have, "latest_document_id", "left_anti").select("id", "domain_id", "canonical_url")
 
 
+def reextract_queue(c: Corpus, limit: int = V.REEXTRACT_LIMIT) -> DataFrame:
+    """(domain, source_id) of a re-extract batch: the first ``limit`` empty sources of each domain without an active crawl."""
+    busy = active_crawls(c).select("domain")
+    free = c.domains.join(busy, "domain", "left_anti").select(F.col("id").alias("domain_id"), "domain")
+    rows = empty_sources(c).join(free, "domain_id")
+    return top_n(rows, ["domain"], [F.asc("id")], max(1, limit), spread=["id"]).select("domain", F.col("id").alias("source_id"))
+
+
+def reextract_results(queue: DataFrame, jobs: DataFrame, made: DataFrame, max_retries: int = V.MAX_RETRIES) -> DataFrame:
+    """What came of each queued source: (domain, source_id, status, document_id, error).
+
+    jobs(id, source_id, message, error_type, invalid) are extraction jobs, a source's
+    first ones by id its attempts; made(source_id, document_id) the documents
+    that the batch wrote. A source whose attempts have not ended is ``queued``.
+    """
+    wanted = jobs.join(queue.select("source_id"), "source_id", "left_semi")
+    first = top_n(wanted, ["source_id"], [F.asc("id")], max_retries + 1, "no", spread=["id"])
+    states = resolve_attempts(first.select(
+        F.col("source_id").alias("job_id"), (F.col("no") - 1).alias("attempt"), F.lit("extract").alias("job_type"), "message", "error_type", "invalid"
+    ), max_retries).where("status <> 'running'").select(F.col("job_id").alias("source_id"), "status", F.col("error_message").alias("error"))
+    rows = queue.join(states, "source_id", "left").join(made.select("source_id", "document_id"), "source_id", "left")
+    return rows.select(
+        "domain", "source_id", F.coalesce("status", F.lit("queued")).alias("status"),
+        F.when(F.col("status") == "succeeded", F.col("document_id")).alias("document_id"), "error",
+    )
+
+
+def reextract_outcome(domains: DataFrame, active: DataFrame, results: DataFrame) -> DataFrame:
+    """Queued, processed, succeeded and failed sources of each domain, and the crawl that blocks its batch."""
+    s = F.col("status")
+    counts = results.groupBy("domain").agg(
+        F.count("*").alias("queued"), F.count_if(s != "queued").alias("processed"),
+        F.count_if(s == "succeeded").alias("succeeded"), F.count_if(s == "failed").alias("failed"),
+    )
+    rows = domains.select("domain").join(active.select("domain", F.col("crawl_id").alias("blocked_by")), "domain", "left").join(counts, "domain", "left")
+    return rows.select("domain", "blocked_by", *[F.coalesce(k, F.lit(0)).alias(k) for k in ("queued", "processed", "succeeded", "failed")])
+
+
 def plan_candidates(c: Corpus, domains: DataFrame) -> DataFrame:
     """Planned sources of domains(domain_id, domain, cap), before the global cap.
 

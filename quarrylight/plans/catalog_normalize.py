@@ -145,19 +145,27 @@ def extraction_diagnostics(c: Corpus):
     return N.diagnostics(normalized(c), c.programs)
 
 
-@query("structured_output", """
-SELECT document_id, title, author, source_type, summary, raw_text AS main_text, n_programs, n_claims FROM v_normalized""")
+_canonical = "'title', 'author', 'source_type', 'summary', 'main_text', 'programs', 'claims'"
+
+
+@query("structured_output", f"""
+WITH k AS (SELECT *, list_filter(coalesce(json_keys(j), []), lambda x: x NOT IN ({_canonical})) AS own FROM v_normalized)
+SELECT document_id, title, author, source_type, summary, raw_text AS main_text, n_programs, n_claims,
+  array_to_string(list_sort(list_concat(own, [{_canonical}])), ',') AS keys,
+  md5(array_to_string(list_transform(list_sort(own), lambda x: x || '=' || json_extract_string(j, '$.' || x)), '|')) AS rest_md5 FROM k""")
 def structured_output(c: Corpus):
-    """The rebuilt JSON, read back to check its canonical fields."""
-    made = N.structured_output(N.normalize(c.payloads)).select("document_id", "structured")
-    schema = (
-        "title string, author string, source_type string, summary string, main_text string, "
-        "programs array<struct<name:string>>, claims array<struct<raw_text:string>>"
-    )
-    back = made.withColumn("s", F.from_json("structured", schema))
+    """The merged JSON, read back: its canonical fields, all its keys and the values of the others."""
+    made = N.structured_output(N.normalize(c.payloads))
+    v = F.col("v")
+    back = made.withColumn("v", F.parse_json("structured")).withColumn("m", F.try_variant_get(v, "$", "map<string,variant>"))
+    names = F.array_sort(F.map_keys("m"))
+    others = F.filter(names, lambda k: ~k.isin("title", "author", "source_type", "summary", "main_text", "programs", "claims"))
+    rest = F.transform(others, lambda k: F.concat(k, F.lit("="), F.try_variant_get(F.col("m")[k], "$", "string")))
+    texts = [F.try_variant_get(v, f"$.{k}", "string").alias(k) for k in ("title", "author", "source_type", "summary", "main_text")]
+    sizes = [F.size(F.try_variant_get(v, f"$.{k}", "array<variant>")).cast("long").alias(f"n_{k}") for k in ("programs", "claims")]
     return back.select(
-        "document_id", "s.title", "s.author", "s.source_type", "s.summary", "s.main_text",
-        F.size("s.programs").cast("long").alias("n_programs"), F.size("s.claims").cast("long").alias("n_claims"),
+        "document_id", *texts, *sizes, F.array_join(names, ",").alias("keys"),
+        F.md5(F.array_join(rest, "|").cast("binary")).alias("rest_md5"),
     )
 
 
@@ -194,7 +202,8 @@ def resolve_attempts(c: Corpus):
     bad = F.col("error_message")
     invalid = bad.isin("schema_invalid", "no_programs_on_program_page") | bad.startswith("low_quality")
     attempts = c.crawl_jobs.select(
-        F.floor(F.col("id") / 3).alias("job_id"), (F.col("id") % 3).alias("attempt"), bad.alias("message"), "error_type",
+        F.floor(F.col("id") / 3).alias("job_id"), (F.col("id") % 3).alias("attempt"), F.lit("extract").alias("job_type"),
+        bad.alias("message"), "error_type",
         F.coalesce(invalid, F.lit(False)).alias("invalid"),
     )
     return N.resolve_attempts(attempts)

@@ -9,6 +9,7 @@ from quarrylight.operators import admission as AD
 from quarrylight.operators import planning as PL
 from quarrylight.operators import runs as RU
 from quarrylight.plans import sqltext as S
+from quarrylight.plans.catalog_normalize import NEW_IDS, normalized
 from quarrylight.plans.catalog_views import iso
 from quarrylight.plans.oracle_views import view
 from quarrylight.plans.registry import query
@@ -293,3 +294,42 @@ SELECT * FROM (SELECT count(*) AS domains_total, count(*) FILTER (WHERE allowlis
    SELECT status FROM v_crawl_jobs ORDER BY started_at DESC NULLS FIRST, id DESC LIMIT 20))""")
 def dashboard(c: Corpus):
     return RU.dashboard(c).withColumn("latest_successful_crawl_at", iso("latest_successful_crawl_at"))
+
+
+# -- re-extract batches ------------------------------------------------------------
+view("v_reextract", f"""
+WITH q AS (SELECT d.domain, e.id AS source_id FROM v_empty e JOIN v_domains d ON d.id = e.domain_id WHERE d.domain NOT IN (SELECT domain FROM v_active)
+  QUALIFY row_number() OVER (PARTITION BY d.domain ORDER BY e.id) <= {V.REEXTRACT_LIMIT}),
+a AS (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY id) - 1 AS attempt, error_message AS message,
+    coalesce(error_type IN ({S.quoted(V.RETRYABLE_ERROR_TYPES)}), false) OR coalesce(error_message IN ('schema_invalid', 'no_programs_on_program_page') OR error_message LIKE 'low_quality%', false) AS again
+  FROM v_crawl_jobs WHERE job_type = 'extract' AND source_id IS NOT NULL QUALIFY attempt <= {V.MAX_RETRIES}),
+f AS (SELECT source_id, min(attempt) AS attempt FROM a WHERE message IS NULL OR NOT again OR attempt = {V.MAX_RETRIES} GROUP BY 1),
+s AS (SELECT source_id, a.attempt, a.message FROM f JOIN a USING (source_id, attempt)),
+m AS (SELECT source_id, max(new_id) AS document_id FROM v_extracted GROUP BY 1)
+SELECT q.domain, q.source_id, CASE WHEN s.source_id IS NULL THEN 'queued' WHEN message IS NULL THEN 'succeeded' ELSE 'failed' END AS status,
+  CASE WHEN s.source_id IS NOT NULL AND message IS NULL THEN document_id END AS document_id,
+  'extract failed after ' || (attempt + 1) || '/{V.MAX_RETRIES + 1} attempts: ' || message AS error
+FROM q LEFT JOIN s USING (source_id) LEFT JOIN m USING (source_id)""")
+
+
+def reextracted(c: Corpus):
+    bad = F.col("error_message")
+    invalid = bad.isin("schema_invalid", "no_programs_on_program_page") | bad.startswith("low_quality")
+    jobs = c.crawl_jobs.where("job_type = 'extract' AND source_id IS NOT NULL").select(
+        "id", "source_id", bad.alias("message"), "error_type", F.coalesce(invalid, F.lit(False)).alias("invalid")
+    )
+    made = normalized(c).where(F.size("validation_errors") == 0).groupBy("source_id").agg((F.max("document_id") + NEW_IDS).alias("document_id"))
+    return PL.reextract_results(PL.reextract_queue(c), jobs, made)
+
+
+@query("reextract_results", "SELECT * FROM v_reextract")
+def reextract_results(c: Corpus):
+    return reextracted(c)
+
+
+@query("reextract_outcome", """
+SELECT d.domain, a.crawl_id AS blocked_by, count(r.source_id) AS queued, count(*) FILTER (WHERE r.status IN ('succeeded', 'failed')) AS processed,
+  count(*) FILTER (WHERE r.status = 'succeeded') AS succeeded, count(*) FILTER (WHERE r.status = 'failed') AS failed
+FROM v_domains d LEFT JOIN v_active a USING (domain) LEFT JOIN v_reextract r USING (domain) GROUP BY ALL""")
+def reextract_outcome(c: Corpus):
+    return PL.reextract_outcome(c.domains, PL.active_crawls(c), reextracted(c))

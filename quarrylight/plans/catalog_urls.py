@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarrylight.functions import fixed_values as V
 from quarrylight.functions import urls as U
 from quarrylight.operators import discovery as D
 from quarrylight.operators import maintain as M
+from quarrylight.operators import normalize as N
 from quarrylight.plans import sqltext as S
 from quarrylight.plans.catalog_normalize import normalized
 from quarrylight.plans.catalog_views import iso
@@ -81,7 +83,7 @@ _re = "https?://[^\\s\"''<>]+"
 _json_text = f"regexp_extract_all(json_extract_string(v, '%s'), '{_re}')"
 
 
-@query("extract_candidate_urls", f"""
+view("v_found_urls", f"""
 WITH o AS (SELECT page_id, output, CASE WHEN page_id % 4 <> 2 THEN CAST(output AS JSON) END AS v FROM v_outputs),
 u AS (SELECT page_id, CASE page_id % 4
     WHEN 2 THEN regexp_extract_all(output, '{_re}')
@@ -94,6 +96,9 @@ x AS (SELECT page_id, unnest(us) AS raw, generate_subscripts(us, 1) AS n FROM u)
 y AS (SELECT page_id, n, CASE WHEN regexp_matches(raw, '^https?://') THEN {S.safe_canonical('raw')} END AS canonical_url FROM x),
 z AS (SELECT page_id, canonical_url, min(n) AS n FROM y WHERE canonical_url IS NOT NULL GROUP BY 1, 2)
 SELECT page_id, canonical_url, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS pos FROM z""")
+
+
+@query("extract_candidate_urls", "SELECT * FROM v_found_urls")
 def extract_candidate_urls(c: Corpus):
     return D.extract_candidates(outputs(c), "page_id").withColumn("pos", F.col("pos").cast("long"))
 
@@ -143,6 +148,68 @@ def create_sources(c: Corpus):
     return D.create_sources(batch(c), c.domains, c.sources)
 
 
+# -- discovery batches -------------------------------------------------------------
+#: So few URLs of a job are accepted here, for some to be left.
+BATCH_CAP = 2
+view("v_discover_jobs", r"""
+SELECT page_id AS job_id, CASE WHEN page_id % 9 = 4 THEN regexp_replace(domain, '^[^.]*\.', '') ELSE domain END AS domain FROM v_page_urls""")
+view("v_discover_states", f"""
+WITH a AS (SELECT id % p.n AS job_id, id // p.n AS attempt, error_message AS message,
+    coalesce(error_type IN ({S.quoted(V.RETRYABLE_ERROR_TYPES)}), false) AS again FROM v_crawl_jobs, (SELECT count(*) AS n FROM pages) p WHERE id // p.n <= {V.MAX_RETRIES}),
+f AS (SELECT job_id, min(attempt) FILTER (WHERE message IS NULL OR NOT again OR attempt = {V.MAX_RETRIES}) AS ended, max(attempt) AS newest FROM a GROUP BY 1)
+SELECT job_id, CASE WHEN ended IS NULL THEN 'running' WHEN message IS NULL THEN 'succeeded' ELSE 'failed' END AS status,
+  CASE WHEN ended IS NULL THEN attempt + 1 ELSE attempt END AS retry_count,
+  CASE WHEN ended IS NULL THEN 'discover attempt ' || (attempt + 1) || '/{V.MAX_RETRIES + 1} failed: ' || message || '; retrying'
+    WHEN message IS NOT NULL THEN 'discover failed after ' || (attempt + 1) || '/{V.MAX_RETRIES + 1} attempts: ' || message END AS error_message
+FROM f JOIN a USING (job_id) WHERE attempt = coalesce(ended, newest)""")
+view("v_discovered", f"""
+WITH c AS (SELECT job_id, domain, pos, canonical_url, coalesce({S.netloc('canonical_url')} = domain OR ends_with({S.netloc('canonical_url')}, '.' || domain), false) AS inside,
+    {S.allowed_url('canonical_url')} AS allowed
+  FROM v_discover_jobs JOIN v_discover_states s USING (job_id) JOIN v_found_urls u ON u.page_id = job_id WHERE s.status = 'succeeded'),
+r AS (SELECT *, sum(CASE WHEN inside AND allowed THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY pos) AS so_far FROM c),
+v AS (SELECT r.*, CASE WHEN NOT inside THEN 'off_domain' WHEN NOT allowed OR so_far > {BATCH_CAP} THEN 'rejected' WHEN d.domain IS NULL THEN 'domain_not_found'
+    WHEN k.canonical_url IS NOT NULL THEN 'duplicate' END AS reason
+  FROM r LEFT JOIN v_domains d ON d.domain = r.domain LEFT JOIN (SELECT DISTINCT canonical_url FROM v_sources) k ON k.canonical_url = r.canonical_url)
+SELECT job_id, domain, pos, canonical_url, coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY canonical_url, reason IS NULL ORDER BY job_id, pos) = 1
+  THEN 'created' ELSE 'duplicate' END) AS outcome FROM v""")
+
+
+def discover_jobs(c: Corpus):
+    """A discovery job for each page, by page id; some ask for the domain above."""
+    p = F.col("page_id")
+    domain = F.when(p % 9 == 4, F.regexp_replace("domain", r"^[^.]*\.", "")).otherwise(F.col("domain"))
+    return c.page_urls.select(p.alias("job_id"), domain.alias("domain"))
+
+
+def discover_states(c: Corpus):
+    """Crawl jobs in rounds over the pages are the attempts of the pages' discovery jobs."""
+    n = F.lit(c.page_count)
+    return N.resolve_attempts(c.crawl_jobs.select(
+        (F.col("id") % n).alias("job_id"), F.floor(F.col("id") / n).alias("attempt"), F.lit("discover").alias("job_type"),
+        F.col("error_message").alias("message"), "error_type", F.lit(False).alias("invalid"),
+    ))
+
+
+def discovered(c: Corpus):
+    with_output = outputs(c).withColumnRenamed("page_id", "job_id").join(discover_jobs(c), "job_id")
+    return D.discover_batch(with_output, discover_states(c), c.domains, c.sources, BATCH_CAP)
+
+
+@query("discover_batch", "SELECT * FROM v_discovered")
+def discover_batch(c: Corpus):
+    """Extract, domain match, policy, cap and creation of all discovery jobs as one batch."""
+    return discovered(c)
+
+
+@query("discover_attempts", """
+SELECT j.job_id, j.domain, coalesce(s.status, 'pending') AS status, coalesce(s.retry_count, 0) AS retry_count, s.error_message,
+  count(*) FILTER (WHERE outcome IN ('created', 'duplicate', 'domain_not_found')) AS accepted, count(*) FILTER (WHERE outcome = 'created') AS created,
+  count(*) FILTER (WHERE outcome IN ('duplicate', 'domain_not_found', 'rejected')) AS skipped, count(*) FILTER (WHERE outcome = 'off_domain') AS off_domain
+FROM v_discover_jobs j LEFT JOIN v_discover_states s USING (job_id) LEFT JOIN v_discovered d USING (job_id) GROUP BY ALL""")
+def discover_attempts(c: Corpus):
+    return D.discover_results(discover_jobs(c), discover_states(c), discovered(c))
+
+
 @query("allowlist_gate", """
 SELECT s.id, s.canonical_url FROM v_sources s JOIN v_domains d ON d.id = s.domain_id WHERE d.allowlisted AND NOT d.paused""")
 def allowlist_gate(c: Corpus):
