@@ -44,9 +44,10 @@ def table_domains(c: Corpus):
     return c.domains
 
 
-@query("table_requests", "SELECT * FROM v_requests")
+@query("table_requests", "SELECT * FROM v_asked")
 def table_requests(c: Corpus):
-    return c.requests
+    """Every request as it came, those that the service rejects included."""
+    return c.asked
 
 
 @query("scan_sources", f"""
