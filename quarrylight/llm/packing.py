@@ -97,16 +97,15 @@ class _WordIds(dict):
                 self.more.clear()
             self.more.update(new)
 
+    def __missing__(self, word: bytes) -> bytes:
+        return self.more[word]
+
     def texts(self, found: list[list[bytes]]) -> list[bytes]:
-        """The ids of each list of words."""
-        out = [list(map(self.get, x)) for x in found]
-        lacking = [i for i, x in enumerate(out) if None in x]
-        new = {w for i in lacking for w, ids in zip(found[i], out[i], strict=True) if ids is None}
+        """The ids of each list of words. Each distinct word is looked for once; then all are known."""
+        new = {w for w in set().union(*found) if w not in self}
         if not self.more.keys() >= new:
             self.learn(new)
-        for i in lacking:
-            out[i] = [x if x is not None else self[w] if w in self else self.more[w] for w, x in zip(found[i], out[i], strict=True)]
-        return [b"".join(x) for x in out]
+        return [b"".join(map(self.__getitem__, x)) for x in found]
 
 
 @lru_cache(1)
